@@ -373,8 +373,8 @@ _features_metric("cosine", f"1 - (CAST({_dot} AS DOUBLE) + {_dotn}) / sqrt({_nor
 
 _VECTOR_DISTANCE = {
     "euclidean": "list_distance(a.vector, b.vector)",
-    "sqeuclidean": "list_sum(list_transform(list_zip(a.vector, b.vector), x -> (x[1] - x[2]) * (x[1] - x[2])))",
-    "cityblock": "list_sum(list_transform(list_zip(a.vector, b.vector), x -> abs(x[1] - x[2])))",
+    "sqeuclidean": "list_sum(list_transform(list_zip(a.vector, b.vector), lambda x: (x[1] - x[2]) * (x[1] - x[2])))",
+    "cityblock": "list_sum(list_transform(list_zip(a.vector, b.vector), lambda x: abs(x[1] - x[2])))",
     "cosine": "list_cosine_distance(a.vector, b.vector)",
 }
 
