@@ -15,16 +15,12 @@ from stallrec.operators import quality as Q
 from stallrec.operators.similarity import lookup
 
 
-def _renumber(df: DataFrame, order: str = "position") -> DataFrame:
-    return df.withColumn("position", F.row_number().over(W.partitionBy("request_id").orderBy(order)))
+CARRY = ("n", *M.MASK_COLUMNS)
+OUT = ("request_id", "position", "item_id")
 
 
-def _within(df: DataFrame, requests: DataFrame, limit) -> DataFrame:
-    return (
-        df.join(requests.select("request_id", F.col("n").alias("_n")), "request_id")
-        .filter(F.col("position") <= limit(F.col("_n")))
-        .drop("_n")
-    )
+def _per_request():
+    return W.partitionBy("request_id")
 
 
 def similar_items(
@@ -32,17 +28,25 @@ def similar_items(
 ) -> DataFrame:
     """Nearest ``overfetch * n + 1``, masked, first ``n``; if that leaves fewer than ``n``,
     the nearest ``n + 1`` without the mask (never with ``strict_mask``)."""
-    near = lookup(requests, neighbors)
-    fetched = _within(near, requests, lambda n: overfetch * n + 1).select("request_id", "position", "item_id")
-    masked = L.cut(_renumber(M.permitted(fetched, requests, items)), requests)
+    n = F.col("n")
+    near = lookup(requests, neighbors, carry=CARRY).filter(F.col("position") <= overfetch * n + 1)
+    passed = F.col("ok").cast("int")
+    counted = (
+        M.flagged(near, items)
+        .withColumn("_all", F.sum(passed).over(_per_request()))
+        .withColumn(
+            "_place", F.sum(passed).over(_per_request().orderBy("position").rowsBetween(W.unboundedPreceding, 0))
+        )
+    )
+    masked = F.col("ok") & (F.col("_place") <= n)
     if strict_mask:
-        return masked.select("request_id", "position", "item_id")
-    sizes = L.counts(masked, requests).join(requests.select("request_id", "n"), "request_id")
-    short = sizes.filter("size < n").select("request_id")
-    plain = _within(near, requests, lambda n: n + 1).join(short, "request_id", "left_semi")
-    full = masked.join(short, "request_id", "left_anti")
-    columns = ["request_id", "position", "item_id"]
-    return full.select(*columns).unionByName(plain.select(*columns))
+        kept = counted.filter(masked).withColumn("position", F.col("_place"))
+    else:
+        full = F.col("_all") >= n
+        kept = counted.filter((full & masked) | (~full & (F.col("position") <= n + 1))).withColumn(
+            "position", F.when(full, F.col("_place")).otherwise(F.col("position"))
+        )
+    return kept.select(*OUT)
 
 
 def prefiltered_items(
@@ -59,31 +63,33 @@ def prefiltered_items(
     Empty when at most one neighbor matches, the item itself counted.
     """
     n = F.floor(F.col("n") * F.lit(ratio)).cast("int")
-    req = requests.withColumn("n", n)
     attrs = items.select("id", *features)
     own = attrs.select(F.col("id").alias("bike_id"), *[F.col(f).alias(f"own_{f}") for f in features])
     tests = [F.col(f) == F.col(f"own_{f}") for f in features]
     hit = tests[0]
     for t in tests[1:]:
         hit = (hit | t) if match == "any" else (hit & t)
+    near = neighbors.select(F.col("item_id").alias("bike_id"), F.col("neighbor_id").alias("item_id"), "distance")
     d = F.col("distance")
     matched = (
-        req.select("request_id", "bike_id")
+        requests.select("request_id", "bike_id", n.alias("n"), *M.MASK_COLUMNS)
         .join(own, "bike_id")
-        .join(neighbors.select(F.col("item_id").alias("bike_id"), F.col("neighbor_id").alias("item_id"), "distance"), "bike_id")
+        .join(near, "bike_id")
         .join(attrs.withColumnRenamed("id", "item_id"), "item_id")
         .filter(hit)
         .withColumn("distance", F.when(d == 0, F.lit(float("inf"))).otherwise(d))
+        .select("request_id", "bike_id", "item_id", "distance", *CARRY)
     )
-    per_request = W.partitionBy("request_id")
-    ranked = (
-        matched.withColumn("_all", F.count("*").over(per_request))
+    return (
+        M.flagged(matched, items)
+        .withColumn("_all", F.count("*").over(_per_request()))
         .filter((F.col("_all") > 1) & (F.col("item_id") != F.col("bike_id")))
-        .withColumn("position", F.row_number().over(per_request.orderBy("distance", "item_id")))
+        .withColumn("_near", F.row_number().over(_per_request().orderBy("distance", "item_id")))
+        .filter((F.col("_near") <= overfetch * F.col("n")) & F.col("ok"))
+        .withColumn("position", F.row_number().over(_per_request().orderBy("_near")))
+        .filter(F.col("position") <= F.col("n"))
+        .select(*OUT)
     )
-    fetched = _within(ranked, req, lambda n: overfetch * n).select("request_id", "position", "item_id")
-    kept = L.cut(_renumber(M.permitted(fetched, req, items)), req)
-    return kept.select("request_id", "position", "item_id")
 
 
 def family_first(
@@ -99,29 +105,25 @@ def family_first(
     ``family='request'`` takes the family the request names, ``'item'`` that of the
     request's item. Returns (request_id, position, item_id, source, family_count).
     """
-    req = requests
+    own = items.select(F.col("id").alias("bike_id"), F.col("family_id").alias("_family"))
+    known = requests.join(own, "bike_id")
     if family == "item":
-        own = items.select(F.col("id").alias("bike_id"), F.col("family_id").alias("_family"))
-        req = (
-            requests.join(own, "bike_id", "left")
-            .withColumn("family_id", F.coalesce("_family", "family_id"))
-            .drop("_family")
-        )
-    known = req.join(items, req.bike_id == items.id, "left_semi")
+        known = known.withColumn("family_id", F.col("_family"))
     relatives = Q.best_per_list(
         known.withColumn("_m", F.col("n")), quality, items, (), "ladder", ("family_id", "family_id"), exclude="bike_id"
-    ).select("request_id", F.col("place").alias("position"), "item_id")
-    sizes = L.counts(relatives, known, "family_count")
-    open_slots = known.join(sizes.join(known.select("request_id", "n"), "request_id").filter("family_count < n"), "request_id", "left_semi")
-    near = _within(lookup(open_slots, neighbors), open_slots, lambda n: overfetch * n)
-    fill = M.permitted(near.select("request_id", "position", "item_id"), open_slots, items)
-    merged = L.cut(L.first_seen(L.appended(relatives, fill)), known)
-    return merged.join(sizes, "request_id").select(
-        "request_id",
-        "position",
-        "item_id",
-        F.when(F.col("source") == 0, "family").otherwise("similar").alias("source"),
-        "family_count",
+    ).select("request_id", F.col("place").alias("position"), "item_id", F.col("_m").alias("n"), F.lit(0).alias("_from"))
+    near = lookup(requests, neighbors, carry=CARRY).filter(F.col("position") <= overfetch * F.col("n"))
+    fill = M.flagged(near, items).filter("ok").select(*OUT, "n", F.lit(1).alias("_from"))
+    # One shuffle by request serves all windows below.
+    return (
+        relatives.unionByName(fill)
+        .repartition("request_id")
+        .withColumn("family_count", F.sum(1 - F.col("_from")).over(_per_request()))
+        .withColumn("_first", F.min("_from").over(W.partitionBy("request_id", "item_id")))
+        .filter((F.col("_from") == 0) | ((F.col("family_count") < F.col("n")) & (F.col("_first") == 1)))
+        .withColumn("position", F.row_number().over(_per_request().orderBy("_from", "position")))
+        .filter(F.col("position") <= F.col("n"))
+        .select(*OUT, F.when(F.col("_from") == 0, "family").otherwise("similar").alias("source"), "family_count")
     )
 
 

@@ -145,16 +145,18 @@ def attach_masks(requests: DataFrame, preferences: DataFrame, items: DataFrame)
     ).drop("_user", "_stated", "live_own", "live_free")
 
 
+def flagged(candidates: DataFrame, items: DataFrame) -> DataFrame:
+    """Add ``ok`` to candidates that carry ``continent_id`` and ``prefs``: mask passed."""
+    names = candidates.columns
+    ok = F.coalesce(allowed(F.col("continent_id"), F.col("prefs")), F.lit(False))
+    return candidates.join(item_mask_columns(items), "item_id", "left").select(*names, ok.alias("ok"))
+
+
 def permitted(candidates: DataFrame, requests: DataFrame, items: DataFrame) -> DataFrame:
     """The (request, item) candidates that pass the request's mask."""
-    req = requests.select("request_id", F.col("continent_id").alias("_continent"), F.col("prefs").alias("_prefs"))
     names = candidates.columns
-    return (
-        candidates.join(req, "request_id")
-        .join(item_mask_columns(items), "item_id")
-        .filter(allowed(F.col("_continent"), F.col("_prefs")))
-        .select(*names)
-    )
+    carried = candidates.join(requests.select("request_id", *MASK_COLUMNS), "request_id")
+    return flagged(carried, items).filter("ok").select(*names)
 
 
 def mask_matrix(req: dict[str, pa.Array], item: dict[str, pa.Array]) -> np.ndarray:

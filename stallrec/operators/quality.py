@@ -138,7 +138,7 @@ def best_per_list(
     order_key: str = "quality_rank",
     exclude: str | None = None,
 ) -> DataFrame:
-    """(request_id, list, item_id, order_key, place): the first ``_m`` items of each list.
+    """(request_id, list, item_id, order_key, _m, place): the first ``_m`` of each list.
 
     ``requests`` carry ``_m`` and the mask columns. ``shelf`` names an equality test,
     (item column, request column), by which both sides are split beforehand.
@@ -187,47 +187,55 @@ def best_per_list(
         "request_id bigint, list bigint, item_id bigint, order_key bigint, _m bigint",
     )
     best = W.partitionBy("request_id", "list").orderBy("order_key", "item_id")
+    # One shuffle by request serves this window and all that callers put on top.
     return (
-        found.withColumn("place", F.row_number().over(best))
+        found.repartition("request_id")
+        .withColumn("place", F.row_number().over(best))
         .filter(F.col("place") <= F.col("_m"))
-        .drop("_m")
     )
 
 
+def _per_request():
+    return W.partitionBy("request_id")
+
+
+def _per_list():
+    return W.partitionBy("request_id", "list")
+
+
 def relaxed_quality(
     requests: DataFrame, quality: DataFrame, items: DataFrame, strict_mask: bool = False
 ) -> DataFrame:
     """The first ``n`` by quality under the deepest rung that holds at least ``n``.
 
     Rungs: type + price band + size + family, then without family, without size, without
-    price, and at last all items, mask included (unless ``strict_mask``).
-    Returns (request_id, position, item_id, rung), rung 4 the strictest.
+    price, and at last all items without the mask (all masked items with
+    ``strict_mask``). Returns (request_id, position, item_id, rung), rung 4 the strictest.
     """
     req = requests.withColumn("_m", F.col("n"))
-    lists = best_per_list(req, quality, items, LADDER, "ladder", ("bike_type", "bike_type"))
-    sizes = lists.groupBy("request_id", "list").agg(F.count("*").alias("_size"))
-    rung = (
-        sizes.join(requests.select("request_id", "n"), "request_id")
-        .filter(F.col("_size") >= F.col("n"))
-        .groupBy("request_id")
-        .agg(F.max("list").alias("list"))
+    lists = best_per_list(req, quality, items, LADDER, "ladder", ("bike_type", "bike_type")).select(
+        "request_id", (F.col("list") + 1).alias("list"), "item_id", "place", "_m"
     )
-    served = (
-        lists.join(rung, ["request_id", "list"])
-        .select("request_id", F.col("place").alias("position"), "item_id", (F.col("list") + 1).alias("rung"))
-    )
-    rest = requests.join(rung, "request_id", "left_anti")
     if strict_mask:
-        left = best_per_list(rest.withColumn("_m", F.col("n")), quality, items, (), "ladder")
-        filled = left.select("request_id", F.col("place").alias("position"), "item_id", F.lit(0).cast("bigint").alias("rung"))
+        last = best_per_list(req, quality, items, (), "ladder").select(
+            "request_id", F.lit(0).cast("bigint").alias("list"), "item_id", "place", "_m"
+        )
     else:
-        # Positions 1..n are quality ranks, so this is an equality join.
-        filled = (
-            rest.select("request_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("position"))
-            .join(quality.select("id", "quality_rank"), F.col("position") == F.col("quality_rank"))
-            .select("request_id", F.col("position").cast("int"), F.col("id").alias("item_id"), F.lit(0).cast("bigint").alias("rung"))
+        # Places 1..n are quality ranks, so the last rung is an equality join.
+        last = (
+            req.select("request_id", "_m", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("place"))
+            .join(quality.select("id", "quality_rank"), F.col("place") == F.col("quality_rank"))
+            .select("request_id", F.lit(0).cast("bigint").alias("list"), F.col("id").alias("item_id"), "place", "_m")
         )
-    return served.unionByName(filled)
+    enough = F.when(F.col("_size") >= F.col("_m"), F.col("list"))
+    return (
+        lists.unionByName(last)
+        .repartition("request_id")
+        .withColumn("_size", F.count("*").over(_per_list()))
+        .withColumn("rung", F.coalesce(F.max(enough).over(_per_request()), F.lit(0).cast("bigint")))
+        .filter(F.col("list") == F.col("rung"))
+        .select("request_id", F.col("place").alias("position"), "item_id", "rung")
+    )
 
 
 def progressive_quality(
@@ -239,14 +247,14 @@ def progressive_quality(
     fraction: float = 0.5,
     order: str = "quality",
     strict_mask: bool = False,
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """Sampled picks under tests applied one after the other.
 
     With at least ``n`` masked items a seeded half of them is used, else all items
     without the mask (``strict_mask`` keeps the masked half). Tests are added while at
     least ``2n`` items remain; of the first ``2n`` of what is left, ``n`` are drawn in
-    seeded order. Fewer than ``n`` left is an error and no result.
-    Returns (request_id, position, item_id, slug) and (request_id, error).
+    seeded order. A request left with fewer than ``n`` gets nothing, see
+    ``short_requests``. Returns (request_id, position, item_id, slug).
     """
     if order == "random":
         digest = F.conv(F.substring(X.seeded_order(F.col("id"), seed=seed + 1), 1, 15), 16, 10)
@@ -256,52 +264,46 @@ def progressive_quality(
     req = requests.withColumn("_m", 2 * F.col("n"))
     sampled = X.in_fraction([F.col("id")], fraction, seed)
     lists = best_per_list(req, quality, items, tests, "sampled", sampled=sampled, order_key="_order")
-    sizes = lists.groupBy("request_id", "list").agg(F.count("*").alias("_size"))
-    n_req = requests.select("request_id", "n")
-    enough = sizes.filter("list = 0").select("request_id", F.col("_size").alias("_masked"))
-    known = n_req.join(enough, "request_id", "left").withColumn(
-        "_side",
-        F.lit(1) if strict_mask else F.when(F.coalesce("_masked", F.lit(0)) >= F.col("n"), 1).otherwise(-1),
-    )
-    # List 1 (or -1) is always valid; a deeper one needs 2n items.
-    deepest = (
-        known.join(sizes.filter("list <> 0"), "request_id")
-        .filter((F.signum("list") == F.col("_side")) & ((F.abs("list") == 1) | (F.col("_size") >= 2 * F.col("n"))))
-        .groupBy("request_id", "n", "_side")
-        .agg(F.max(F.abs("list")).alias("_depth"))
-        .select("request_id", "n", (F.col("_side") * F.col("_depth")).cast("bigint").alias("list"))
+    n, depth = F.col("_m") / 2, F.abs("list")
+    masked = F.sum((F.col("list") == 0).cast("int")).over(_per_request())
+    side = F.lit(1) if strict_mask else F.when(F.col("_masked") >= n, 1).otherwise(-1)
+    # The first list of a side always holds; a deeper one needs 2n items.
+    valid = (F.signum("list") == F.col("_side")) & ((depth == 1) | (F.col("_size") >= F.col("_m")))
+    chosen = (
+        lists.withColumn("_masked", masked)
+        .withColumn("_side", side)
+        .withColumn("_size", F.count("*").over(_per_list()))
+        .withColumn("_depth", F.max(F.when(valid, depth)).over(_per_request()))
+        .filter((F.col("list") == F.col("_side") * F.col("_depth")) & (F.col("_size") >= n))
     )
-    draw = W.partitionBy("request_id").orderBy("_draw", "item_id")
-    picked = (
-        lists.join(deepest, ["request_id", "list"])
-        .withColumn("_draw", X.seeded_order(F.col("request_id"), F.col("item_id"), seed=seed))
+    draw = _per_request().orderBy("_draw", "item_id")
+    return (
+        chosen.withColumn("_draw", X.seeded_order(F.col("request_id"), F.col("item_id"), seed=seed))
         .withColumn("position", F.row_number().over(draw))
-        .withColumn("_left", F.count("*").over(W.partitionBy("request_id")))
-    )
-    result = (
-        picked.filter((F.col("_left") >= F.col("n")) & (F.col("position") <= F.col("n")))
+        .filter(F.col("position") <= n)
         .join(quality.select(F.col("id").alias("item_id"), "slug"), "item_id")
         .select("request_id", "position", "item_id", "slug")
     )
-    served = picked.filter("_left >= n").select("request_id").distinct()
-    errors = n_req.join(served, "request_id", "left_anti").select(
+
+
+def short_requests(requests: DataFrame, picks: DataFrame) -> DataFrame:
+    """(request_id, error) for the requests that got no picks."""
+    return requests.join(picks.select("request_id").distinct(), "request_id", "left_anti").select(
         "request_id", F.lit("fewer items left than asked for").alias("error")
     )
-    return result, errors
 
 
 def sampled_quality(
     requests: DataFrame, quality: DataFrame, items: DataFrame, sample: int = 100, seed: int = 0
 ) -> DataFrame:
     """``n`` drawn in seeded order from the relaxed top ``sample``; nothing if it is short."""
-    wide = requests.withColumn("_n", F.col("n")).withColumn("n", F.lit(sample))
-    top = relaxed_quality(wide, quality, items)
-    draw = W.partitionBy("request_id").orderBy("_draw", "item_id")
+    top = relaxed_quality(requests.withColumn("n", F.lit(sample)), quality, items)
+    n = F.col("n")
     return (
         top.join(requests.select("request_id", "n"), "request_id")
         .withColumn("_draw", X.seeded_order(F.col("request_id"), F.col("item_id"), seed=seed))
-        .withColumn("position", F.row_number().over(draw))
-        .withColumn("_left", F.count("*").over(W.partitionBy("request_id")))
-        .filter((F.col("_left") >= F.col("n")) & (F.col("position") <= F.col("n")))
+        .withColumn("position", F.row_number().over(_per_request().orderBy("_draw", "item_id")))
+        .withColumn("_left", F.count("*").over(_per_request()))
+        .filter((F.col("_left") >= n) & (F.col("position") <= n))
         .select("request_id", "position", "item_id")
     )

@@ -342,19 +342,23 @@ def nearest_vectors(
 # --------------------------------------------------------------------------- lookup
 
 
-def lookup(requests: DataFrame, neighbors: DataFrame, zero_is_far: bool = True) -> DataFrame:
+def lookup(
+    requests: DataFrame, neighbors: DataFrame, zero_is_far: bool = True, carry: Sequence[str] = ()
+) -> DataFrame:
     """Neighbors of each request's item, nearest first, the item itself removed.
 
     With ``zero_is_far`` a distance of zero, an exact twin, reads as infinitely far.
+    ``carry`` names request columns to keep.
     """
     d = F.col("distance")
     far = F.when(d == 0, F.lit(float("inf"))).otherwise(d) if zero_is_far else d
     order = W.partitionBy("request_id").orderBy("distance", "item_id")
+    near = neighbors.select(F.col("item_id").alias("bike_id"), F.col("neighbor_id").alias("item_id"), "distance")
     return (
-        requests.select("request_id", "bike_id")
-        .join(neighbors, F.col("bike_id") == neighbors.item_id)
-        .filter(F.col("neighbor_id") != F.col("bike_id"))
-        .select("request_id", "bike_id", F.col("neighbor_id").alias("item_id"), far.alias("distance"))
+        requests.select("request_id", "bike_id", *carry)
+        .join(near, "bike_id")
+        .filter(F.col("item_id") != F.col("bike_id"))
+        .select("request_id", "bike_id", "item_id", far.alias("distance"), *carry)
         .withColumn("position", F.row_number().over(order))
     )
 

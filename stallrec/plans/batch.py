@@ -17,6 +17,7 @@ from stallrec.operators import lists as L
 from stallrec.operators import masks as M
 from stallrec.operators import quality as Q
 from stallrec.operators import similarity as S
+from stallrec.session import cut_lineage
 
 LABELS = {name: label for name, (_, label) in C.STRATEGIES.items()}
 COLUMNS = ("request_id", "position", "item_id", "slug", "strategy_used")
@@ -99,7 +100,8 @@ def _rerank(requests: DataFrame, s: Store, seed: int):
 
 
 def _quality(requests: DataFrame, s: Store, seed: int):
-    return Q.progressive_quality(requests, s.quality, s.items, Q.BUYER_TESTS, seed)
+    picks = cut_lineage(Q.progressive_quality(requests, s.quality, s.items, Q.BUYER_TESTS, seed))
+    return picks, Q.short_requests(requests, picks)
 
 
 BRANCHES: dict[str, Branch] = {
@@ -149,7 +151,8 @@ def answer(
     rows = checked(raw)
     refused = rows.filter(F.col("error").isNotNull()).select("request_id", "error")
     good = with_defaults(rows.filter(F.col("error").isNull()).drop("error"), letters_by_type)
-    ready = dispatched(M.attach_masks(good, store.preferences, store.items))
+    # Each branch reads these, so they are written once.
+    ready = cut_lineage(dispatched(M.attach_masks(good, store.preferences, store.items)))
     results, errors = [], [refused]
     for name, branch in branches.items():
         got, failed = branch(ready.filter(F.col("branch") == name), store, seed)
@@ -157,7 +160,7 @@ def answer(
         results.append(got.select("request_id", "position", "item_id", slug))
         if failed is not None:
             errors.append(failed.select("request_id", "error"))
-    everything = reduce(DataFrame.unionByName, results)
+    everything = cut_lineage(reduce(DataFrame.unionByName, results))
     labels = ready.select("request_id", "strategy_used")
     short = second_chance(ready, everything).withColumn("_again", F.lit(LABELS[C.FALLBACK_STRATEGY]))
     labelled = (

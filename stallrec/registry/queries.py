@@ -468,7 +468,7 @@ def _(spark, d):
 # ------------------------------------------------------------------ content strategies
 
 
-@register("similar_items", sql.query(POSITIONS + "similar", "similar"))
+@register("similar_items", sql.query(POSITIONS + "lookalikes", "lookalikes"))
 def _(spark, d):
     p = Parts(spark, d)
     return items_out(K.similar_items(p.requests, p.neighbors, p.items))
@@ -499,13 +499,13 @@ def _(spark, d):
     return items_out(Q.sampled_quality(p.requests, p.quality, p.items))
 
 
-@register("mixed_interleaved", sql.query(sql.mixed_sql("special_75", "position, source").replace("\nWITH u AS (", ", u AS (", 1), "good", "items", "special_75", "similar", "sampled_quality"))
+@register("mixed_interleaved", sql.query(sql.mixed_sql("special_75", "position, source").replace("\nWITH u AS (", ", u AS (", 1), "good", "items", "special_75", "lookalikes", "sampled_quality"))
 def _(spark, d):
     p = Parts(spark, d)
     return items_out(K.mixed(p.requests, p.neighbors, p.quality, p.items))
 
 
-@register("mixed_appended", sql.query(sql.mixed_sql("special_90", "source, position").replace("\nWITH u AS (", ", u AS (", 1), "good", "items", "special_90", "similar", "sampled_quality"))
+@register("mixed_appended", sql.query(sql.mixed_sql("special_90", "source, position").replace("\nWITH u AS (", ", u AS (", 1), "good", "items", "special_90", "lookalikes", "sampled_quality"))
 def _(spark, d):
     p = Parts(spark, d)
     return items_out(K.mixed(p.requests, p.neighbors, p.quality, p.items, ratio=0.9, interleave=False))
@@ -528,7 +528,7 @@ def _(spark, d):
 @register("buyer_quality_slugs", sql.query("SELECT request_id, CAST(position AS BIGINT) AS position, slug FROM buyer", "buyer"))
 def _(spark, d):
     p = Parts(spark, d)
-    picks, _ = Q.progressive_quality(p.requests, p.quality, p.items, Q.BUYER_TESTS)
+    picks = Q.progressive_quality(p.requests, p.quality, p.items, Q.BUYER_TESTS)
     return picks.select("request_id", F.col("position").cast("bigint").alias("position"), "slug")
 
 
@@ -541,13 +541,13 @@ def _(spark, d):
 )
 def _(spark, d):
     p = Parts(spark, d)
-    return Q.progressive_quality(p.requests, p.quality, p.items, Q.BUYER_TESTS)[1]
+    return Q.short_requests(p.requests, Q.progressive_quality(p.requests, p.quality, p.items, Q.BUYER_TESTS))
 
 
 @register("plain_quality_ids", sql.query(POSITIONS + "plain_quality", "plain_quality"))
 def _(spark, d):
     p = Parts(spark, d)
-    return items_out(Q.progressive_quality(p.requests, p.quality, p.items)[0])
+    return items_out(Q.progressive_quality(p.requests, p.quality, p.items))
 
 
 # ------------------------------------------------------------------ list combinators
@@ -624,7 +624,7 @@ def _(spark, d):
 def _(spark, d):
     p = Parts(spark, d)
     served = CF.collaborative(p.requests, p.users, p.factors, p.items, p.active, widen=10)
-    return items_out(CF.collaborative_or_quality(served, Q.progressive_quality(p.requests, p.quality, p.items)[0]))
+    return items_out(CF.collaborative_or_quality(served, Q.progressive_quality(p.requests, p.quality, p.items)))
 
 
 @register(

@@ -419,7 +419,7 @@ FROM good r JOIN neighbors k ON r.bike_id = k.item_id WHERE k.neighbor_id <> r.b
 # ------------------------------------------------------------------ strategies
 
 cte(
-    "similar",
+    "lookalikes",
     "near", "good", "allowed",
     sql="""
 WITH m AS (
@@ -501,7 +501,7 @@ def mixed_sql(special: str, order: str) -> str:
     return f"""
 WITH u AS (
   SELECT request_id, position, item_id, 0 AS source FROM {special}
-  UNION ALL SELECT request_id, position, item_id, 1 FROM similar),
+  UNION ALL SELECT request_id, position, item_id, 1 FROM lookalikes),
 f AS (SELECT *, row_number() OVER (PARTITION BY request_id, item_id ORDER BY {order}) AS seen FROM u),
 k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {order}) AS place FROM f WHERE seen = 1)
 SELECT k.request_id, k.place AS position, k.item_id FROM k JOIN good r USING (request_id)
