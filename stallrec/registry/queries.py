@@ -119,6 +119,18 @@ class Parts:
         )
 
 
+_PARTS: dict[tuple[str, str], Parts] = {}
+
+
+def parts(spark: SparkSession, sf_dir: str) -> Parts:
+    """The shared inputs of one application and folder: written once, read by all queries,
+    as the request handlers read the artifacts of the content job."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PARTS:
+        _PARTS[key] = Parts(spark, sf_dir)
+    return _PARTS[key]
+
+
 def items_out(df: DataFrame) -> DataFrame:
     return df.select("request_id", F.col("position").cast("bigint").alias("position"), "item_id")
 
@@ -329,32 +341,32 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    feats = S.feature_frame(Parts(spark, d).items, S.item_features())
+    feats = S.feature_frame(parts(spark, d).items, S.item_features())
     return feats.select("id", "price", "frame_size_code", "year", "color", "brand", "suspension")
 
 
 @register("neighbors_tenth", sql.query("SELECT * FROM neighbors", "neighbors"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return S.nearest_items(p.items, p.active)
 
 
 @register("neighbors_50", sql.query(sql.neighbors_sql("50"), "feats"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return S.nearest_items(p.items, p.active, k=50)
 
 
 @register("neighbors_by_heap", sql.query(sql.neighbors_sql("20"), "feats"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return S.nearest_items(p.items, p.active, k=20, select="heap")
 
 
 def _features_metric(name: str, distance: str) -> None:
     @register(f"neighbors_{name}", sql.query(sql.neighbors_sql("20", distance), "feats"))
     def _(spark, d):
-        p = Parts(spark, d)
+        p = parts(spark, d)
         return S.nearest_items(p.items, p.active, S.item_features(name), k=20)
 
 
@@ -388,7 +400,7 @@ SELECT item_id, neighbor_id, distance, CAST(rank AS INTEGER) AS rank FROM (
 
     @register(f"vector_neighbors_{metric}", sql.query(body, "vectors"))
     def _(spark, d):
-        v = Parts(spark, d).vectors
+        v = parts(spark, d).vectors
         return S.nearest_vectors(v, v.filter("label < 5"), metric, k=20)
 
 
@@ -398,7 +410,7 @@ for _metric, _distance in _VECTOR_DISTANCE.items():
 
 @register("neighbor_lookup", sql.query("SELECT request_id, bike_id, item_id, distance, CAST(position AS INTEGER) AS position FROM near", "near"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return S.lookup(p.requests, p.neighbors)
 
 
@@ -407,7 +419,7 @@ def _(spark, d):
     sql.query("SELECT request_id, 'unknown item ' || bike_id AS error FROM good WHERE bike_id NOT IN (SELECT id FROM items)", "good", "items"),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return S.unknown_items(p.requests, p.items)
 
 
@@ -424,7 +436,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return M.visible_items(Parts(spark, d).items)
+    return M.visible_items(parts(spark, d).items)
 
 
 @register(
@@ -432,7 +444,7 @@ def _(spark, d):
     sql.query("SELECT request_id, true AS masked FROM (SELECT DISTINCT request_id FROM user_mask)", "user_mask"),
 )
 def _(spark, d):
-    return Parts(spark, d).requests.filter(F.col("prefs").isNotNull()).select("request_id", F.lit(True).alias("masked"))
+    return parts(spark, d).requests.filter(F.col("prefs").isNotNull()).select("request_id", F.lit(True).alias("masked"))
 
 
 @register(
@@ -444,7 +456,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     given = p.requests.select("request_id", F.explode("bike_rerank_id").alias("item_id"))
     return M.permitted(given, p.requests, p.items)
 
@@ -458,7 +470,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     near = S.lookup(p.requests, p.neighbors).select("request_id", "item_id", "position")
     return M.permitted(near, p.requests, p.items).join(
         p.active.select(F.col("id").alias("item_id")), "item_id", "left_semi"
@@ -470,64 +482,64 @@ def _(spark, d):
 
 @register("similar_items", sql.query(POSITIONS + "lookalikes", "lookalikes"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return items_out(K.similar_items(p.requests, p.neighbors, p.items))
 
 
 @register("prefiltered_items", sql.query(POSITIONS + "special", "special"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return items_out(K.prefiltered_items(p.requests, p.neighbors, p.items))
 
 
 @register("prefiltered_items_all", sql.query(POSITIONS + "special_all", "special_all"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return items_out(K.prefiltered_items(p.requests, p.neighbors, p.items, match="all"))
 
 
 @register("relaxed_quality", sql.query("SELECT request_id, CAST(position AS BIGINT) AS position, item_id, rung FROM relaxed", "relaxed"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     out = Q.relaxed_quality(p.requests, p.quality, p.items)
     return out.withColumn("position", F.col("position").cast("bigint"))
 
 
 @register("sampled_quality", sql.query(POSITIONS + "sampled_quality", "sampled_quality"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return items_out(Q.sampled_quality(p.requests, p.quality, p.items))
 
 
 @register("mixed_interleaved", sql.query(sql.mixed_sql("special_75", "position, source").replace("\nWITH u AS (", ", u AS (", 1), "good", "items", "special_75", "lookalikes", "sampled_quality"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return items_out(K.mixed(p.requests, p.neighbors, p.quality, p.items))
 
 
 @register("mixed_appended", sql.query(sql.mixed_sql("special_90", "source, position").replace("\nWITH u AS (", ", u AS (", 1), "good", "items", "special_90", "lookalikes", "sampled_quality"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return items_out(K.mixed(p.requests, p.neighbors, p.quality, p.items, ratio=0.9, interleave=False))
 
 
 @register("family_first", sql.query("SELECT request_id, CAST(position AS BIGINT) AS position, item_id, source, family_count FROM family", "family"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     out = K.family_first(p.requests, p.neighbors, p.quality, p.items)
     return out.withColumn("position", F.col("position").cast("bigint"))
 
 
 @register("content_mixed", sql.query("SELECT request_id, CAST(position AS BIGINT) AS position, item_id, source, family_count FROM content", "content"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     out = K.content_mixed(p.requests, p.neighbors, p.quality, p.items)
     return out.withColumn("position", F.col("position").cast("bigint"))
 
 
 @register("buyer_quality_slugs", sql.query("SELECT request_id, CAST(position AS BIGINT) AS position, slug FROM buyer", "buyer"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     picks = Q.progressive_quality(p.requests, p.quality, p.items, Q.BUYER_TESTS)
     return picks.select("request_id", F.col("position").cast("bigint").alias("position"), "slug")
 
@@ -540,13 +552,13 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return Q.short_requests(p.requests, Q.progressive_quality(p.requests, p.quality, p.items, Q.BUYER_TESTS))
 
 
 @register("plain_quality_ids", sql.query(POSITIONS + "plain_quality", "plain_quality"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return items_out(Q.progressive_quality(p.requests, p.quality, p.items))
 
 
@@ -589,13 +601,13 @@ def _(spark, d):
 
 @register("collaborative_top", sql.query(POSITIONS + "personal", "personal"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return items_out(CF.collaborative(p.requests, p.users, p.factors, p.items, p.active))
 
 
 @register("collaborative_randomised", sql.query(POSITIONS + "personal_10", "personal_10"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return items_out(CF.collaborative(p.requests, p.users, p.factors, p.items, p.active, widen=10))
 
 
@@ -609,7 +621,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return CF.best_for_users(p.requests, p.users, p.factors, p.items, p.active, limit="n")
 
 
@@ -622,7 +634,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     served = CF.collaborative(p.requests, p.users, p.factors, p.items, p.active, widen=10)
     return items_out(CF.collaborative_or_quality(served, Q.progressive_quality(p.requests, p.quality, p.items)))
 
@@ -634,13 +646,13 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return CF.unknown_users(p.requests, p.users).select("request_id", "actor")
 
 
 @register("reranked", sql.query(POSITIONS + "reranked", "reranked"))
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return items_out(CF.reranked(p.requests, p.users, p.factors))
 
 
@@ -699,7 +711,7 @@ def _(spark, d):
     sql.query("SELECT u AS user, item_id, CASE WHEN held THEN 'test' ELSE 'train' END AS side FROM pairs", "pairs"),
 )
 def _(spark, d):
-    train, test = CF.split(Parts(spark, d).pairs, "user", "item_id")
+    train, test = CF.split(parts(spark, d).pairs, "user", "item_id")
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 
@@ -715,7 +727,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return CF.positive_ranks(p.pairs, p.users, p.factors)
 
 
@@ -730,7 +742,7 @@ SELECT round(avg(hits / {k}), 6) AS precision_at_k, count(*) AS users FROM (
 
 def _precision(k: int):
     def run(spark, d):
-        p = Parts(spark, d)
+        p = parts(spark, d)
         train, test = CF.split(p.pairs, "user", "item_id")
         return CF.mean_metric(CF.precision_at_k(test, train, p.users, p.factors, k), "precision_at_k")
 
@@ -753,7 +765,7 @@ register("precision_at_4", sql.query(_precision_sql(4), "all_scores"))(_precisio
     ),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     _, test = CF.split(p.pairs, "user", "item_id")
     return CF.mean_metric(CF.auc(test, p.users, p.factors), "auc")
 
@@ -774,7 +786,7 @@ GROUP BY 1, 2""",
     ),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     rows = CF.feature_rows(p.tables["listings"], "id", ["family_id", "bike_type_id"]).withColumnRenamed("id", "item_id")
     cold = CF.cold_factors(p.factors, rows)
     return cold.select("item_id", F.posexplode("vector").alias("dim", "x")).select(
@@ -785,7 +797,7 @@ def _(spark, d):
 @register("als_top_items")
 def _(spark, d):
     """Fitted factors have no closed form: rows only."""
-    p = Parts(spark, d)
+    p = parts(spark, d)
     rows = cut_lineage(FB.interactions(D.order_events(spark, d), p.tables, D.ORDERS_AS_OF).na.drop("any"))
     users, items = CF.dense_ids(rows, "user_id"), CF.dense_ids(rows, "bike_id")
     train, _ = CF.split(rows, "user_id", "bike_id")
@@ -845,7 +857,7 @@ FROM a JOIN s USING (request_id) JOIN good r USING (request_id)"""
 
 @register("batch_answers", sql.query(_ANSWERS, "content", "personal", "personal_10", "reranked", "buyer"))
 def _(spark, d):
-    rows, _ = BT.answer(D.requests(spark, d), Parts(spark, d).store())
+    rows, _ = BT.answer(D.requests(spark, d), parts(spark, d).store())
     return rows.withColumn("position", F.col("position").cast("bigint"))
 
 
@@ -861,7 +873,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return BT.answer(D.requests(spark, d), Parts(spark, d).store())[1]
+    return BT.answer(D.requests(spark, d), parts(spark, d).store())[1]
 
 
 @register(
@@ -873,7 +885,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    p = Parts(spark, d)
+    p = parts(spark, d)
     return BT.second_chance(p.requests, K.content_mixed(p.requests, p.neighbors, p.quality, p.items))
 
 
