@@ -29,7 +29,7 @@ def similar_items(
     """Nearest ``overfetch * n + 1``, masked, first ``n``; if that leaves fewer than ``n``,
     the nearest ``n + 1`` without the mask (never with ``strict_mask``)."""
     n = F.col("n")
-    near = lookup(requests, neighbors, carry=CARRY).filter(F.col("position") <= overfetch * n + 1)
+    near = lookup(requests, neighbors, overfetch * n + 1, carry=CARRY)
     passed = F.col("ok").cast("int")
     counted = (
         M.flagged(near, items)
@@ -69,23 +69,30 @@ def prefiltered_items(
     hit = tests[0]
     for t in tests[1:]:
         hit = (hit | t) if match == "any" else (hit & t)
-    near = neighbors.select(F.col("item_id").alias("bike_id"), F.col("neighbor_id").alias("item_id"), "distance")
-    d = F.col("distance")
+    near = neighbors.select(
+        F.col("item_id").alias("bike_id"), F.col("neighbor_id").alias("item_id"), F.col("position").alias("_stored")
+    )
+    # What matches depends on the item alone: ranked once per item asked for, however
+    # many requests ask for it.
+    per_item = W.partitionBy("bike_id")
     matched = (
-        requests.select("request_id", "bike_id", n.alias("n"), *M.MASK_COLUMNS)
+        near.join(requests.select("bike_id").distinct(), "bike_id", "left_semi")
         .join(own, "bike_id")
-        .join(near, "bike_id")
         .join(attrs.withColumnRenamed("id", "item_id"), "item_id")
         .filter(hit)
-        .withColumn("distance", F.when(d == 0, F.lit(float("inf"))).otherwise(d))
-        .select("request_id", "bike_id", "item_id", "distance", *CARRY)
+        .withColumn("_all", F.count("*").over(per_item))
+        .filter((F.col("_all") > 1) & F.col("_stored").isNotNull())
+        .withColumn("_near", F.row_number().over(per_item.orderBy("_stored")))
+        .select("bike_id", "item_id", "_near")
+    )
+    fetched = (
+        requests.select("request_id", "bike_id", n.alias("n"), *M.MASK_COLUMNS)
+        .join(matched, "bike_id")
+        .filter(F.col("_near") <= overfetch * F.col("n"))
     )
     return (
-        M.flagged(matched, items)
-        .withColumn("_all", F.count("*").over(_per_request()))
-        .filter((F.col("_all") > 1) & (F.col("item_id") != F.col("bike_id")))
-        .withColumn("_near", F.row_number().over(_per_request().orderBy("distance", "item_id")))
-        .filter((F.col("_near") <= overfetch * F.col("n")) & F.col("ok"))
+        M.flagged(fetched, items)
+        .filter("ok")
         .withColumn("position", F.row_number().over(_per_request().orderBy("_near")))
         .filter(F.col("position") <= F.col("n"))
         .select(*OUT)
@@ -112,7 +119,7 @@ def family_first(
     relatives = Q.best_per_list(
         known.withColumn("_m", F.col("n")), quality, items, (), "ladder", ("family_id", "family_id"), exclude="bike_id"
     ).select("request_id", F.col("place").alias("position"), "item_id", F.col("_m").alias("n"), F.lit(0).alias("_from"))
-    near = lookup(requests, neighbors, carry=CARRY).filter(F.col("position") <= overfetch * F.col("n"))
+    near = lookup(requests, neighbors, overfetch * F.col("n"), carry=CARRY)
     fill = M.flagged(near, items).filter("ok").select(*OUT, "n", F.lit(1).alias("_from"))
     # One shuffle by request serves all windows below.
     return (

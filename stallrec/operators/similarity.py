@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -266,11 +266,14 @@ def _nearest(
         B.block_mapper("_left", kernel, kernel.trim, kernel.schema),
         "item_id bigint, neighbor_id bigint, distance double, _k bigint",
     )
-    best = W.partitionBy("item_id").orderBy("distance", "neighbor_id")
+    item = W.partitionBy("item_id")
+    own = F.col("neighbor_id") == F.col("item_id")
+    far = F.when(F.col("distance") == 0, F.lit(float("inf"))).otherwise(F.col("distance"))
     return (
-        found.withColumn("rank", F.row_number().over(best))
+        found.withColumn("rank", F.row_number().over(item.orderBy("distance", "neighbor_id")))
         .filter(F.col("rank") <= k)
-        .select("item_id", "neighbor_id", "distance", "rank")
+        .withColumn("_place", F.row_number().over(item.orderBy(own, far, "neighbor_id")))
+        .select("item_id", "neighbor_id", "distance", "rank", F.when(~own, F.col("_place")).alias("position"))
     )
 
 
@@ -343,24 +346,33 @@ def nearest_vectors(
 
 
 def lookup(
-    requests: DataFrame, neighbors: DataFrame, zero_is_far: bool = True, carry: Sequence[str] = ()
+    requests: DataFrame,
+    neighbors: DataFrame,
+    limit: Column | None = None,
+    zero_is_far: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Neighbors of each request's item, nearest first, the item itself removed.
 
-    With ``zero_is_far`` a distance of zero, an exact twin, reads as infinitely far.
-    ``carry`` names request columns to keep.
+    A distance of zero, an exact twin, reads as infinitely far (unless ``zero_is_far`` is
+    off); the stored ``position`` already counts that way. ``limit`` cuts by position
+    inside the join, so an item asked for by many requests brings only the rows each of
+    them can use. ``carry`` names request columns to keep.
     """
     d = F.col("distance")
-    far = F.when(d == 0, F.lit(float("inf"))).otherwise(d) if zero_is_far else d
-    order = W.partitionBy("request_id").orderBy("distance", "item_id")
-    near = neighbors.select(F.col("item_id").alias("bike_id"), F.col("neighbor_id").alias("item_id"), "distance")
-    return (
-        requests.select("request_id", "bike_id", *carry)
-        .join(near, "bike_id")
-        .filter(F.col("item_id") != F.col("bike_id"))
-        .select("request_id", "bike_id", "item_id", far.alias("distance"), *carry)
-        .withColumn("position", F.row_number().over(order))
+    near = neighbors.filter(F.col("position").isNotNull()).select(
+        F.col("item_id").alias("bike_id"),
+        F.col("neighbor_id").alias("item_id"),
+        (F.when(d == 0, F.lit(float("inf"))).otherwise(d) if zero_is_far else d).alias("distance"),
+        "position",
     )
+    if not zero_is_far:
+        order = W.partitionBy("bike_id").orderBy("distance", "item_id")
+        near = near.withColumn("position", F.row_number().over(order))
+    found = requests.select("request_id", "bike_id", *carry).join(near, "bike_id")
+    if limit is not None:
+        found = found.filter(F.col("position") <= limit)
+    return found.select("request_id", "bike_id", "item_id", "distance", "position", *carry)
 
 
 def unknown_items(requests: DataFrame, items: DataFrame) -> DataFrame:

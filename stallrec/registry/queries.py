@@ -393,7 +393,7 @@ _VECTOR_DISTANCE = {
 
 def _vector_metric(metric: str, distance: str) -> None:
     body = f"""
-SELECT item_id, neighbor_id, distance, CAST(rank AS INTEGER) AS rank FROM (
+SELECT item_id, neighbor_id, distance, CAST(rank AS INTEGER) AS rank, {sql.PLACE} AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, neighbor_id) AS rank
   FROM (SELECT a.vec_id AS item_id, b.vec_id AS neighbor_id, round({distance}, 6) AS distance
         FROM vectors a JOIN vectors b ON b.label < 5)) WHERE rank <= 20"""

@@ -393,10 +393,14 @@ cte(
 )
 
 
+PLACE = """CASE WHEN neighbor_id <> item_id THEN CAST(row_number() OVER (PARTITION BY item_id ORDER BY
+  neighbor_id = item_id, CASE WHEN distance = 0 THEN CAST('inf' AS DOUBLE) ELSE distance END, neighbor_id) AS INTEGER) END"""
+
+
 def neighbors_sql(limit: str, distance: str | None = None) -> str:
     d = distance or f"sqrt(CAST({_heavy} AS DOUBLE) + {_gaps})"
     return f"""
-SELECT item_id, neighbor_id, distance, CAST(rank AS INTEGER) AS rank FROM (
+SELECT item_id, neighbor_id, distance, CAST(rank AS INTEGER) AS rank, {PLACE} AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, neighbor_id) AS rank
   FROM (SELECT a.id AS item_id, b.id AS neighbor_id, round({d}, 6) AS distance
         FROM feats a JOIN feats b ON b.status = 'active'))
