@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 512
 ITEM_BLOCK = 8192
 SLOTS = 16
 
@@ -46,7 +46,7 @@ def meet(queries: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame
     Item blocks are dealt over ``SLOTS``, and query blocks repeat once per slot, so a key
     that holds a third of the items is worked on by many tasks.
     """
-    q = queries.withColumnRenamed("_bucket", "_query_block").withColumn(
+    q = dealt(queries.withColumnRenamed("_bucket", "_query_block"), *keys, "_query_block").withColumn(
         "_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))
     )
     i = items.withColumnRenamed("_bucket", "_item_block").withColumn(
@@ -55,6 +55,12 @@ def meet(queries: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame
     return q.join(i, [*keys, "_slot"])
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread block rows over all tasks. They are few and small beside the work they
+    cause, so without a set number of partitions the adaptive planner would merge them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fields(batch: pa.RecordBatch, column: str, row: int) -> dict[str, pa.Array]:
     """The structs of one list cell as a column per field."""
     array = batch.column(batch.schema.get_field_index(column))[row].values
@@ -87,6 +93,25 @@ def best_rows(group: np.ndarray, order: Sequence[np.ndarray], limit: np.ndarray)
     return at[np.arange(len(g)) - first < limit[at]]
 
 
+def first_hits(hit: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the first ``limit`` hits of each row, left to right. Rows leave as
+    soon as they are full, so a dense row costs a few columns."""
+    rows = np.arange(len(hit))
+    left = limit.astype(np.int64).copy()
+    start, width, found = 0, 128, []
+    while start < hit.shape[1] and len(rows):
+        part = hit[rows, start : start + width]
+        part &= np.cumsum(part, axis=1, dtype=np.int32) <= left[rows][:, None]
+        r, c = np.nonzero(part)
+        found.append((rows[r], c + start))
+        left[rows] -= np.bincount(r, minlength=len(rows))
+        rows = rows[left[rows] > 0]
+        start, width = start + width, width * 4
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 Kernel = Callable[[pa.RecordBatch, int], dict[str, np.ndarray]]
 Trim = Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
 

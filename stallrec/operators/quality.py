@@ -106,14 +106,12 @@ class _ListKernel:
     def __call__(self, batch: pa.RecordBatch, row: int) -> dict[str, np.ndarray]:
         req, item = B.fields(batch, "requests", row), B.fields(batch, "items", row)
         ids, m = B.numbers(req["request_id"]), B.numbers(req["_m"])
+        at = np.lexsort((B.numbers(item["item_id"]), B.numbers(item["order_key"])))
+        item = {c: v.take(pa.array(at)) for c, v in item.items()}
         other, order = B.numbers(item["item_id"]), B.numbers(item["order_key"])
-        by_rank = np.lexsort((other, order))
         parts = []
         for name, hit in self.lists(req, item):
-            ranked = hit[:, by_rank]
-            first = ranked & (np.cumsum(ranked, axis=1) <= m[:, None])
-            r, c = np.nonzero(first)
-            c = by_rank[c]
+            r, c = B.first_hits(hit, m)
             parts.append((ids[r], np.full(len(r), name), other[c], order[c], m[r]))
         names = self.schema.names
         return {n: np.concatenate([p[i] for p in parts]).astype(np.int64) for i, n in enumerate(names)}
@@ -122,6 +120,11 @@ class _ListKernel:
     def trim(out: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         # One number per (request, list); list numbers are small.
         _, request = np.unique(out["request_id"], return_inverse=True)
+        if len(request) and out["list"].min() < 0:
+            # With n = _m / 2 masked items found, the lists without the mask are not needed.
+            masked = np.bincount(request[out["list"] == 0], minlength=request.max() + 1)
+            needed = (out["list"] >= 0) | (2 * masked[request] < out["_m"])
+            out, request = {c: v[needed] for c, v in out.items()}, request[needed]
         group = request.astype(np.int64) * 1024 + out["list"] + 512
         at = B.best_rows(group, (out["order_key"], out["item_id"]), out["_m"])
         return {c: v[at] for c, v in out.items()}

@@ -258,7 +258,7 @@ def _nearest(
         .filter(F.col("_low") <= F.col("_bound"))
         .select("_left", "_right", "_bound", F.lit(k).cast("bigint").alias("_k"))
     )
-    pairs = near.join(left.select(F.col("_block").alias("_left"), "rows"), "_left").join(
+    pairs = B.dealt(near, "_left").join(left.select(F.col("_block").alias("_left"), "rows"), "_left").join(
         right.select(F.col("_block").alias("_right"), "items"), "_right"
     )
     kernel = _NearestKernel(distance, select)
