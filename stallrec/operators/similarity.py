@@ -84,33 +84,49 @@ def _keep_nearest(d: np.ndarray, ids: np.ndarray, k: int, bound: float, select:
     return np.nonzero(d <= limit[:, None])
 
 
+TILE = (64, 1024)
+
+
+def _tiles(n: int, m: int):
+    for r in range(0, n, TILE[0]):
+        for c in range(0, m, TILE[1]):
+            yield slice(r, min(r + TILE[0], n)), slice(c, min(c + TILE[1], m))
+
+
 def _feature_distance(a: Mapping, b: Mapping, spec: Features) -> np.ndarray:
-    """Distances of two blocks from matches and scaled numbers, without one-hot columns."""
-    n, m = len(a["_id"]), len(b["_id"])
-    total = np.zeros((n, m))
-    if spec.metric == "cosine":
-        dot = np.zeros((n, m))
-        norm_a = np.full(n, sum(w * w for w in spec.categories.values()))
-        norm_b = np.full(m, sum(w * w for w in spec.categories.values()))
+    """Distances of two blocks from matches and scaled numbers, without one-hot columns.
+
+    Worked off in tiles that stay in the processor's cache.
+    """
+    cats, nums = [], []
     for c, w in spec.categories.items():
-        code_b, known = B.codes(b[c])
-        code_a = B.recode(a[c], known)
-        same = code_a[:, None] == code_b[None, :]
-        if spec.metric == "cosine":
-            dot += w * w * same
-        else:
-            total += (2 * w if spec.metric == "cityblock" else 2 * w * w) * ~same
+        code, known = B.codes(b[c])
+        cats.append((B.recode(a[c], known).astype(np.int32), code.astype(np.int32), w))
     for c in spec.numbers:
-        x, y = B.numbers(a[c]), B.numbers(b[c])
+        nums.append((B.numbers(a[c]), B.numbers(b[c])))
+    n, m = len(a["_id"]), len(b["_id"])
+    total = np.empty((n, m))
+    square = sum(w * w for w in spec.categories.values())
+    norms = [square + sum(x[i] * x[i] for x in nums) for i in (0, 1)]
+    for r, c in _tiles(n, m):
+        part = np.zeros((r.stop - r.start, c.stop - c.start))
         if spec.metric == "cosine":
-            dot += x[:, None] * y[None, :]
-            norm_a, norm_b = norm_a + x * x, norm_b + y * y
+            for x, y, w in cats:
+                part += (w * w) * (x[r, None] == y[None, c])
+            for x, y in nums:
+                part += x[r, None] * y[None, c]
+            part = 1 - part / np.sqrt(norms[0][r, None] * norms[1][None, c])
         else:
-            gap = x[:, None] - y[None, :]
-            total += np.abs(gap) if spec.metric == "cityblock" else gap * gap
-    if spec.metric == "cosine":
-        return 1 - dot / np.sqrt(norm_a[:, None] * norm_b[None, :])
-    return np.sqrt(total) if spec.metric == "euclidean" else total
+            flat = spec.metric == "cityblock"
+            for x, y, w in cats:
+                part += (2 * w if flat else 2 * w * w) * (x[r, None] != y[None, c])
+            for x, y in nums:
+                gap = x[r, None] - y[None, c]
+                part += np.abs(gap) if flat else gap * gap
+            if spec.metric == "euclidean":
+                np.sqrt(part, out=part)
+        total[r, c] = part
+    return total
 
 
 def _vector_distance(a: Mapping, b: Mapping, metric: str) -> np.ndarray:
@@ -188,11 +204,20 @@ def _blocks_in_order(df: DataFrame, order: Sequence[str], size: int, rows: int,
     )
 
 
+def _heaviest(spec: Features) -> list[str]:
+    """The categories blocks are ordered by and summarised for."""
+    return sorted(spec.categories, key=lambda c: -spec.categories[c])[:5]
+
+
 def _feature_bounds(spec: Features, a: str, b: str):
-    """Least and greatest distance two blocks can have, from their summaries."""
+    """Least and greatest distance two blocks can have, from their summaries. Categories
+    without a summary may match or not."""
     low, high = F.lit(0.0), F.lit(0.0)
     for c, w in spec.categories.items():
         cost = 2 * w if spec.metric == "cityblock" else 2 * w * w
+        if c not in _heaviest(spec):
+            high = high + cost
+            continue
         x, y = F.col(f"{a}.s_{c}"), F.col(f"{b}.s_{c}")
         low = low + F.when(F.arrays_overlap(x, y), 0.0).otherwise(cost)
         alike = (F.size(x) == 1) & (F.size(y) == 1) & (x[0] == y[0])
@@ -213,7 +238,7 @@ def _feature_bounds(spec: Features, a: str, b: str):
 
 def _feature_summary(spec: Features):
     return [
-        *[F.collect_set(c).alias(f"s_{c}") for c in spec.categories],
+        *[F.collect_set(c).alias(f"s_{c}") for c in _heaviest(spec)],
         *[F.min(c).alias(f"lo_{c}") for c in spec.numbers],
         *[F.max(c).alias(f"hi_{c}") for c in spec.numbers],
     ]
@@ -266,15 +291,23 @@ def _nearest(
         B.block_mapper("_left", kernel, kernel.trim, kernel.schema),
         "item_id bigint, neighbor_id bigint, distance double, _k bigint",
     )
+    # Zeros rank first but read as far: nonzero rows move up by their number, exact twins
+    # follow the nonzero rows, the item itself has no position. Plain counts per item, so
+    # the one sort for ``rank`` serves all.
     item = W.partitionBy("item_id")
     own = F.col("neighbor_id") == F.col("item_id")
-    far = F.when(F.col("distance") == 0, F.lit(float("inf"))).otherwise(F.col("distance"))
-    return (
+    zero = F.col("distance") == 0
+    ranked = (
         found.withColumn("rank", F.row_number().over(item.orderBy("distance", "neighbor_id")))
         .filter(F.col("rank") <= k)
-        .withColumn("_place", F.row_number().over(item.orderBy(own, far, "neighbor_id")))
-        .select("item_id", "neighbor_id", "distance", "rank", F.when(~own, F.col("_place")).alias("position"))
+        .withColumn("_all", F.count("*").over(item))
+        .withColumn("_zeros", F.sum(zero.cast("int")).over(item))
+        .withColumn("_own", F.max(own).over(item))
     )
+    passed_own = (F.col("_own") & (F.col("item_id") < F.col("neighbor_id"))).cast("int")
+    twin = F.col("_all") - F.col("_zeros") + F.col("rank") - passed_own
+    place = F.when(own, None).when(zero, twin).otherwise(F.col("rank") - F.col("_zeros"))
+    return ranked.select("item_id", "neighbor_id", "distance", "rank", place.cast("int").alias("position"))
 
 
 def nearest_items(
@@ -298,7 +331,7 @@ def nearest_items(
         raise ValueError(f"unknown metric {spec.metric}")
     feats = feature_frame(items, spec).withColumnRenamed("id", "_id")
     chosen = feats.join(active.select(F.col("id").alias("_id")), "_id", "left_semi")
-    order = sorted(spec.categories, key=lambda c: -spec.categories[c])[:5] + list(spec.numbers)
+    order = _heaviest(spec) + list(spec.numbers)
     bounds = (
         (F.lit(0.0), F.lit(float("inf")))
         if spec.metric == "cosine"
