@@ -49,7 +49,7 @@ def meet(queries: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame
     q = dealt(queries.withColumnRenamed("_bucket", "_query_block"), *keys, "_query_block").withColumn(
         "_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))
     )
-    i = items.withColumnRenamed("_bucket", "_item_block").withColumn(
+    i = dealt(items.withColumnRenamed("_bucket", "_item_block"), *keys, "_item_block").withColumn(
         "_slot", F.pmod(F.xxhash64("_item_block"), F.lit(SLOTS)).cast("int")
     )
     return q.join(i, [*keys, "_slot"])
@@ -57,8 +57,10 @@ def meet(queries: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Spread block rows over all tasks. They are few and small beside the work they
-    cause, so without a set number of partitions the adaptive planner would merge them."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    cause, so without a set number of partitions the adaptive planner would merge them.
+    The digest keeps this step from being dropped as a repeat of an earlier shuffle."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*keys))
 
 
 def fields(batch: pa.RecordBatch, column: str, row: int) -> dict[str, pa.Array]:

@@ -19,6 +19,7 @@ from stallrec.session import cut_lineage
 METRICS = ("euclidean", "sqeuclidean", "cityblock", "cosine")
 DIGITS = 6
 MAX_ITEM_BLOCKS = 4096
+BROADCAST_ITEMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -281,11 +282,18 @@ def _nearest(
             F.min(F.when(F.col("_seen") >= k, F.col("_high"))).over(W.partitionBy("_left")) + 1e-5,
         )
         .filter(F.col("_low") <= F.col("_bound"))
-        .select("_left", "_right", "_bound", F.lit(k).cast("bigint").alias("_k"))
-    )
-    pairs = B.dealt(near, "_left").join(left.select(F.col("_block").alias("_left"), "rows"), "_left").join(
-        right.select(F.col("_block").alias("_right"), "items"), "_right"
+        .select("_left", "_right", "_bound")
     )
+    # A block's partners, at most MAX_ITEM_BLOCKS, ride along as a list while the block is
+    # moved once; the item blocks come to them.
+    partners = near.groupBy("_left").agg(F.collect_list(F.struct("_right", "_bound")).alias("_near"))
+    chunks = left.select(F.col("_block").alias("_left"), "rows").join(partners, "_left")
+    pairs = B.dealt(chunks, "_left").select(
+        "_left", "rows", F.explode("_near").alias("_p")
+    ).select("_left", "rows", "_p.*", F.lit(k).cast("bigint").alias("_k"))
+    blocks = right.select(F.col("_block").alias("_right"), "items")
+    # The counted size decides: few items are broadcast, more are shuffled by block.
+    pairs = pairs.join(F.broadcast(blocks) if n_items <= BROADCAST_ITEMS else blocks, "_right")
     kernel = _NearestKernel(distance, select)
     found = pairs.mapInArrow(
         B.block_mapper("_left", kernel, kernel.trim, kernel.schema),
