@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -228,8 +230,6 @@ def _(spark, d):
 )
 def _(spark, d):
     ev = D.named_events(spark, d)
-    import datetime as dt
-
     return doubles(
         ev.select(
             "event_id",
@@ -423,6 +423,22 @@ def _(spark, d):
     return S.unknown_items(p.requests, p.items)
 
 
+@register(
+    "content_artifact_sizes",
+    sql.query(
+        """SELECT 'items' AS artifact, count(*) AS n FROM items UNION ALL SELECT 'items_preference', count(*) FROM items
+           UNION ALL SELECT 'user_preferences', count(*) FROM stated UNION ALL SELECT 'items_active', count(*) FROM active
+           UNION ALL SELECT 'items_quality', count(*) FROM quality UNION ALL SELECT 'neighbors', count(*) FROM neighbors""",
+        "items", "stated", "active", "quality", "neighbors",
+    ),
+)
+def _(spark, d):
+    """The whole content job, its artifacts counted."""
+    made = J.content_artifacts(D.catalog_tables(spark, d), D.stated_preferences(spark, d), D.CATALOG_AS_OF)
+    sizes = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("artifact"), "n") for name, df in made.items()]
+    return reduce(DataFrame.unionByName, sizes)
+
+
 # ------------------------------------------------------------------ masks
 
 
