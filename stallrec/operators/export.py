@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stallrec import config as C
 from stallrec.functions import columns as X
+from stallrec.session import cut_lineage
 
 
 def listed_events(raw: DataFrame, events: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -57,7 +58,8 @@ def export_interactions(
     sampled = raw.filter(X.in_fraction([F.col(key)], fraction, seed)) if key else raw.sample(False, fraction, seed)
     rows = listed_events(sampled, list(weights), [user, item, *features]).na.drop("any")
     flat = {c: c.replace(".", "_") for c in (user, item, *features)}
-    weighed = rows.withColumn("feedback", X.event_weight(F.col("event"), weights, unknown=None))
+    # Written once: the limit reads the rows twice, and the raw text is slow to parse.
+    weighed = cut_lineage(rows.withColumn("feedback", X.event_weight(F.col("event"), weights, unknown=None)))
     return summed(
         within_limit(weighed, flat[user], limit), flat[user], flat[item], [flat[f] for f in features]
     )

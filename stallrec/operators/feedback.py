@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stallrec import config as C
 from stallrec.functions import columns as X
+from stallrec.session import cut_lineage
 
 EVENT_COLUMNS = ("event_type", "anonymous_id", "user_id", "item_id", "ts")
 
@@ -119,7 +120,11 @@ def regrouped(interactions: DataFrame) -> DataFrame:
 def interactions(
     events: DataFrame, catalog: Mapping[str, DataFrame], as_of: dt.date, all_events: DataFrame | None = None
 ) -> DataFrame:
-    """Events to (user, item) feedback. The actor mapping reads all events, old ones too."""
-    actors = active_actors(actor_item_feedback(events, as_of))
+    """Events to (user, item) feedback. The actor mapping reads all events, old ones too.
+
+    The pairs are far fewer than the events. They are written once, since the activity
+    limit reads them twice and the planner would otherwise scan the events twice.
+    """
+    actors = active_actors(cut_lineage(actor_item_feedback(events, as_of)))
     mapping = actor_user_map(events if all_events is None else all_events)
     return user_item_feedback(actors, mapping, catalog["listings"], catalog["infos"])

@@ -269,7 +269,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    pairs = FB.actor_item_feedback(D.order_events(spark, d), D.ORDERS_AS_OF)
+    pairs = cut_lineage(FB.actor_item_feedback(D.order_events(spark, d), D.ORDERS_AS_OF))
     return doubles(FB.active_actors(pairs))
 
 
