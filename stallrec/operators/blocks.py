@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 512
@@ -21,38 +21,36 @@ ITEM_BLOCK = 8192
 SLOTS = 16
 
 
-def pack(df: DataFrame, keys: Sequence[str], bucket: Column, columns: Sequence[str], name: str) -> DataFrame:
-    """One row per (keys, bucket) with the rows as an array of structs.
+def pack(df: DataFrame, shelf: str | None, key: str, size: int, columns: Sequence[str], name: str) -> DataFrame:
+    """One row per (_shelf, _bucket) with about ``size`` rows as an array of structs.
 
-    The caller's ``bucket`` bounds the group: a range of unique positions, or a digest
-    of a unique id over a number of buckets that grows with the table.
+    Buckets are digests of a unique key, as many as the shelf's row count asks for, so a
+    block stays small on a hot shelf and is not split up on a rare one. Without a
+    ``shelf`` column all rows share one.
     """
-    return (
-        df.withColumn("_bucket", bucket)
-        .groupBy(*keys, "_bucket")
-        .agg(F.collect_list(F.struct(*columns)).alias(name))
-    )
-
-
-def spread(df: DataFrame, key: str, size: int) -> Column:
-    """A bucket number by digest of a unique key, about ``size`` rows to a bucket."""
-    buckets = df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("b")).scalar()
-    return F.pmod(F.xxhash64(key), buckets)
+    if shelf is None:
+        parts = df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("b")).scalar()
+        dealt_out = df.select("*", F.lit("all").alias("_shelf"), F.pmod(F.xxhash64(key), parts).alias("_bucket"))
+    else:
+        shelved = df.withColumn("_shelf", F.col(shelf).cast("string"))
+        parts = shelved.groupBy("_shelf").agg(F.ceil(F.count("*") / size).alias("_parts"))
+        dealt_out = shelved.join(parts, "_shelf").withColumn("_bucket", F.pmod(F.xxhash64(key), F.col("_parts")))
+    return dealt_out.groupBy("_shelf", "_bucket").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
-def meet(queries: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join packed query blocks to packed item blocks of the same key.
+def meet(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Join packed query blocks to packed item blocks of the same shelf.
 
-    Item blocks are dealt over ``SLOTS``, and query blocks repeat once per slot, so a key
+    Item blocks are dealt over ``SLOTS``, and query blocks repeat once per slot, so a shelf
     that holds a third of the items is worked on by many tasks.
     """
-    q = dealt(queries.withColumnRenamed("_bucket", "_query_block"), *keys, "_query_block").withColumn(
+    q = dealt(queries.withColumnRenamed("_bucket", "_query_block"), "_shelf", "_query_block").withColumn(
         "_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))
     )
-    i = dealt(items.withColumnRenamed("_bucket", "_item_block"), *keys, "_item_block").withColumn(
+    i = dealt(items.withColumnRenamed("_bucket", "_item_block"), "_shelf", "_item_block").withColumn(
         "_slot", F.pmod(F.xxhash64("_item_block"), F.lit(SLOTS)).cast("int")
     )
-    return q.join(i, [*keys, "_slot"])
+    return q.join(i, ["_shelf", "_slot"])
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:

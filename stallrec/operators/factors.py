@@ -182,9 +182,7 @@ def _packed_factors(factors: DataFrame, items: DataFrame | None, active: DataFra
     if items is not None:
         df = df.join(M.item_mask_columns(items), "item_id")
         cols += list(M.ITEM_MASK_COLUMNS)
-    return B.pack(
-        df.withColumn("_shelf", F.lit("all")), ["_shelf"], B.spread(df, "item_id", B.ITEM_BLOCK), cols, "items"
-    )
+    return B.pack(df, None, "item_id", B.ITEM_BLOCK, cols, "items")
 
 
 def best_for_users(
@@ -202,15 +200,11 @@ def best_for_users(
         F.col(limit).cast("bigint").alias("_m"),
         "vector",
     )
-    packed = B.pack(
-        req.withColumn("_shelf", F.lit("all")),
-        ["_shelf"],
-        B.spread(req, "request_id", B.QUERY_BLOCK),
-        req.columns,
-        "users",
-    ).withColumn("_run", F.col("_bucket").cast("string"))
+    packed = B.pack(req, None, "request_id", B.QUERY_BLOCK, req.columns, "users").withColumn(
+        "_run", F.col("_bucket").cast("string")
+    )
     kernel = _TopKernel()
-    found = B.meet(packed, _packed_factors(factors, items, active), ["_shelf"]).mapInArrow(
+    found = B.meet(packed, _packed_factors(factors, items, active)).mapInArrow(
         B.block_mapper("_run", kernel, kernel.trim, kernel.schema),
         "request_id bigint, item_id bigint, score double, _m bigint",
     )
@@ -334,13 +328,13 @@ def positive_ranks(positives: DataFrame, users: DataFrame, factors: DataFrame) -
     lots = wanted.withColumn("_lot", F.pmod(F.xxhash64("item_id"), F.lit(64)))
     rows = lots.groupBy("user", "_lot").agg(
         F.any_value("_user").alias("vector"), F.collect_list(F.struct("item_id", "score")).alias("wanted")
-    ).withColumn("_shelf", F.lit("all"))
+    )
     rows = rows.withColumn("_key", F.concat_ws("|", "user", "_lot"))
-    packed = B.pack(rows, ["_shelf"], B.spread(rows, "_key", B.QUERY_BLOCK), ["user", "vector", "wanted"], "users").withColumn(
+    packed = B.pack(rows, None, "_key", B.QUERY_BLOCK, ["user", "vector", "wanted"], "users").withColumn(
         "_run", F.col("_bucket").cast("string")
     )
     kernel = _RankKernel()
-    found = B.meet(packed, _packed_factors(factors, None, None), ["_shelf"]).mapInArrow(
+    found = B.meet(packed, _packed_factors(factors, None, None)).mapInArrow(
         B.block_mapper("_run", kernel, kernel.trim, kernel.schema),
         "user string, item_id bigint, above bigint, equal bigint, equal_before bigint",
     )

@@ -151,7 +151,7 @@ def best_per_list(
     req_columns = sorted({t.request for t in tests})
     item_columns = sorted({t.item for t in tests})
     req = requests.select(
-        (F.col(shelf_request).cast("string") if shelf else F.lit("all")).alias("_shelf"),
+        *([F.col(shelf_request).alias("_on")] if shelf else []),
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("continent_id").cast("bigint").alias("continent_id"),
         "prefs",
@@ -162,30 +162,20 @@ def best_per_list(
     # The mask is drawn from the catalog: a quality row without a catalog row fails it.
     masks = M.item_mask_columns(items)
     listed = quality.select(
-        (F.col(shelf_item).cast("string") if shelf else F.lit("all")).alias("_shelf"),
+        *([F.col(shelf_item).alias("_on")] if shelf else []),
         F.col("id").alias("item_id"),
         F.col(order_key).cast("bigint").alias("order_key"),
-        F.col("quality_rank").alias("_rank"),
         (sampled if sampled is not None else F.lit(True)).alias("sampled"),
         *[F.col(c).alias("i_" + c) for c in item_columns],
     ).join(masks, "item_id", "left")
     listed = listed.fillna({"m_continent": -1, "m_motor": -1.0, "m_price": float("inf"), "m_size": -1.0, "m_category": -1})
-    packed_items = B.pack(
-        listed,
-        ["_shelf"],
-        F.floor(F.col("_rank") / B.ITEM_BLOCK),
-        [c for c in listed.columns if c not in ("_shelf", "_rank")],
-        "items",
-    )
+    on = "_on" if shelf else None
+    packed_items = B.pack(listed, on, "item_id", B.ITEM_BLOCK, [c for c in listed.columns if c != "_on"], "items")
     packed = B.pack(
-        req,
-        ["_shelf"],
-        B.spread(req, "request_id", B.QUERY_BLOCK),
-        [c for c in req.columns if c != "_shelf"],
-        "requests",
+        req, on, "request_id", B.QUERY_BLOCK, [c for c in req.columns if c != "_on"], "requests"
     ).withColumn("_run", F.concat_ws("|", "_shelf", "_bucket"))
     kernel = _ListKernel(tests, mode)
-    found = B.meet(packed, packed_items, ["_shelf"]).mapInArrow(
+    found = B.meet(packed, packed_items).mapInArrow(
         B.block_mapper("_run", kernel, kernel.trim, kernel.schema),
         "request_id bigint, list bigint, item_id bigint, order_key bigint, _m bigint",
     )
