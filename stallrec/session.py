@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def is_local_path(path: str) -> bool:
+    return urlparse(path).scheme in ("", "file")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand the package to the executors' Python, so that kernels import it without an installation."""
+    import shutil
+
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.master == "local" or getattr(context, "_stallrec_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(str(Path(tempfile_folder()) / "stallrec"), "zip", root, "stallrec")
+    context.addPyFile(archive)
+    context._stallrec_shipped = True
+
+
+def tempfile_folder() -> str:
+    """A scratch folder of the driver alone; what lies there reaches executors only by addPyFile."""
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="stallrec-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a scratch one only if none is named."""
+    """The folder the cluster names for checkpoints, else the warehouse folder.
+
+    A local warehouse path is refused unless the master is local: each executor would
+    write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="stallrec-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if named is not None:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if is_local_path(warehouse) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return warehouse
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
