@@ -291,8 +291,8 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     release(docs)
     touched = cut_lineage(docs.select("doc_id", "text").join(kept, "doc_id"))
     release(docs)
-    found = cut_lineage(passages(touched))
-    distinct = found.groupBy("anchor", "passage_id").agg(
+    # passages are made twice from the written texts: their own text is four times the documents'
+    distinct = passages(touched).groupBy("anchor", "passage_id").agg(
         F.first("passage").alias("passage"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")
     )
     distinct = cut_lineage(distinct)
@@ -304,14 +304,16 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     release(docs)
     starts = (
-        found.select("doc_id", "start", "anchor", "passage_id")
+        passages(touched).select("doc_id", "start", "anchor", "passage_id")
         .join(hits, ["anchor", "passage_id"])
         .select("doc_id", "start", F.explode(F.arrays_zip("offsets", "owners")).alias("h"))
         .filter("h.owners < doc_id")
         .groupBy("doc_id")
         .agg(F.collect_set((F.col("start") + F.col("h.offsets")).cast("long")).alias("starts"))
     )
-    return marked, touched.select("doc_id", "text").join(cut_lineage(starts), "doc_id")
+    starts = cut_lineage(starts)
+    release(docs)
+    return marked, touched.select("doc_id", "text").join(starts, "doc_id")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
