@@ -3,22 +3,25 @@
 The tokenizer cuts a text into pre-tokens before it merges, and a single space between two
 other characters always starts a new pre-token. A text is therefore cut there, and equal
 pieces share the ids the library gave them once. Where spaces meet other white space the
-cut would not be safe, so it is not made there.
+cut would not be safe, so it is not made there. A new piece of letters, marks after them and
+a line break is cut once more at those places, which are ends of pre-tokens too.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from array import array
 
 import numpy as np
 
-#: Fixed value: a space with other characters than white space on both sides.
+#: A space with other characters than white space on both sides.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 RISKY = re.compile(r" \s|\s ")
+#: Letters, then marks that start neither a contraction nor a special token; perhaps again after a line break.
+PARTS = re.compile(r"( ?[^\W\d_]+)([^\w\s'<]*)(?:(\n)([^\W\d_]+)([^\w\s'<]*))?")
 #: Pieces held by a task; when over, it starts anew.
-HELD = 200_000
+HELD = 500_000
 BATCH = 4096
 
 
@@ -29,12 +32,23 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def pieces(text: str) -> list[str]:
-    """Parts of the text that are encoded alone; joined they are the text."""
-    parts = CUT.split(text) if RISKY.search(text) else text.split(" ")
-    if len(parts) > 1 and RISKY.search(text) is None and (not parts[0] or not parts[-1]):
-        parts = CUT.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
+def cut(text: str) -> list[str]:
+    """Parts that are encoded alone; every part but the first has a space before it."""
+    if RISKY.search(text) or text[0] == " " or text[-1] == " ":
+        return CUT.split(text)
+    return text.split(" ")
+
+
+class Seen(dict):
+    """A number for every key met; ``fresh`` lists the new ones."""
+
+    def __init__(self):
+        self.fresh: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        self.fresh.append(key)
+        return number
 
 
 class Encoder:
@@ -43,36 +57,63 @@ class Encoder:
     def __init__(self, path: str, held: int = HELD):
         self.tokenizer = load(path)
         self.held = held
-        self.known: dict[str, list[int]] = {}
-
-    def learn(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), BATCH):
-            part = fresh[at : at + BATCH]
-            for piece, coded in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[piece] = coded.ids
-
-    def each(self, texts: list[str | None], use: Callable[[list[list[int]]], object]) -> list:
-        """``use`` of the ids of every text, piece by piece; a null text has none."""
-        out = []
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen = Seen()
+        # bytes of ids, since millions of small lists would burden the garbage collector
+        self.parts: dict[str | None, bytes] = {None: b"", "": b""}
+        self.flat = np.zeros(0, np.uintc)
+        self.sizes = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int64)
+
+    def learn(self) -> None:
+        """Ids of the pieces met since the last time."""
+        fresh = self.seen.fresh
+        if not fresh:
+            return
+        self.seen.fresh = []
+        split = []
+        for key in fresh:
+            piece = key[0] if isinstance(key, tuple) else " " + key
+            match = PARTS.fullmatch(piece)
+            split.append(match.groups() if match else (piece,))
+        new = list({p for parts in split for p in parts}.difference(self.parts))
+        for at in range(0, len(new), BATCH):
+            batch = new[at : at + BATCH]
+            for part, coded in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
+                self.parts[part] = array("I", coded.ids).tobytes()
+        coded = [b"".join([self.parts[p] for p in parts]) for parts in split]
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, coded), np.int64, len(coded)) // array("I").itemsize])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), np.uintc)])
+
+    def pieces(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all pieces, pieces per text); a null or empty text has none."""
+        if len(self.seen) > self.held:
+            self.clear()
+        number, numbers, counts = self.seen.__getitem__, [], []
         for text in texts:
-            parts = pieces(text) if text else []
-            fresh = list({p for p in parts if p not in self.known})
-            if fresh:
-                if len(self.known) + len(fresh) > self.held:
-                    self.known = {}
-                    fresh = list(set(parts))
-                self.learn(fresh)
-            out.append(use([self.known[p] for p in parts]))
-        return out
+            if not text:
+                counts.append(0)
+                continue
+            parts = cut(text)
+            numbers.append(number((parts[0],)))
+            numbers.extend(map(number, parts[1:]))
+            counts.append(len(parts))
+        self.learn()
+        return np.array(numbers, np.int64), np.array(counts, np.int64)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        def joined(parts):
-            flat: list[int] = []
-            for p in parts:
-                flat += p
-            return np.array(flat, np.int64)
-
-        return self.each(texts, joined)
+        numbers, counts = self.pieces(texts)
+        sizes = self.sizes[numbers]
+        starts = self.starts[numbers]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        flat = self.flat[np.repeat(starts, sizes) + within].astype(np.int64)
+        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]]
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        return self.each(texts, lambda parts: sum(map(len, parts)))
+        numbers, counts = self.pieces(texts)
+        ends = np.r_[0, np.cumsum(self.sizes[numbers])][np.r_[0, np.cumsum(counts)]]
+        return np.diff(ends).tolist()

@@ -123,7 +123,7 @@ def prototypes(taught: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray
     parts = taught.mapInArrow(run, "lang string, sums array<double>").select("lang", F.posexplode("sums").alias("at", "x"))
     rows = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"))
     found = sorted((r["lang"], [e["x"] for e in r["v"]]) for r in rows.collect())  # a row per language
-    matrix = np.array([v for _, v in found], np.float64).reshape(len(found), -1)
+    matrix = np.array([v for _, v in found], np.float64).reshape(len(found), dim)
     return [lang for lang, _ in found], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
 

@@ -154,8 +154,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
             if batch.num_rows:
                 shard = batch.column(2)[0].as_py()
             # a few texts at a time: ids of a batch would be larger than its texts
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
                     ids = np.append(ids, end_id)
                     if held and size + len(ids) > SEGMENT:
