@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK = 512
 ITEM_BLOCK = 8192
-SLOTS = 16
+#: Blocks of either side that one cell of the grid holds at most.
+CELL_QUERIES = 4
+CELL_ITEMS = 4
 
 
 def pack(df: DataFrame, shelf: str | None, key: str, size: int, columns: Sequence[str], name: str) -> DataFrame:
@@ -26,31 +28,42 @@ def pack(df: DataFrame, shelf: str | None, key: str, size: int, columns: Sequenc
 
     Buckets are digests of a unique key, as many as the shelf's row count asks for, so a
     block stays small on a hot shelf and is not split up on a rare one. Without a
-    ``shelf`` column all rows share one.
+    ``shelf`` column all rows share one. ``_blocks`` is the number of buckets of the shelf.
     """
     if shelf is None:
         parts = df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("b")).scalar()
-        dealt_out = df.select("*", F.lit("all").alias("_shelf"), F.pmod(F.xxhash64(key), parts).alias("_bucket"))
+        dealt_out = df.select("*", F.lit("all").alias("_shelf"), parts.alias("_parts"), F.pmod(F.xxhash64(key), parts).alias("_bucket"))
     else:
         shelved = df.withColumn("_shelf", F.col(shelf).cast("string"))
         parts = shelved.groupBy("_shelf").agg(F.ceil(F.count("*") / size).alias("_parts"))
         dealt_out = shelved.join(parts, "_shelf").withColumn("_bucket", F.pmod(F.xxhash64(key), F.col("_parts")))
-    return dealt_out.groupBy("_shelf", "_bucket").agg(F.collect_list(F.struct(*columns)).alias(name))
+    return dealt_out.groupBy("_shelf", "_bucket").agg(
+        F.max("_parts").cast("bigint").alias("_blocks"), F.collect_list(F.struct(*columns)).alias(name)
+    )
 
 
 def meet(queries: DataFrame, items: DataFrame) -> DataFrame:
     """Join packed query blocks to packed item blocks of the same shelf.
 
-    Item blocks are dealt over ``SLOTS``, and query blocks repeat once per slot, so a shelf
-    that holds a third of the items is worked on by many tasks.
+    The pairs of blocks of a shelf are a grid, cut into cells of at most ``CELL_QUERIES`` x
+    ``CELL_ITEMS`` blocks. Query blocks repeat once per column of cells and item blocks once
+    per row, so the join has as many keys as the work has cells, whatever a shelf holds.
     """
-    q = dealt(queries.withColumnRenamed("_bucket", "_query_block"), "_shelf", "_query_block").withColumn(
-        "_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))
+    rows = queries.groupBy("_shelf").agg(F.ceil(F.max("_blocks") / CELL_QUERIES).alias("_rows"))
+    columns = items.groupBy("_shelf").agg(F.ceil(F.max("_blocks") / CELL_ITEMS).alias("_columns"))
+    # one row per shelf
+    q = queries.join(columns, "_shelf").select(
+        *[F.col(c).alias("_query_block" if c == "_bucket" else c) for c in queries.columns if c != "_blocks"],
+        F.pmod("_bucket", F.ceil(F.col("_blocks") / CELL_QUERIES)).alias("_row"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_columns") - 1)).alias("_column"),
     )
-    i = dealt(items.withColumnRenamed("_bucket", "_item_block"), "_shelf", "_item_block").withColumn(
-        "_slot", F.pmod(F.xxhash64("_item_block"), F.lit(SLOTS)).cast("int")
+    i = items.join(rows, "_shelf").select(
+        *[F.col(c).alias("_item_block" if c == "_bucket" else c) for c in items.columns if c != "_blocks"],
+        F.pmod("_bucket", F.ceil(F.col("_blocks") / CELL_ITEMS)).alias("_column"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rows") - 1)).alias("_row"),
     )
-    return q.join(i, ["_shelf", "_slot"])
+    cell = ("_shelf", "_row", "_column")
+    return dealt(q, *cell).join(dealt(i, *cell), list(cell))
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:

@@ -74,8 +74,9 @@ def fit(
     rank: int = 30,
     iterations: int = 10,
     seed: int = 1,
+    blocks: int = 10,
 ) -> ALSModel:
-    """Implicit-feedback factors over dense ids."""
+    """Implicit-feedback factors over dense ids, fitted in ``blocks`` tasks per side."""
     indexed = (
         train.join(users.withColumnRenamed("idx", "u"), user)
         .join(items.withColumnRenamed("idx", "i"), item)
@@ -89,6 +90,8 @@ def fit(
         rank=rank,
         maxIter=iterations,
         seed=seed,
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
         coldStartStrategy="drop",
     )
     return als.fit(indexed)

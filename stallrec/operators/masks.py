@@ -139,10 +139,12 @@ def attach_masks(requests: DataFrame, preferences: DataFrame, items: DataFrame)
         lambda p: F.struct(p["max_price"], F.lit(0).cast("bigint").alias("category_id"), p["size"]),
     )
     prefs = F.when(page & F.col("live_free"), free).when(~page & F.col("live_own"), F.col("_stated"))
-    joined = requests.join(stated.withColumnRenamed("user_id", "_user"), F.col("user_id") == F.col("_user"), "left")
-    return joined.withColumn(
-        "prefs", F.when(F.col("user_id") != 0, prefs).cast(PREFS_TYPE)
-    ).drop("_user", "_stated", "live_own", "live_free")
+    # Anonymous requests, often most of them, share user 0 and have no mask: they stay out of the join.
+    named = F.coalesce(F.col("user_id") != 0, F.lit(False))
+    known = stated.filter("user_id <> 0").withColumnRenamed("user_id", "_user")
+    joined = requests.filter(named).join(known, F.col("user_id") == F.col("_user"), "left")
+    masked = joined.withColumn("prefs", prefs.cast(PREFS_TYPE)).drop("_user", "_stated", "live_own", "live_free")
+    return masked.unionByName(requests.filter(~named).withColumn("prefs", F.lit(None).cast(PREFS_TYPE)))
 
 
 def flagged(candidates: DataFrame, items: DataFrame) -> DataFrame:

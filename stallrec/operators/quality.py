@@ -203,9 +203,10 @@ def relaxed_quality(
 
     Rungs: type + price band + size + family, then without family, without size, without
     price, and at last all items without the mask (all masked items with
-    ``strict_mask``). Returns (request_id, position, item_id, rung), rung 4 the strictest.
+    ``strict_mask``). A request with ``n`` below 1 gets nothing. Returns (request_id,
+    position, item_id, rung), rung 4 the strictest.
     """
-    req = requests.withColumn("_m", F.col("n"))
+    req = requests.filter(F.col("n") >= 1).withColumn("_m", F.col("n"))
     lists = best_per_list(req, quality, items, LADDER, "ladder", ("bike_type", "bike_type")).select(
         "request_id", (F.col("list") + 1).alias("list"), "item_id", "place", "_m"
     )

@@ -28,4 +28,5 @@ def small_blocks(monkeypatch):
 
     monkeypatch.setattr(blocks, "QUERY_BLOCK", 16)
     monkeypatch.setattr(blocks, "ITEM_BLOCK", 32)
-    monkeypatch.setattr(blocks, "SLOTS", 3)
+    monkeypatch.setattr(blocks, "CELL_QUERIES", 2)
+    monkeypatch.setattr(blocks, "CELL_ITEMS", 2)

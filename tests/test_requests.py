@@ -94,6 +94,13 @@ def test_relaxed_matches_brute_force(spark, small_blocks, world):
         assert all(ok(r, known[i][0]) for i in strict.get(r.request_id, []))
 
 
+def test_relaxed_below_one_has_no_rows(spark, small_blocks, world):
+    rows, items, quality, known = world
+    req = make_requests(spark, items)
+    none = req.withColumn("n", F.when(F.col("request_id") % 2 == 0, F.lit(0)).otherwise(F.lit(-3)).cast(req.schema["n"].dataType))
+    assert Q.relaxed_quality(none, quality, items).count() == 0
+
+
 @pytest.mark.parametrize("order", ["quality", "random"])
 def test_progressive_matches_brute_force(spark, small_blocks, world, order):
     rows, items, quality, known = world
