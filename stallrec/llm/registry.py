@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables."""
+"""The operators as queries over the given tables."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from stallrec.llm import (
     repeats,
     secret_scan,
     simhash,
+    speculate,
     token_blocks,
     token_counts,
     url_filter,
@@ -95,3 +96,8 @@ def op9_sentencepiece(spark, d):
 @query
 def op10_language_id(spark, d):
     return language_id.language_id(common.documents(spark, d))
+
+
+@query
+def op11_bpe_speculate(spark, d):
+    return speculate.round_trips(common.documents(spark, d), BYTE_BPE)
