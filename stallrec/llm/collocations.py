@@ -9,7 +9,11 @@
    chunk and language with its parse frequency.
 3. Count. In every distinct chunk the phrases of one to three words are counted, each as often
    as the chunk occurs. Chunks overlap by two words; a phrase belongs to the chunk in which it
-   begins before the overlap, where all of it lies, so it is counted once.
+   begins before the overlap, where all of it lies, so it is counted once. Most phrases are
+   rare and need no exact count: words and pairs are first counted by a hash, which never
+   counts too few, and only those whose hash is frequent enough, and triples of two such pairs,
+   are counted as what they are. The frequent hashes travel as bits, at most ``BITS`` of
+   them; with more frequent phrases than that some rare ones are counted too, and dropped.
 4. Score. Both parts of every cut of a candidate are looked up. A part that makes up at least
    one in ``SHARE`` of all words can belong to any number of candidates, but there are at
    most ``SHARE`` such words and as many such pairs: these are broadcast. Any other part has
@@ -42,7 +46,7 @@ LEAST = 10
 FIRST = 2000
 SHARE = 4096
 #: Every so many pairs of words one begins a chunk, on average.
-SPACING = 16
+SPACING = 32
 #: No text has this byte; it stands between pieces, and twice at the end of a text.
 BORDER = b"\xff"
 OVERLAP = LONGEST - 1
@@ -53,6 +57,11 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 HELD = 200_000
 HELD_BYTES = 1 << 25
 WORDS = 400_000
+#: Bits of the frequent hashes, per hash, at least and at most, and in one row.
+SPREAD = 16
+FEWEST = 1 << 16
+BITS = 1 << 28
+PIECE = 1 << 16
 #: Shares of a language that are ranked alone before its best are.
 SHARES = 64
 
@@ -147,64 +156,146 @@ def sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order[at], totals, number
 
 
-def count_phrases(langs: list[str], found: list[bytes], freq: list[int]) -> Iterator[tuple[str, int, bytes, int]]:
-    """(lang, words, phrase, occurrences) in distinct chunks; zero words: all words of the language."""
-    split = [c.split(b" ") for c in found]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    flat = [w for s in split for w in s]
-    codes: dict[bytes, int] = {BORDER: 0}
-    word = np.fromiter((codes.setdefault(w, len(codes)) for w in flat), np.int64, len(flat))
-    spoken: dict[str, int] = {}
-    lang = np.repeat(np.fromiter((spoken.setdefault(x, len(spoken)) for x in langs), np.int64, len(langs)), sizes)
-    name = list(spoken)
-    weight = np.repeat(np.array(freq, np.int64), sizes)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    places = np.arange(len(flat))
-    # only what begins before the overlap with the next chunk
-    at = places[(places < ends - OVERLAP) & (word != 0)]
-    totals = np.zeros(len(name), np.int64)
-    np.add.at(totals, lang[at], weight[at])
-    for n, total in zip(name, totals.tolist()):
-        yield n, 0, b"", total
-    number, base = lang[at], max(len(codes), 1)
+class Words:
+    """The words of distinct chunks as codes, and where their phrases begin."""
+
+    def __init__(self, langs: list[str], found: list[bytes], freq: list[int]):
+        split = [c.split(b" ") for c in found]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        self.flat = [w for s in split for w in s]
+        codes: dict[bytes, int] = {BORDER: 0}
+        self.word = np.fromiter((codes.setdefault(w, len(codes)) for w in self.flat), np.int64, len(self.flat))
+        spoken: dict[str, int] = {}
+        self.lang = np.repeat(np.fromiter((spoken.setdefault(x, len(spoken)) for x in langs), np.int64, len(langs)), sizes)
+        self.names, self.base = list(spoken), len(codes)
+        self.weight = np.repeat(np.array(freq, np.int64), sizes)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, codes), np.uint64, len(codes))[self.word]
+        spoken_hash = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 1) for x in spoken), np.uint64, len(spoken))
+        with np.errstate(over="ignore"):
+            #: hash of the word, and of the pair of words, that begins at each place
+            self.one = mixed(hashes ^ spoken_hash[self.lang]) if len(hashes) else hashes
+            self.two = mixed(self.one * MIX + np.append(hashes[1:], np.uint64(0))) if len(hashes) else hashes
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        places = np.arange(len(self.flat))
+        # only what begins before the overlap with the next chunk
+        self.begin = places[(places < ends - OVERLAP) & (self.word != 0)]
+
+    def going_on(self, at: np.ndarray, size: int) -> np.ndarray:
+        """The places whose phrase has a word as its ``size``-th."""
+        return at[self.word[at + size - 1] != 0]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def held_chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Words]:
+    """Rows (lang, chunk, n) gathered until they have so many words."""
+    held: list[list] = [[], [], []]
+    size = 0
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            for values, value in zip(held, row):
+                values.append(value)
+            size += row[1].count(b" ") + 1
+            if size >= words:
+                yield Words(*held)
+                held, size = [[], [], []], 0
+    if held[0]:
+        yield Words(*held)
+
+
+def hash_counts(chunked: DataFrame) -> DataFrame:
+    """h, n: occurrences of all words and pairs of words by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in held_chunks(batches, 4 * WORDS):
+            pairs = met.going_on(met.begin, 2)
+            keys = np.concatenate([met.one[met.begin], met.two[pairs]]).view(np.int64)
+            weight = np.concatenate([met.weight[met.begin], met.weight[pairs]])
+            at, totals, _ = sums(keys, weight)
+            for start in range(0, len(at), 100_000):
+                part = slice(start, start + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at[part]]), pa.array(totals[part])], names=["h", "n"])
+
+    return chunked.select("lang", "chunk", "n").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def frequent_bits(chunked: DataFrame, least: int) -> np.ndarray:
+    """One bit per slot of hashes: whether a word or pair of that slot may occur ``least`` times."""
+    frequent = cut_lineage(hash_counts(chunked).filter(F.col("n") >= least).select("h"))
+    size = FEWEST
+    while size < BITS and size < SPREAD * frequent.count():
+        size *= 2
+    slot = F.col("h").bitwiseAND(F.lit(size - 1))
+    pieces = frequent.select(slot.alias("slot")).groupBy(F.expr(f"slot div {PIECE}").alias("piece")).agg(F.collect_set("slot").alias("slots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for slots in batch.column(1):
+                piece = np.zeros(PIECE, bool)
+                piece[slots.values.to_numpy() % PIECE] = True
+                bits.append(np.packbits(piece, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["piece", "bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    made = pieces.mapInArrow(run, "piece long, bits binary").toArrow()
+    for piece, bits in zip(made["piece"].to_pylist(), made["bits"].to_pylist()):
+        out[piece * PIECE // 8 : (piece + 1) * PIECE // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def count_phrases(met: Words, bits: np.ndarray | None = None) -> Iterator[tuple[str, int, bytes, int]]:
+    """(lang, words, phrase, occurrences) in distinct chunks; zero words: all words of the language.
+
+    With ``bits``, words and pairs whose hash is rare are left out, and triples of which a
+    pair is.
+    """
+    total = np.zeros(len(met.names), np.int64)
+    np.add.at(total, met.lang[met.begin], met.weight[met.begin])
+    for n, words in zip(met.names, total.tolist()):
+        yield n, 0, b"", words
+    if bits is None:
+        one = two = np.ones(len(met.flat), bool)
+    else:
+        one, two = in_bits(bits, met.one), in_bits(bits, met.two)
+    at, flat = met.begin[one[met.begin]], met.flat
+    number = met.lang[at]
     for size in range(1, LONGEST + 1):
         if size > 1:
-            inside = word[at + size - 1] != 0
+            inside = (met.word[at + size - 1] != 0) & two[at + size - 2]
             at, number = at[inside], number[inside]
-        where, totals, number = sums(number * base + word[at + size - 1], weight[at])
+        where, totals, number = sums(number * met.base + met.word[at + size - 1], met.weight[at])
         first = at[where]
-        for a, l, total in zip(first.tolist(), lang[first].tolist(), totals.tolist()):
-            yield name[l], size, b" ".join(flat[a : a + size]), total
+        for a, lang, n in zip(first.tolist(), met.lang[first].tolist(), totals.tolist()):
+            yield met.names[lang], size, b" ".join(flat[a : a + size]), n
 
 
 GRAM = {"lang": "string", "words": "int", "phrase": "string", "n": "long"}
 
 
-def phrases(chunked: DataFrame) -> DataFrame:
-    """lang, words, phrase, f over the whole dictionary; words 0 is the language's number of words."""
-
-    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(GRAM)
-        for at in range(0, len(rows), 100_000):
-            langs, sizes, found, totals = zip(*rows[at : at + 100_000])
-            text = pa.array(found, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), text, pa.array(totals, pa.int64())], schema=schema
-            )
+def phrases(chunked: DataFrame, least: int = LEAST) -> DataFrame:
+    """lang, words, phrase, f over the whole dictionary; words 0 is the language's number of
+    words. Phrases that occur less than ``least`` times are missing or have f below it."""
+    bits = chunked.sparkSession.sparkContext.broadcast(frequent_bits(chunked, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], []]
-        size = 0
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                for values, value in zip(held, row):
-                    values.append(value)
-                size += row[1].count(b" ") + 1
-                if size >= WORDS:
-                    yield from out(list(count_phrases(*held)))
-                    held, size = [[], [], []], 0
-        if held[0]:
-            yield from out(list(count_phrases(*held)))
+        schema = arrow_schema(GRAM)
+        for met in held_chunks(batches, WORDS):
+            rows = list(count_phrases(met, bits.value))
+            for at in range(0, len(rows), 100_000):
+                langs, sizes, found, totals = zip(*rows[at : at + 100_000])
+                text = pa.array(found, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), text, pa.array(totals, pa.int64())], schema=schema
+                )
 
     counted = chunked.select("lang", "chunk", "n").mapInArrow(run, ddl(GRAM))
     return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
@@ -279,7 +370,7 @@ def first_of_language(rows: DataFrame, first: int) -> DataFrame:
 
 def collocations(docs: DataFrame, first: int = FIRST, spacing: int = SPACING) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score."""
-    counted = phrases(dictionary(parse(docs, spacing)))
+    counted = phrases(cut_lineage(dictionary(parse(docs, spacing))))
     grams = cut_lineage(counted.filter((F.col("f") >= LEAST) | (F.col("words") == 0)))
     best = first_of_language(maximal(scored(grams)), first)
     # a row per language
