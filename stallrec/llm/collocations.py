@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -53,10 +54,11 @@ OVERLAP = LONGEST - 1
 #: Runs of what ends a piece, with blanks among them.
 ENDS = re.compile(rb"[.,;:!?\n-\r][ \t.,;:!?\n-\r]*")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Chunks, and their bytes, that a task counts before it hands them on; words counted at once.
+#: Chunks, and their bytes, that a task counts before it hands them on.
 HELD = 200_000
 HELD_BYTES = 1 << 25
-WORDS = 400_000
+#: Bytes of distinct chunks in which phrases are counted at once.
+COUNTED = 1 << 23
 #: Bits of the frequent hashes, per hash, at least and at most, and in one row.
 SPREAD = 16
 FEWEST = 1 << 16
@@ -159,30 +161,35 @@ def sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Words:
     """The words of distinct chunks as codes, and where their phrases begin."""
 
-    def __init__(self, langs: list[str], found: list[bytes], freq: list[int]):
-        split = [c.split(b" ") for c in found]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        self.flat = [w for s in split for w in s]
-        codes: dict[bytes, int] = {BORDER: 0}
-        self.word = np.fromiter((codes.setdefault(w, len(codes)) for w in self.flat), np.int64, len(self.flat))
-        spoken: dict[str, int] = {}
-        self.lang = np.repeat(np.fromiter((spoken.setdefault(x, len(spoken)) for x in langs), np.int64, len(langs)), sizes)
-        self.names, self.base = list(spoken), len(codes)
-        self.weight = np.repeat(np.array(freq, np.int64), sizes)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, codes), np.uint64, len(codes))[self.word]
-        spoken_hash = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 1) for x in spoken), np.uint64, len(spoken))
-        with np.errstate(over="ignore"):
-            #: hash of the word, and of the pair of words, that begins at each place
-            self.one = mixed(hashes ^ spoken_hash[self.lang]) if len(hashes) else hashes
-            self.two = mixed(self.one * MIX + np.append(hashes[1:], np.uint64(0))) if len(hashes) else hashes
+    def __init__(self, chunked: pa.Table):
+        lang = chunked["lang"].combine_chunks().dictionary_encode()
+        lists = pc.split_pattern(chunked["chunk"].combine_chunks().cast(pa.large_binary()), b" ")
+        coded = lists.values.dictionary_encode()
+        sizes = np.diff(lists.offsets.to_numpy())
+        self.dictionary, self.langs = coded.dictionary, lang.dictionary
+        self.word = coded.indices.to_numpy()
+        self.lang = np.repeat(lang.indices.to_numpy(), sizes)
+        self.weight = np.repeat(chunked["n"].to_numpy(), sizes)
+        words = self.dictionary.to_pylist()
+        self.border = words.index(BORDER) if words else 0
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[self.word]
+        of_lang = [xxhash.xxh64_intdigest(x.encode(), 1) for x in self.langs.to_pylist()]
+        spoken = np.array(of_lang, np.uint64)[self.lang]
+        #: hash of the word, and of the pair of words, that begins at each place
+        self.one = mixed(hashes ^ spoken)
+        self.two = mixed(self.one * MIX + np.append(hashes[1:], np.uint64(0)))
         ends = np.repeat(np.cumsum(sizes), sizes)
-        places = np.arange(len(self.flat))
+        places = np.arange(len(self.word))
         # only what begins before the overlap with the next chunk
-        self.begin = places[(places < ends - OVERLAP) & (self.word != 0)]
+        self.begin = places[(places < ends - OVERLAP) & (self.word != self.border)]
 
     def going_on(self, at: np.ndarray, size: int) -> np.ndarray:
-        """The places whose phrase has a word as its ``size``-th."""
-        return at[self.word[at + size - 1] != 0]
+        """Of the places, whether a phrase of ``size`` words begins there if one of a word less does."""
+        return self.word[at + size - 1] != self.border
+
+    def phrases(self, at: np.ndarray, size: int) -> pa.Array:
+        parts = [self.dictionary.take(pa.array(self.word[at + n])) for n in range(size)]
+        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.large_string()).cast(pa.string())
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -190,31 +197,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def held_chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Words]:
-    """Rows (lang, chunk, n) gathered until they have so many words."""
-    held: list[list] = [[], [], []]
-    size = 0
+def held_chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Words]:
+    """Rows (lang, chunk, n) gathered until the chunks have so many bytes."""
+    held, total = [], 0
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            for values, value in zip(held, row):
-                values.append(value)
-            size += row[1].count(b" ") + 1
-            if size >= words:
-                yield Words(*held)
-                held, size = [[], [], []], 0
-    if held[0]:
-        yield Words(*held)
+        for at in range(0, batch.num_rows, 2000):
+            held.append(batch.slice(at, 2000))
+            total += pc.sum(pc.binary_length(held[-1].column(1))).as_py() or 0
+            if total >= size:
+                yield Words(pa.Table.from_batches(held))
+                held, total = [], 0
+    if total:
+        yield Words(pa.Table.from_batches(held))
 
 
 def hash_counts(chunked: DataFrame) -> DataFrame:
     """h, n: occurrences of all words and pairs of words by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for met in held_chunks(batches, 4 * WORDS):
-            pairs = met.going_on(met.begin, 2)
+        for met in held_chunks(batches, COUNTED):
+            pairs = met.begin[met.going_on(met.begin, 2)]
             keys = np.concatenate([met.one[met.begin], met.two[pairs]]).view(np.int64)
-            weight = np.concatenate([met.weight[met.begin], met.weight[pairs]])
-            at, totals, _ = sums(keys, weight)
+            at, totals, _ = sums(keys, np.concatenate([met.weight[met.begin], met.weight[pairs]]))
             for start in range(0, len(at), 100_000):
                 part = slice(start, start + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at[part]]), pa.array(totals[part])], names=["h", "n"])
@@ -252,33 +256,39 @@ def in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def count_phrases(met: Words, bits: np.ndarray | None = None) -> Iterator[tuple[str, int, bytes, int]]:
-    """(lang, words, phrase, occurrences) in distinct chunks; zero words: all words of the language.
+GRAM = {"lang": "string", "words": "int", "phrase": "string", "n": "long"}
+
+
+def count_phrases(met: Words, bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """lang, words, phrase, n in distinct chunks; zero words: all words of the language.
 
     With ``bits``, words and pairs whose hash is rare are left out, and triples of which a
     pair is.
     """
-    total = np.zeros(len(met.names), np.int64)
+    schema = arrow_schema(GRAM)
+
+    def out(lang: np.ndarray, size: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        names = met.langs.take(pa.array(lang))
+        return pa.RecordBatch.from_arrays([names, pa.array(np.full(len(n), size, np.int32)), phrase, pa.array(n)], schema=schema)
+
+    total = np.zeros(len(met.langs), np.int64)
     np.add.at(total, met.lang[met.begin], met.weight[met.begin])
-    for n, words in zip(met.names, total.tolist()):
-        yield n, 0, b"", words
+    yield out(np.arange(len(total)), 0, pa.array([""] * len(total)), total)
     if bits is None:
-        one = two = np.ones(len(met.flat), bool)
+        one = two = np.ones(len(met.word), bool)
     else:
         one, two = in_bits(bits, met.one), in_bits(bits, met.two)
-    at, flat = met.begin[one[met.begin]], met.flat
-    number = met.lang[at]
+    at = met.begin[one[met.begin]]
+    number = met.lang[at].astype(np.int64)
     for size in range(1, LONGEST + 1):
         if size > 1:
-            inside = (met.word[at + size - 1] != 0) & two[at + size - 2]
+            inside = met.going_on(at, size) & two[at + size - 2]
             at, number = at[inside], number[inside]
-        where, totals, number = sums(number * met.base + met.word[at + size - 1], met.weight[at])
+        where, totals, number = sums(number * len(met.dictionary) + met.word[at + size - 1], met.weight[at])
         first = at[where]
-        for a, lang, n in zip(first.tolist(), met.lang[first].tolist(), totals.tolist()):
-            yield met.names[lang], size, b" ".join(flat[a : a + size]), n
-
-
-GRAM = {"lang": "string", "words": "int", "phrase": "string", "n": "long"}
+        for start in range(0, len(first), 100_000):
+            some = first[start : start + 100_000]
+            yield out(met.lang[some], size, met.phrases(some, size), totals[start : start + 100_000])
 
 
 def phrases(chunked: DataFrame, least: int = LEAST) -> DataFrame:
@@ -287,15 +297,8 @@ def phrases(chunked: DataFrame, least: int = LEAST) -> DataFrame:
     bits = chunked.sparkSession.sparkContext.broadcast(frequent_bits(chunked, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(GRAM)
-        for met in held_chunks(batches, WORDS):
-            rows = list(count_phrases(met, bits.value))
-            for at in range(0, len(rows), 100_000):
-                langs, sizes, found, totals = zip(*rows[at : at + 100_000])
-                text = pa.array(found, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), text, pa.array(totals, pa.int64())], schema=schema
-                )
+        for met in held_chunks(batches, COUNTED):
+            yield from count_phrases(met, bits.value)
 
     counted = chunked.select("lang", "chunk", "n").mapInArrow(run, ddl(GRAM))
     return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from stallrec.llm import collocations as C
@@ -74,7 +75,7 @@ def test_copies_hot_words_and_small_lists(spark, monkeypatch):
     want = plain(rows, first=25)
     assert mined(spark, rows, first=25) == want
     # parts found by broadcast and by shuffle, tasks that hand on often
-    for name, value in (("SHARE", 3), ("HELD", 10), ("WORDS", 50), ("BITS", 1 << 6), ("FEWEST", 1 << 6), ("PIECE", 1 << 4)):
+    for name, value in (("SHARE", 3), ("HELD", 10), ("COUNTED", 300), ("BITS", 1 << 6), ("FEWEST", 1 << 6), ("PIECE", 1 << 4)):
         monkeypatch.setattr(C, name, value)
     assert mined(spark, rows, first=25) == want
 
@@ -85,9 +86,10 @@ def test_every_phrase_is_in_one_chunk():
         text = " ".join(rng.choices(["a", "b", "c", "d.", "e,"], k=rng.randint(0, 60)))
         found = C.chunks(C.marked_words(text), C.Hashes(), rng.choice([1, 2, 5, 50]))
         counted = Counter()
-        for _, size, phrase, n in C.count_phrases(C.Words(["x"] * len(found), found, [1] * len(found))):
-            if size:
-                counted[tuple(phrase.decode().split(" "))] += n
+        table = pa.table({"lang": ["x"] * len(found), "chunk": pa.array(found, pa.binary()), "n": [1] * len(found)})
+        for row in [r for b in C.count_phrases(C.Words(table)) for r in b.to_pylist()] if found else []:
+            if row["words"]:
+                counted[tuple(row["phrase"].split(" "))] += row["n"]
         assert counted == plain_counts([text])
 
 
