@@ -12,7 +12,7 @@ from stallrec import config as C
 from stallrec.operators import lists as L
 from stallrec.operators import masks as M
 from stallrec.operators import quality as Q
-from stallrec.operators.similarity import lookup
+from stallrec.operators.similarity import lookup, nearest_alike
 
 
 CARRY = ("n", *M.MASK_COLUMNS)
@@ -49,41 +49,40 @@ def similar_items(
     return kept.select(*OUT)
 
 
-def prefiltered_items(
+def alike_neighbors(
     requests: DataFrame,
-    neighbors: DataFrame,
     items: DataFrame,
+    active: DataFrame,
     features: Sequence[str] = C.PREFILTER_FEATURES,
     match: str = "any",
+    overfetch: int = 10,
+) -> DataFrame:
+    """For every item asked for the nearest active items that share an attribute with it (or all
+    of them), as many as its greatest request can use. Searched once per item, however many
+    requests ask for it; ``n`` below one asks for nothing."""
+    asked = requests.filter((F.col("n") > 0) & F.col("bike_id").isNotNull()).groupBy(F.col("bike_id").alias("id"))
+    wanted = asked.agg((F.max("n").cast("bigint") * overfetch + 1).alias("k"))
+    return nearest_alike(wanted, items, active, features, match == "all")
+
+
+def prefiltered_items(
+    requests: DataFrame,
+    alike: DataFrame,
+    items: DataFrame,
     ratio: float = 1.0,
     overfetch: int = 10,
 ) -> DataFrame:
-    """Nearest items that share an attribute with the request's item (or all of them).
+    """Nearest items that share an attribute with the request's item, from ``alike_neighbors``.
 
-    Empty when at most one neighbor matches, the item itself counted.
+    Empty when at most one item matches, the item itself counted.
     """
     n = F.floor(F.col("n") * F.lit(ratio)).cast("int")
-    attrs = items.select("id", *features)
-    own = attrs.select(F.col("id").alias("bike_id"), *[F.col(f).alias(f"own_{f}") for f in features])
-    tests = [F.col(f) == F.col(f"own_{f}") for f in features]
-    hit = tests[0]
-    for t in tests[1:]:
-        hit = (hit | t) if match == "any" else (hit & t)
-    near = neighbors.select(
-        F.col("item_id").alias("bike_id"), F.col("neighbor_id").alias("item_id"), F.col("position").alias("_stored")
-    )
-    # What matches depends on the item alone: ranked once per item asked for, however
-    # many requests ask for it.
     per_item = W.partitionBy("bike_id")
     matched = (
-        near.join(requests.select("bike_id").distinct(), "bike_id", "left_semi")
-        .join(own, "bike_id")
-        .join(attrs.withColumnRenamed("id", "item_id"), "item_id")
-        .filter(hit)
+        alike.select(F.col("item_id").alias("bike_id"), F.col("neighbor_id").alias("item_id"), F.col("position").alias("_near"))
         .withColumn("_all", F.count("*").over(per_item))
-        .filter((F.col("_all") > 1) & F.col("_stored").isNotNull())
-        .withColumn("_near", F.row_number().over(per_item.orderBy("_stored")))
-        .select("bike_id", "item_id", "_near")
+        .filter((F.col("_all") > 1) & F.col("_near").isNotNull())
+        .drop("_all")
     )
     fetched = (
         requests.select("request_id", "bike_id", n.alias("n"), *M.MASK_COLUMNS)
@@ -167,19 +166,19 @@ def content_mixed(
 def mixed(
     requests: DataFrame,
     neighbors: DataFrame,
+    alike: DataFrame,
     quality: DataFrame,
     items: DataFrame,
     ratio: float = 0.75,
     interleave: bool = True,
     sample: int = 100,
     seed: int = 0,
-    match: str = "any",
 ) -> DataFrame:
     """Prefiltered and generic neighbors mixed, repeats dropped, first ``n``; relaxed
     quality picks for requests whose item is unknown."""
     known = requests.join(items, requests.bike_id == items.id, "left_semi")
     unknown = requests.join(items, requests.bike_id == items.id, "left_anti")
-    special = prefiltered_items(known, neighbors, items, match=match, ratio=ratio)
+    special = prefiltered_items(known, alike, items, ratio)
     generic = similar_items(known, neighbors, items)
     joined = (L.interleaved if interleave else L.appended)(special, generic)
     merged = L.cut(L.first_seen(joined), known).select("request_id", "position", "item_id")

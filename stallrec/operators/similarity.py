@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallrec import config as C
 from stallrec.operators import blocks as B
-from stallrec.session import cut_lineage
+from stallrec.operators import nearest as N
 
 METRICS = ("euclidean", "sqeuclidean", "cityblock", "cosine")
-DIGITS = 6
-MAX_ITEM_BLOCKS = 4096
-BROADCAST_ITEMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -65,24 +61,23 @@ def feature_frame(items: DataFrame, spec: Features, key: str = "id", keep: Seque
     )
 
 
-# --------------------------------------------------------------------------- kernel
+# --------------------------------------------------------------------------- distance
 
 
-def _keep_nearest(d: np.ndarray, ids: np.ndarray, k: int, bound: float, select: str):
-    """(row, column) of the k nearest per row by (distance, id), none beyond ``bound``."""
-    if select == "heap":
-        picked = [
-            [(r, c) for _, _, c in heapq.nsmallest(k, zip(row.tolist(), ids.tolist(), range(len(ids))))]
-            for r, row in enumerate(d)
-        ]
-        flat = np.array([p for row in picked for p in row], dtype=np.int64).reshape(-1, 2)
-        r, c = flat[:, 0], flat[:, 1]
-        inside = d[r, c] <= bound
-        return r[inside], c[inside]
-    limit = np.full(len(d), bound)
-    if k < d.shape[1]:
-        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-    return np.nonzero(d <= limit[:, None])
+def _coded(columns: Mapping, spec: Features) -> dict:
+    """A block's categories as codes with their values, its numbers as arrays."""
+    return {
+        **{c: B.codes(columns[c]) for c in spec.categories},
+        **{c: B.numbers(columns[c]) for c in spec.numbers},
+        "n": len(columns["_id"]),
+    }
+
+
+def _matched(a: Mapping, b: Mapping, c: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a category on both sides, under the items' values."""
+    (own, values), (code, known) = a[c], b[c]
+    table = np.array([known.get(v, -1) for v in values] or [-1])
+    return table[own].astype(np.int32), code.astype(np.int32)
 
 
 TILE = (64, 1024)
@@ -99,17 +94,12 @@ def _feature_distance(a: Mapping, b: Mapping, spec: Features) -> np.ndarray:
 
     Worked off in tiles that stay in the processor's cache.
     """
-    cats, nums = [], []
-    for c, w in spec.categories.items():
-        code, known = B.codes(b[c])
-        cats.append((B.recode(a[c], known).astype(np.int32), code.astype(np.int32), w))
-    for c in spec.numbers:
-        nums.append((B.numbers(a[c]), B.numbers(b[c])))
-    n, m = len(a["_id"]), len(b["_id"])
-    total = np.empty((n, m))
+    cats = [(*_matched(a, b, c), w) for c, w in spec.categories.items()]
+    nums = [(a[c], b[c]) for c in spec.numbers]
+    total = np.empty((a["n"], b["n"]))
     square = sum(w * w for w in spec.categories.values())
     norms = [square + sum(x[i] * x[i] for x in nums) for i in (0, 1)]
-    for r, c in _tiles(n, m):
+    for r, c in _tiles(*total.shape):
         part = np.zeros((r.stop - r.start, c.stop - c.start))
         if spec.metric == "cosine":
             for x, y, w in cats:
@@ -130,192 +120,124 @@ def _feature_distance(a: Mapping, b: Mapping, spec: Features) -> np.ndarray:
     return total
 
 
-def _vector_distance(a: Mapping, b: Mapping, metric: str) -> np.ndarray:
-    x, y = _matrix(a["vector"]), _matrix(b["vector"])
-    if metric == "cityblock":
-        total = np.zeros((len(x), len(y)))
-        for j in range(x.shape[1]):
-            total += np.abs(x[:, j, None] - y[None, :, j])
-        return total
-    if metric == "cosine":
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        y = y / np.linalg.norm(y, axis=1, keepdims=True)
-        return 1 - x @ y.T
-    # Centred first, so that the product form keeps its digits.
-    mid = y.mean(axis=0)
-    x, y = x - mid, y - mid
-    square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
-    near = np.argwhere(square < 1e-6)
-    for r, c in near:
-        gap = x[r] - y[c]
-        square[r, c] = gap @ gap
-    square = np.maximum(square, 0)
-    return np.sqrt(square) if metric == "euclidean" else square
-
-
-def _matrix(array: pa.Array) -> np.ndarray:
-    flat = B.numbers(array.flatten()).astype(np.float64)
-    return flat.reshape(len(array), -1)
+def _alike_matrix(a: Mapping, b: Mapping, alike: Sequence[str], every: bool) -> np.ndarray:
+    same = [np.equal.outer(*_matched(a, b, c)) for c in alike]
+    return np.logical_and.reduce(same) if every else np.logical_or.reduce(same)
 
 
-@dataclass(frozen=True)
-class _NearestKernel:
-    distance: object
-    select: str
-    schema: pa.Schema = field(
-        default_factory=lambda: pa.schema(
-            [("item_id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.float64()), ("_k", pa.int64())]
-        )
-    )
-
-    def __call__(self, batch: pa.RecordBatch, row: int) -> dict[str, np.ndarray]:
-        def cell(name):
-            return batch.column(batch.schema.get_field_index(name))[row].as_py()
-
-        a, b = B.fields(batch, "rows", row), B.fields(batch, "items", row)
-        k, bound = cell("_k"), cell("_bound")
-        ids, other = B.numbers(a["_id"]), B.numbers(b["_id"])
-        d = np.round(self.distance(a, b), DIGITS) + 0.0
-        r, c = _keep_nearest(d, other, k, bound, self.select)
-        return {
-            "item_id": ids[r],
-            "neighbor_id": other[c],
-            "distance": d[r, c],
-            "_k": np.full(len(r), k, dtype=np.int64),
-        }
-
-    @staticmethod
-    def trim(out: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        at = B.best_rows(out["item_id"], (out["distance"], out["neighbor_id"]), out["_k"])
-        return {c: v[at] for c, v in out.items()}
-
-
-# --------------------------------------------------------------------------- plan
-
-
-def _blocks_in_order(df: DataFrame, order: Sequence[str], size: int, rows: int, name: str, summary) -> DataFrame:
-    """Pack rows that are near each other in ``order``; written once, so both the block
-    summaries and the block contents read the same blocks after a lost executor."""
-    n = max(1, -(-rows // size))
-    ranged = df.repartitionByRange(n, *order, "_id") if n > 1 else df.coalesce(1)
-    return cut_lineage(
-        ranged.withColumn("_block", F.spark_partition_id())
-        .groupBy("_block")
-        .agg(F.count("*").alias("_n"), F.collect_list(F.struct(*df.columns)).alias(name), *summary)
-    )
+# --------------------------------------------------------------------------- bounds
 
 
 def _heaviest(spec: Features) -> list[str]:
-    """The categories blocks are ordered by and summarised for."""
-    return sorted(spec.categories, key=lambda c: -spec.categories[c])[:5]
-
-
-def _feature_bounds(spec: Features, a: str, b: str):
-    """Least and greatest distance two blocks can have, from their summaries. Categories
-    without a summary may match or not."""
-    low, high = F.lit(0.0), F.lit(0.0)
-    for c, w in spec.categories.items():
-        cost = 2 * w if spec.metric == "cityblock" else 2 * w * w
-        if c not in _heaviest(spec):
-            high = high + cost
-            continue
-        x, y = F.col(f"{a}.s_{c}"), F.col(f"{b}.s_{c}")
-        low = low + F.when(F.arrays_overlap(x, y), 0.0).otherwise(cost)
-        alike = (F.size(x) == 1) & (F.size(y) == 1) & (x[0] == y[0])
-        high = high + F.when(alike, 0.0).otherwise(cost)
-    for c in spec.numbers:
-        gap = F.greatest(
-            F.col(f"{a}.lo_{c}") - F.col(f"{b}.hi_{c}"), F.col(f"{b}.lo_{c}") - F.col(f"{a}.hi_{c}"), F.lit(0.0)
-        )
-        span = F.greatest(
-            F.col(f"{a}.hi_{c}") - F.col(f"{b}.lo_{c}"), F.col(f"{b}.hi_{c}") - F.col(f"{a}.lo_{c}")
-        )
-        low = low + (gap if spec.metric == "cityblock" else gap * gap)
-        high = high + (span if spec.metric == "cityblock" else span * span)
-    if spec.metric == "euclidean":
-        low, high = F.sqrt(low), F.sqrt(high)
-    return low, high
-
-
-def _feature_summary(spec: Features):
-    return [
-        *[F.collect_set(c).alias(f"s_{c}") for c in _heaviest(spec)],
-        *[F.min(c).alias(f"lo_{c}") for c in spec.numbers],
-        *[F.max(c).alias(f"hi_{c}") for c in spec.numbers],
-    ]
-
-
-def _nearest(
-    rows: DataFrame, items: DataFrame, order, distance, summary, bounds, percentile, k, select
-) -> DataFrame:
-    n_rows, n_items = rows.count(), items.count()
-    if k is None:
-        k = max(int(n_rows * percentile / 100), 1)
-    k = max(min(k, n_items), 1)
-    size = max(B.ITEM_BLOCK, -(-n_items // MAX_ITEM_BLOCKS))
-    left = _blocks_in_order(rows, order, B.QUERY_BLOCK, n_rows, "rows", summary)
-    right = _blocks_in_order(items, order, size, n_items, "items", summary)
-
-    # Every pair of block summaries; there are at most MAX_ITEM_BLOCKS on the item side.
-    last = right.agg(F.max("_block")).scalar()
-    grid = (
-        left.drop("rows")
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
-        .alias("a")
-        .join(right.drop("items").alias("b"), F.col("a._other") == F.col("b._block"))
-    )
-    low, high = bounds
-    nearest_first = W.partitionBy("_left").orderBy("_high", "_right").rowsBetween(
-        W.unboundedPreceding, W.currentRow
-    )
-    near = (
-        grid.select(
-            F.col("a._block").alias("_left"),
-            F.col("b._block").alias("_right"),
-            F.col("b._n").alias("_n"),
-            low.alias("_low"),
-            high.alias("_high"),
-        )
-        .withColumn("_seen", F.sum("_n").over(nearest_first))
-        .withColumn(
-            "_bound",
-            F.min(F.when(F.col("_seen") >= k, F.col("_high"))).over(W.partitionBy("_left")) + 1e-5,
-        )
-        .filter(F.col("_low") <= F.col("_bound"))
-        .select("_left", "_right", "_bound")
-    )
-    # A block's partners, at most MAX_ITEM_BLOCKS, ride along as a list while the block is
-    # moved once; the item blocks come to them.
-    partners = near.groupBy("_left").agg(F.collect_list(F.struct("_right", "_bound")).alias("_near"))
-    chunks = left.select(F.col("_block").alias("_left"), "rows").join(partners, "_left")
-    pairs = B.dealt(chunks, "_left").select(
-        "_left", "rows", F.explode("_near").alias("_p")
-    ).select("_left", "rows", "_p.*", F.lit(k).cast("bigint").alias("_k"))
-    blocks = right.select(F.col("_block").alias("_right"), "items")
-    # The counted size decides: few items are broadcast, more are shuffled by block.
-    pairs = pairs.join(F.broadcast(blocks) if n_items <= BROADCAST_ITEMS else blocks, "_right")
-    kernel = _NearestKernel(distance, select)
-    found = pairs.mapInArrow(
-        B.block_mapper("_left", kernel, kernel.trim, kernel.schema),
-        "item_id bigint, neighbor_id bigint, distance double, _k bigint",
-    )
-    # Zeros rank first but read as far: nonzero rows move up by their number, exact twins
-    # follow the nonzero rows, the item itself has no position. Plain counts per item, so
-    # the one sort for ``rank`` serves all.
-    item = W.partitionBy("item_id")
-    own = F.col("neighbor_id") == F.col("item_id")
-    zero = F.col("distance") == 0
-    ranked = (
-        found.withColumn("rank", F.row_number().over(item.orderBy("distance", "neighbor_id")))
-        .filter(F.col("rank") <= k)
-        .withColumn("_all", F.count("*").over(item))
-        .withColumn("_zeros", F.sum(zero.cast("int")).over(item))
-        .withColumn("_own", F.max(own).over(item))
+    """Categories, the heaviest first: rows that differ in them are far apart."""
+    return sorted(spec.categories, key=lambda c: -spec.categories[c])
+
+
+def _both(c: str) -> tuple[Column, Column]:
+    return F.col(f"a_s_{c}"), F.col(f"b_s_{c}")
+
+
+def _can_match(c: str) -> Column:
+    x, y = _both(c)
+    return F.coalesce(F.arrays_overlap(x, y), F.lit(True))
+
+
+def _must_match(c: str) -> Column:
+    x, y = _both(c)
+    return F.coalesce((F.size(x) == 1) & (F.size(y) == 1) & (F.get(x, F.lit(0)) == F.get(y, F.lit(0))), F.lit(False))
+
+
+def _feature_bounds(spec: Features):
+    """Least and greatest distance of two nodes, from their summaries: per category whether
+    rows of both can and whether they must match, per number the gap and the span."""
+    zero = F.lit(0.0)
+
+    def bound(pairs: DataFrame) -> DataFrame:
+        low, high = zero, zero
+        if spec.metric == "cosine":
+            # numbers are scaled from zero up, so products and norms grow with them
+            norm = {t: F.lit(float(sum(w * w for w in spec.categories.values()))) for t in ("a_lo", "a_hi", "b_lo", "b_hi")}
+            least, most = zero, zero
+            for c, w in spec.categories.items():
+                least = least + F.when(_must_match(c), w * w).otherwise(0.0)
+                most = most + F.when(_can_match(c), w * w).otherwise(0.0)
+            for c in spec.numbers:
+                least = least + F.col(f"a_lo_{c}") * F.col(f"b_lo_{c}")
+                most = most + F.col(f"a_hi_{c}") * F.col(f"b_hi_{c}")
+                norm = {t: v + F.col(f"{t}_{c}") * F.col(f"{t}_{c}") for t, v in norm.items()}
+            low = F.greatest(1 - most / F.sqrt(norm["a_lo"] * norm["b_lo"]), zero)
+            high = 1 - least / F.sqrt(norm["a_hi"] * norm["b_hi"])
+            return pairs.withColumn("_low", low).withColumn("_high", high)
+        flat = spec.metric == "cityblock"
+        for c, w in spec.categories.items():
+            cost = 2 * w if flat else 2 * w * w
+            low = low + F.when(_can_match(c), 0.0).otherwise(cost)
+            high = high + F.when(_must_match(c), 0.0).otherwise(cost)
+        for c in spec.numbers:
+            a_lo, a_hi, b_lo, b_hi = (F.col(f"{t}_{e}_{c}") for t in "ab" for e in ("lo", "hi"))
+            gap = F.greatest(a_lo - b_hi, b_lo - a_hi, zero)
+            span = F.greatest(a_hi - b_lo, b_hi - a_lo)
+            low = low + (gap if flat else gap * gap)
+            high = high + (span if flat else span * span)
+        if spec.metric == "euclidean":
+            low, high = F.sqrt(low), F.sqrt(high)
+        return pairs.withColumn("_low", low).withColumn("_high", high)
+
+    return bound
+
+
+def feature_space(spec: Features, alike: Sequence[str] = (), every: bool = False) -> N.Space:
+    """How the tree search sees weighted features. With ``alike``, only items count that share
+    one of these categories with the row, or all of them with ``every``."""
+    sets, low, high = ([f"{t}_{c}" for c in cols] for t, cols in (("s", spec.categories), ("lo", spec.numbers), ("hi", spec.numbers)))
+
+    def short(column: Column) -> Column:
+        return F.when(F.size(column) <= N.VALUES, column)
+
+    def rollup():
+        listed = [F.when(F.count(s) == F.count(F.lit(1)), F.array_distinct(F.flatten(F.collect_list(s)))) for s in sets]
+        return [
+            *[short(values) for values in listed],
+            *[F.min(c) for c in low],
+            *[F.max(c) for c in high],
+        ]
+
+    def joined(tests):
+        return reduce((lambda x, y: x & y) if every else (lambda x, y: x | y), tests)
+
+    return N.Space(
+        _heaviest(spec) + list(spec.numbers),
+        [
+            *[F.collect_set(c).alias(s) for c, s in zip(spec.categories, sets)],
+            *[F.min(c).alias(s) for c, s in zip(spec.numbers, low)],
+            *[F.max(c).alias(s) for c, s in zip(spec.numbers, high)],
+        ],
+        lambda made: made.select(*[short(F.col(c)).alias(c) if c in sets else F.col(c) for c in made.columns]),
+        [*sets, *low, *high],
+        rollup,
+        _feature_bounds(spec),
+        N.Kernel(
+            lambda columns: _coded(columns, spec),
+            lambda a, b: (_feature_distance(a, b, spec), 0.0),
+            mask=(lambda a, b: _alike_matrix(a, b, alike, every)) if alike else None,
+        ),
+        possible=(lambda: joined([_can_match(c) for c in alike])) if alike else None,
+        sure=(lambda: joined([_must_match(c) for c in alike])) if alike else None,
     )
-    passed_own = (F.col("_own") & (F.col("item_id") < F.col("neighbor_id"))).cast("int")
-    twin = F.col("_all") - F.col("_zeros") + F.col("rank") - passed_own
-    place = F.when(own, None).when(zero, twin).otherwise(F.col("rank") - F.col("_zeros"))
-    return ranked.select("item_id", "neighbor_id", "distance", "rank", place.cast("int").alias("position"))
+
+
+# --------------------------------------------------------------------------- search
+
+
+def _wanted(percentile: float, k: int | None, n_rows: int, n_items: int) -> int:
+    return max(min(max(int(n_rows * percentile / 100), 1) if k is None else k, n_items), 1)
+
+
+def _checked(metric: str, select: str) -> None:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    if select not in ("partition", "heap"):
+        raise ValueError(f"unknown selection {select}")
 
 
 def nearest_items(
@@ -328,34 +250,37 @@ def nearest_items(
 ) -> DataFrame:
     """Each item's nearest active items, the item itself included if active.
 
-    Exact. Blocks follow the heaviest categories, so most block pairs are ruled out by
-    their summaries alone: a pair is read only if its least possible distance is within
-    the distance that surely covers ``k`` active items. ``k`` is a share of all rows
-    unless given, and never more than the number of active items. ``select='heap'``
-    keeps the best by a heap per row instead of partial sorting.
+    Exact, by the tree of ``operators.nearest``. ``k`` is a share of all rows unless given,
+    and never more than the number of active items. ``select='heap'`` lets only rows
+    enter that beat the ``k``-th so far, instead of sorting each pair of blocks in part.
     """
     spec = spec or item_features()
-    if spec.metric not in METRICS:
-        raise ValueError(f"unknown metric {spec.metric}")
+    _checked(spec.metric, select)
     feats = feature_frame(items, spec).withColumnRenamed("id", "_id")
     chosen = feats.join(active.select(F.col("id").alias("_id")), "_id", "left_semi")
-    order = _heaviest(spec) + list(spec.numbers)
-    bounds = (
-        (F.lit(0.0), F.lit(float("inf")))
-        if spec.metric == "cosine"
-        else _feature_bounds(spec, "a", "b")
-    )
-    return _nearest(
-        feats,
-        chosen,
-        order,
-        lambda a, b: _feature_distance(a, b, spec),
-        _feature_summary(spec),
-        bounds,
-        percentile,
-        k,
-        select,
-    )
+    k = _wanted(percentile, k, feats.count(), chosen.count())
+    rows = feats.withColumn("_k", F.lit(k).cast("bigint"))
+    return N.nearest(rows, chosen, feature_space(spec), k, select == "heap")
+
+
+def nearest_alike(
+    asked: DataFrame,
+    items: DataFrame,
+    active: DataFrame,
+    features: Sequence[str],
+    every: bool = False,
+    spec: Features | None = None,
+) -> DataFrame:
+    """The nearest active items that share one of ``features`` (``every``: all of them) with each
+    item asked for: rows (id, k) of ``asked``, ``k`` counting the item itself. Exact for any
+    ``k``, whatever the general table of neighbors keeps. Exact twins come last."""
+    spec = spec or item_features()
+    _checked(spec.metric, "heap")
+    feats = feature_frame(items, spec).withColumnRenamed("id", "_id")
+    chosen = feats.join(active.select(F.col("id").alias("_id")), "_id", "left_semi")
+    rows = feats.join(asked.select(F.col("id").alias("_id"), F.col("k").cast("bigint").alias("_k")), "_id")
+    most = asked.agg(F.max("k")).first()[0] or 1
+    return N.nearest(rows, chosen, feature_space(spec, features, every), int(most), True, True)
 
 
 def nearest_vectors(
@@ -366,21 +291,16 @@ def nearest_vectors(
     k: int | None = None,
     select: str = "partition",
 ) -> DataFrame:
-    """The same over dense vectors: frames of (id, vector)."""
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric}")
+    """The same over dense vectors of one length: frames of (id, vector). For cosine a zero
+    vector is at distance 1 from all others and 0 from other zero vectors."""
+    _checked(metric, select)
     cols = [F.col("id").alias("_id"), F.col("vector")]
-    return _nearest(
-        rows.select(*cols),
-        items.select(*cols),
-        [],
-        lambda a, b: _vector_distance(a, b, metric),
-        [],
-        (F.lit(0.0), F.lit(float("inf"))),
-        percentile,
-        k,
-        select,
-    )
+    rows, items = rows.select(*cols), items.select(*cols)
+    n_items = items.count()
+    k = _wanted(percentile, k, rows.count(), n_items)
+    vectors = N.Vectors(metric).with_pivots(items, N.pivots(n_items))
+    left = vectors.placed(rows).withColumn("_k", F.lit(k).cast("bigint"))
+    return N.nearest(left, vectors.placed(items), vectors.space(), k, select == "heap")
 
 
 # --------------------------------------------------------------------------- lookup

@@ -83,6 +83,9 @@ class Parts:
     def neighbors(self) -> DataFrame:
         return self._once("neighbors", lambda: cut_lineage(S.nearest_items(self.items, self.active)))
 
+    def alike(self, match: str = "any") -> DataFrame:
+        return self._once(f"alike_{match}", lambda: cut_lineage(K.alike_neighbors(self.requests, self.items, self.active, match=match)))
+
     @property
     def requests(self) -> DataFrame:
         def make():
@@ -505,13 +508,13 @@ def _(spark, d):
 @register("prefiltered_items", sql.query(POSITIONS + "special", "special"))
 def _(spark, d):
     p = parts(spark, d)
-    return items_out(K.prefiltered_items(p.requests, p.neighbors, p.items))
+    return items_out(K.prefiltered_items(p.requests, p.alike(), p.items))
 
 
 @register("prefiltered_items_all", sql.query(POSITIONS + "special_all", "special_all"))
 def _(spark, d):
     p = parts(spark, d)
-    return items_out(K.prefiltered_items(p.requests, p.neighbors, p.items, match="all"))
+    return items_out(K.prefiltered_items(p.requests, p.alike("all"), p.items))
 
 
 @register("relaxed_quality", sql.query("SELECT request_id, CAST(position AS BIGINT) AS position, item_id, rung FROM relaxed", "relaxed"))
@@ -530,13 +533,13 @@ def _(spark, d):
 @register("mixed_interleaved", sql.query(sql.mixed_sql("special_75", "position, source").replace("\nWITH u AS (", ", u AS (", 1), "good", "items", "special_75", "lookalikes", "sampled_quality"))
 def _(spark, d):
     p = parts(spark, d)
-    return items_out(K.mixed(p.requests, p.neighbors, p.quality, p.items))
+    return items_out(K.mixed(p.requests, p.neighbors, p.alike(), p.quality, p.items))
 
 
 @register("mixed_appended", sql.query(sql.mixed_sql("special_90", "source, position").replace("\nWITH u AS (", ", u AS (", 1), "good", "items", "special_90", "lookalikes", "sampled_quality"))
 def _(spark, d):
     p = parts(spark, d)
-    return items_out(K.mixed(p.requests, p.neighbors, p.quality, p.items, ratio=0.9, interleave=False))
+    return items_out(K.mixed(p.requests, p.neighbors, p.alike(), p.quality, p.items, ratio=0.9, interleave=False))
 
 
 @register("family_first", sql.query("SELECT request_id, CAST(position AS BIGINT) AS position, item_id, source, family_count FROM family", "family"))

@@ -397,8 +397,11 @@ PLACE = """CASE WHEN neighbor_id <> item_id THEN CAST(row_number() OVER (PARTITI
   neighbor_id = item_id, CASE WHEN distance = 0 THEN CAST('inf' AS DOUBLE) ELSE distance END, neighbor_id) AS INTEGER) END"""
 
 
+DISTANCE = f"sqrt(CAST({_heavy} AS DOUBLE) + {_gaps})"
+
+
 def neighbors_sql(limit: str, distance: str | None = None) -> str:
-    d = distance or f"sqrt(CAST({_heavy} AS DOUBLE) + {_gaps})"
+    d = distance or DISTANCE
     return f"""
 SELECT item_id, neighbor_id, distance, CAST(rank AS INTEGER) AS rank, {PLACE} AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, neighbor_id) AS rank
@@ -437,6 +440,13 @@ WHERE s.size < r.n AND k.position <= r.n + 1""",
 )
 
 
+cte(
+    "all_pairs",
+    "feats",
+    sql=f"SELECT a.id AS item_id, b.id AS neighbor_id, round({DISTANCE}, 6) AS distance FROM feats a JOIN feats b ON b.status = 'active'",
+)
+
+
 def prefiltered_sql(size: str, match: str = "OR") -> str:
     test = f" {match} ".join(f"o.{f} = i.{f}" for f in C.PREFILTER_FEATURES)
     return f"""
@@ -444,7 +454,7 @@ WITH m AS (
   SELECT r.request_id, r.bike_id, k.neighbor_id AS item_id, CAST(floor({size}) AS BIGINT) AS n,
          CASE WHEN k.distance = 0 THEN CAST('inf' AS DOUBLE) ELSE k.distance END AS distance,
          count(*) OVER (PARTITION BY r.request_id) AS matched
-  FROM good r JOIN items o ON o.id = r.bike_id JOIN neighbors k ON k.item_id = r.bike_id
+  FROM good r JOIN items o ON o.id = r.bike_id JOIN all_pairs k ON k.item_id = r.bike_id
   JOIN items i ON i.id = k.neighbor_id WHERE {test}),
 t AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, item_id) AS place
       FROM m WHERE matched > 1 AND item_id <> bike_id),
@@ -459,7 +469,7 @@ for _name, _size, _match in (
     ("special_90", "r.n * CAST(0.9 AS DOUBLE)", "OR"),
     ("special_all", "r.n", "AND"),
 ):
-    cte(_name, "good", "items", "neighbors", "allowed", sql=prefiltered_sql(_size, _match))
+    cte(_name, "good", "items", "all_pairs", "allowed", sql=prefiltered_sql(_size, _match))
 
 cte(
     "relaxed_base",

@@ -24,9 +24,13 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    from stallrec.operators import blocks
+    from stallrec.operators import blocks, nearest
 
     monkeypatch.setattr(blocks, "QUERY_BLOCK", 16)
     monkeypatch.setattr(blocks, "ITEM_BLOCK", 32)
     monkeypatch.setattr(blocks, "CELL_QUERIES", 2)
     monkeypatch.setattr(blocks, "CELL_ITEMS", 2)
+    monkeypatch.setattr(nearest, "ROWS", 8)
+    monkeypatch.setattr(nearest, "ITEMS", 8)
+    monkeypatch.setattr(nearest, "BLOCKS_A_PART", 4)
+    monkeypatch.setattr(nearest, "FAN", 3)
