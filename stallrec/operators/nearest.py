@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from stallrec.operators import blocks as B
 from stallrec.session import cut_lineage
 
-FAN = 16
+FAN = 32
 #: Rows of a block on either side, and blocks that one task cuts.
 ROWS = 512
 ITEMS = 1024
@@ -183,10 +183,11 @@ class Running:
         self.held = [(none, np.zeros(0), none)]
         self.pending = 0
         self.most = int(k.max(initial=0))
+        # sorting is worth it once enough new rows came in; few wanted rows are sorted often
+        self.patience = 3 * int(k.sum())
 
     def reach(self) -> float:
         """No row farther than this can still be among the nearest."""
-        self.trim()
         return float(self.limit.max(initial=-np.inf))
 
     def add(self, rows: object, items: object, ids: np.ndarray, kernel: Kernel) -> None:
@@ -204,7 +205,7 @@ class Running:
         fit = near <= self.limit[r]
         self.held.append((r[fit], near[fit], ids[c[fit]]))
         self.pending += int(fit.sum())
-        if self.pending > max(int(self.k.sum()), 1 << 16):
+        if self.pending > self.patience:
             self.trim()
 
     def trim(self) -> None:
