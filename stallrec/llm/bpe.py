@@ -1,27 +1,25 @@
 """Token ids of whole texts with a byte-level BPE of the tokenizers library, each distinct word once.
 
-The tokenizer cuts a text into pre-tokens before it merges, and a single space between two
-other characters always starts a new pre-token. A text is therefore cut there, and equal
-pieces share the ids the library gave them once. Where spaces meet other white space the
-cut would not be safe, so it is not made there. A new piece of letters, marks after them and
-a line break is cut once more at those places, which are ends of pre-tokens too.
+The library cuts a text into words before it merges, special tokens first and then by a
+pattern. A text is cut in the same way here; a word not met before is given to the library,
+and all others are looked up. A worker process keeps what it has met.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from collections.abc import Callable, Iterable
+from functools import cache
+from itertools import chain
 
 import numpy as np
+import regex
 
-#: A space with other characters than white space on both sides.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-RISKY = re.compile(r" \s|\s ")
-#: Letters, then marks that start neither a contraction nor a special token; perhaps again after a line break.
-PARTS = re.compile(r"( ?[^\W\d_]+)([^\w\s'<]*)(?:(\n)([^\W\d_]+)([^\w\s'<]*))?")
-#: Pieces held by a task; when over, it starts anew.
-HELD = 500_000
+#: Fixed value: how byte-level tokenizers of this kind cut a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words held by a worker; when over, it starts anew.
+HELD = 1_200_000
 BATCH = 4096
 
 
@@ -32,13 +30,6 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def cut(text: str) -> list[str]:
-    """Parts that are encoded alone; every part but the first has a space before it."""
-    if RISKY.search(text) or text[0] == " " or text[-1] == " ":
-        return CUT.split(text)
-    return text.split(" ")
-
-
 class Seen(dict):
     """A number for every key met; ``fresh`` lists the new ones."""
 
@@ -51,69 +42,100 @@ class Seen(dict):
         return number
 
 
-class Encoder:
-    """Ids of many texts; pieces already met are looked up."""
+class Grown:
+    """An array that grows at its end."""
 
-    def __init__(self, path: str, held: int = HELD):
-        self.tokenizer = load(path)
-        self.held = held
+    def __init__(self, kind):
+        self.room, self.size = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.room):
+            self.room = np.concatenate([self.room[: self.size], np.zeros(2 * need - self.size, self.room.dtype)])
+        self.room[self.size : need] = values
+        self.size = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
+Code = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+class Words:
+    """Ids of many texts from ``code``, which gives (ids of all, ids per word) of distinct words
+    and of the ``special`` tokens. What was met before is looked up."""
+
+    def __init__(self, code: Code, special: Iterable[str], held: int = HELD):
+        self.code, self.held = code, held
+        self.words = regex.compile(WORDS).findall
+        names = sorted(special, key=len, reverse=True)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.clear()
 
     def clear(self) -> None:
         self.seen = Seen()
-        # bytes of ids, since millions of small lists would burden the garbage collector
-        self.parts: dict[str | None, bytes] = {None: b"", "": b""}
-        self.flat = np.zeros(0, np.uintc)
-        self.sizes = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-
-    def learn(self) -> None:
-        """Ids of the pieces met since the last time."""
-        fresh = self.seen.fresh
-        if not fresh:
-            return
-        self.seen.fresh = []
-        split = []
-        for key in fresh:
-            piece = key[0] if isinstance(key, tuple) else " " + key
-            match = PARTS.fullmatch(piece)
-            split.append(match.groups() if match else (piece,))
-        new = list({p for parts in split for p in parts}.difference(self.parts))
-        for at in range(0, len(new), BATCH):
-            batch = new[at : at + BATCH]
-            for part, coded in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                self.parts[part] = array("I", coded.ids).tobytes()
-        coded = [b"".join([self.parts[p] for p in parts]) for parts in split]
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, coded), np.int64, len(coded)) // array("I").itemsize])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), np.uintc)])
-
-    def pieces(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of all pieces, pieces per text); a null or empty text has none."""
+        self.flat, self.sizes, self.starts = Grown(np.int32), Grown(np.int64), Grown(np.int64)
+
+    def split(self, text: str) -> list[str]:
+        """Words and special tokens of a text."""
+        if self.special is None or not self.special.search(text):
+            return self.words(text)
+        out: list[str] = []
+        for n, part in enumerate(self.special.split(text)):
+            out += [part] if n % 2 else self.words(part)
+        return out
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all words, words per text); a null or empty text has none."""
         if len(self.seen) > self.held:
             self.clear()
-        number, numbers, counts = self.seen.__getitem__, [], []
+        number, numbers, counts = self.seen.__getitem__, array("q"), []
         for text in texts:
-            if not text:
-                counts.append(0)
-                continue
-            parts = cut(text)
-            numbers.append(number((parts[0],)))
-            numbers.extend(map(number, parts[1:]))
-            counts.append(len(parts))
-        self.learn()
+            words = self.split(text) if text else ()
+            numbers.extend(map(number, words))
+            counts.append(len(words))
+        if self.seen.fresh:
+            flat, sizes = self.code(self.seen.fresh)
+            self.seen.fresh = []
+            self.starts.add(self.flat.size + np.cumsum(sizes) - sizes)
+            self.sizes.add(sizes)
+            self.flat.add(flat)
         return np.array(numbers, np.int64), np.array(counts, np.int64)
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        numbers, counts = self.pieces(texts)
-        sizes = self.sizes[numbers]
-        starts = self.starts[numbers]
-        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        flat = self.flat[np.repeat(starts, sizes) + within].astype(np.int64)
-        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]]
-        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text)."""
+        numbers, counts = self.numbers(texts)
+        sizes = self.sizes.values[numbers]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat.values[np.repeat(self.starts.values[numbers] - (ends - sizes), sizes) + np.arange(total)]
+        return flat, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(counts)]])
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        numbers, counts = self.pieces(texts)
-        ends = np.r_[0, np.cumsum(self.sizes[numbers])][np.r_[0, np.cumsum(counts)]]
+        numbers, counts = self.numbers(texts)
+        ends = np.r_[0, np.cumsum(self.sizes.values[numbers])][np.r_[0, np.cumsum(counts)]]
         return np.diff(ends).tolist()
+
+
+class Encoder(Words):
+    """Ids as the library gives them."""
+
+    def __init__(self, path: str, held: int = HELD):
+        tokenizer = load(path)
+
+        def code(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            coded: list[list[int]] = []
+            for at in range(0, len(words), BATCH):
+                coded += [c.ids for c in tokenizer.encode_batch_fast(words[at : at + BATCH], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            return np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum())), sizes
+
+        super().__init__(code, (t.content for t in tokenizer.get_added_tokens_decoder().values()), held)
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that workers used again know the words of earlier tasks."""
+    return Encoder(path)

@@ -31,16 +31,11 @@ from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 
-from stallrec.llm.bpe import Seen, cut
+from stallrec.llm.bpe import Words
 from stallrec.llm.common import int_lists, map_rows
 
-#: Fixed value: how byte-level tokenizers of this kind cut a text into words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of text whose ids a worker keeps; when there are more it starts anew.
-HELD = 400_000
 #: Texts coded together, and the characters after which a group of texts ends.
 TOGETHER = 256
 CHARACTERS = 1 << 22
@@ -187,77 +182,22 @@ class Merges:
         return flat, sizes, len(failing)
 
 
-class Coder:
-    """Ids of many texts; what a worker has met before is looked up."""
+class Coder(Words):
+    """Ids of many texts and back."""
 
-    def __init__(self, merges: Merges, held: int = HELD):
-        self.merges, self.held = merges, held
-        self.words = regex.compile(WORDS).findall
-        names = sorted(merges.special, key=len, reverse=True)
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+    def __init__(self, merges: Merges, held: int = 600_000):
+        self.merges = merges
         self.decimals = [str(n).encode() for n in range(merges.size)]
-        self.clear()
-
-    def clear(self) -> None:
-        self.seen = Seen()
-        self.coded: dict[str, bytes] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.sizes = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-
-    def split(self, piece: str) -> Iterable[str]:
-        """Words and special tokens of a piece of text."""
-        if self.specials is None or not self.specials.search(piece):
-            return self.words(piece)
-        out: list[str] = []
-        for n, part in enumerate(self.specials.split(piece)):
-            out += [part] if n % 2 else self.words(part)
-        return out
-
-    def learn(self) -> None:
-        """Ids of the pieces met since the last time."""
-        fresh, self.seen.fresh = self.seen.fresh, []
-        if not fresh:
-            return
-        split = [self.split(key[0] if isinstance(key, tuple) else " " + key) for key in fresh]
-        special = self.merges.special
-        new = list({w for words in split for w in words}.difference(self.coded))
-        flat, sizes, _ = self.merges.code([w.encode() for w in new if w not in special])
-        data, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(sizes)).tolist()
-        at, ends = 0, iter(ends)
-        for word in new:
-            if word in special:
-                self.coded[word] = np.int32(special[word]).tobytes()
-            else:
-                end = next(ends)
-                self.coded[word] = data[at:end]
-                at = end
-        coded = [b"".join([self.coded[w] for w in words]) for words in split]
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, coded), np.int64, len(coded)) // 4])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), np.int32)])
-
-    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids per text)."""
-        if len(self.seen) > self.held:
-            self.clear()
-        number, numbers, counts = self.seen.__getitem__, [], []
-        for text in texts:
-            if not text:
-                counts.append(0)
-                continue
-            parts = cut(text)
-            numbers.append(number((parts[0],)))
-            numbers.extend(map(number, parts[1:]))
-            counts.append(len(parts))
-        self.learn()
-        numbers = np.array(numbers, np.int64)
-        sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts, dtype=np.int64)]]
-        return flat, np.diff(bounds)
+
+        def code(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            named = [n for n, w in enumerate(words) if w in merges.special]
+            flat, sizes, _ = merges.code([w.encode() for w in words if w not in merges.special])
+            # a special token among the words is one id of its own
+            places = np.array(named, np.int64) - np.arange(len(named))
+            starts = np.r_[0, np.cumsum(sizes)][places]
+            return np.insert(flat, starts, [merges.special[words[n]] for n in named]), np.insert(sizes, places, 1)
+
+        super().__init__(code, merges.special, held)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.merges.raw.__getitem__, ids)).decode("utf-8", "replace")

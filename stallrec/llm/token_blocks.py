@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallrec.llm.bpe import Encoder
+from stallrec.llm.bpe import encoder
 from stallrec.llm.common import arrow_schema, ddl
 
 BLOCK = 128
@@ -134,7 +134,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
     """Write the ids of ``docs`` (doc_id, text), in doc_id order, as block files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         shard, segment, first = None, 0, 0
         held: list[tuple] = []
         size = 0
@@ -156,8 +156,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
             # a few texts at a time: ids of a batch would be larger than its texts
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
-                    ids = np.append(ids, end_id)
+                flat, sizes = coder.ids(part.column(1).to_pylist())
+                ends = np.cumsum(sizes)
+                with_end = np.insert(flat.astype(np.int64), ends, end_id)
+                for doc_id, ids in zip(part.column(0).to_pylist(), np.split(with_end, (ends + np.arange(1, len(ends) + 1))[:-1])):
                     if held and size + len(ids) > SEGMENT:
                         yield flush()
                     held.append((doc_id, ids))

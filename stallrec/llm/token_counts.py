@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stallrec.llm.bpe import Encoder
+from stallrec.llm.bpe import encoder
 from stallrec.llm.common import map_rows
 from stallrec.session import cut_lineage
 
@@ -27,8 +27,8 @@ def with_length(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Add n_tokens."""
 
     def start():
-        encoder = Encoder(tokenizer)
-        return lambda columns: {"n_tokens": encoder.counts(columns["text"].to_pylist())}
+        coder = encoder(tokenizer)
+        return lambda columns: {"n_tokens": coder.counts(columns["text"].to_pylist())}
 
     return map_rows(docs, start, {"n_tokens": "long"})
 

@@ -81,6 +81,12 @@ def test_forgetting_changes_nothing():
         assert small.ids(group)[0].tolist() == CODER.ids(group)[0].tolist()
 
 
+def test_special_tokens_among_words():
+    flat, sizes = CODER.code(["<|endoftext|>", " hello", "<|endoftext|>", " zyx"])
+    want = [library(w) for w in ("<|endoftext|>", " hello", "<|endoftext|>", " zyx")]
+    assert flat.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
 def test_query(spark):
     docs = {d["doc_id"]: d["text"] for d in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()}
     got = registry.QUERIES["op11_bpe_speculate"](spark, SMALL).collect()
