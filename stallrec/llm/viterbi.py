@@ -1,23 +1,34 @@
-"""SentencePiece encoding and decoding by a shared-prefix Viterbi search.
+"""SentencePiece encoding and decoding by a shared-prefix Viterbi search, for merge models.
 
 A text is marked (a mark before it and for every space) and cut into marked words: runs of
 marks with what follows them. No piece of the vocabulary crosses such a cut, so words are
 segmented alone. The distinct words of a batch are sorted, which is the depth-first order of
-their trie, and the forward scores of the characters a word shares with the one before it
-are kept, so every trie node is searched once. The best segmentation has the greatest sum of
-piece scores; of equals the one whose last piece is the longest, then the same rule on what
-is before it. A character in no piece becomes its UTF-8 bytes as byte pieces.
+their trie, and the forward state of the characters a word shares with the one before it is
+kept, so every trie node is searched once.
 
-Decoding joins the pieces, turns marks into spaces and drops the first; it gives back every
-text exactly.
+The scores of a merge model are the ranks of its merges, and a sum of ranks says nothing. So
+a path costs nothing where two neighboring pieces can stand side by side after merging, and
+is ruled out where they cannot: two pieces can if merging the characters of both gives the
+two again. Merging decides the pieces of a prefix without looking at what follows, so at
+every place exactly one piece can end, and the forward state is that piece. The ids are those
+of the library. Whether two pieces can stand side by side is found by merging them, once per
+pair in the life of a worker process.
+
+A character in no piece becomes its UTF-8 bytes as byte pieces; so does a mark that stands in
+the text itself, which the library would take for a space. With that, decoding gives back
+every text exactly.
 
 Defined cases: null text has null ids and decodes to null; an empty text has no ids and
-decodes to an empty text; a text is never cut short; repeated rows have equal results.
+decodes to an empty text; a text is never cut short; repeated rows have equal results; an
+empty table gives an empty table; other columns stay, but one that has the name of an added
+column is replaced.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -26,16 +37,21 @@ from pyspark.sql import DataFrame
 from stallrec.llm.common import map_rows
 
 MARK = "▁"
+#: Stands for a mark of the text itself while words are cut; no text holds a lone surrogate.
+OWN_MARK = "\ud800"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: A piece in no vocabulary costs more than any sum of known pieces of a word would.
-BYTE_COST = -1e9
-HELD = 300_000
-#: Characters of a batch that are searched together.
-TOGETHER = 1 << 22
+#: Words whose ids a worker keeps, and the longest that it keeps.
+HELD = 600_000
+LONG = 64
+#: Texts, and characters, that are searched together.
+TOGETHER = 256
+CHARACTERS = 1 << 22
+#: Pairs of pieces a worker remembers.
+PAIRS = 3_000_000
 
 
 class Vocabulary:
-    """Pieces, scores and byte pieces of a model file."""
+    """Pieces, merges and byte pieces of a model file."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -44,11 +60,45 @@ class Vocabulary:
         self.piece = [model.id_to_piece(n) for n in range(model.get_piece_size())]
         self.byte = {int(self.piece[n][3:5], 16): n for n in range(len(self.piece)) if model.is_byte(n)}
         special = {n for n in range(len(self.piece)) if model.is_byte(n) or model.is_control(n) or model.is_unknown(n)}
-        self.known = {p: (n, model.get_score(n)) for n, p in enumerate(self.piece) if n not in special and p}
-        self.longest = max(map(len, self.known))
-        self.raw = [bytes([int(p[3:5], 16)]) if n in self.byte.values() else b"" if n in special else p.encode() for n, p in enumerate(self.piece)]
-        # every proper prefix of a piece, so that a search stops where no piece goes on
-        self.prefixes = {p[:n] for p in self.known for n in range(1, len(p) + 1)}
+        self.score = {p: model.get_score(n) for n, p in enumerate(self.piece) if n not in special and p}
+        ids = {p: n for n, p in enumerate(self.piece) if n not in special and p}
+        # a piece that its own characters do not merge into is never a result
+        self.known = {p: n for p, n in ids.items() if self.merged(p) == [p]}
+        # what ends some piece, so that a search backwards stops where no piece goes on
+        self.endings = {p[n:] for p in self.known for n in range(len(p))}
+        self.raw = [self.piece[n].replace(MARK, " ").encode() for n in range(len(self.piece))]
+        for value, n in self.byte.items():
+            self.raw[n] = bytes([value])
+        for n in special.difference(self.byte.values()):
+            self.raw[n] = b""
+        self.pairs: dict[int, bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """Best score first, the leftmost of equals."""
+        parts, score = list(text), self.score
+        while True:
+            best, at = None, -1
+            for n in range(len(parts) - 1):
+                found = score.get(parts[n] + parts[n + 1])
+                if found is not None and (best is None or found > best):
+                    best, at = found, n
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def side_by_side(self, left: int, right: int) -> bool:
+        """Whether merging the characters of two pieces gives the two."""
+        key = left * len(self.piece) + right
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            a, b = self.piece[left], self.piece[right]
+            found = self.pairs[key] = self.merged(a + b) == [a, b]
+        return found
+
+    def bytes_of(self, sign: str) -> list[int]:
+        return [self.byte[b] for b in (MARK if sign == OWN_MARK else sign).encode()]
 
 
 @cache
@@ -57,10 +107,10 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def segment_sorted(words: list[str], vocab: Vocabulary) -> list[list[int]]:
-    """Ids of words in sorted order. The stack holds, per character of the current path, the
-    best score up to there and the start and id of the piece that ends there."""
-    known, longest = vocab.known, vocab.longest
-    best, begin, ident = [0.0], [0], [-1]
+    """Ids of words in sorted order. The stack holds, per character of the current path, where
+    the piece that ends there begins and its id, -1 for a character in no piece."""
+    known, endings, fits, remembered, base = vocab.known, vocab.endings, vocab.side_by_side, vocab.pairs.get, len(vocab.piece)
+    begin, ident = [0], [-1]
     before, out = "", []
     for word in words:
         same = 0
@@ -68,16 +118,24 @@ def segment_sorted(words: list[str], vocab: Vocabulary) -> list[list[int]]:
             if a != b:
                 break
             same += 1
-        del best[same + 1 :], begin[same + 1 :], ident[same + 1 :]
+        del begin[same + 1 :], ident[same + 1 :]
         for end in range(same + 1, len(word) + 1):
-            top, at, who = best[end - 1] + BYTE_COST, end - 1, -1
-            for start in range(max(0, end - longest), end):
-                hit = known.get(word[start:end])
-                if hit is not None:
-                    score = best[start] + hit[1]
-                    if score > top:
-                        top, at, who = score, start, hit[0]
-            best.append(top)
+            start, at, who = end - 1, end - 1, -1
+            while start >= 0:
+                part = word[start:end]
+                if part not in endings:
+                    break
+                piece = known.get(part)
+                if piece is not None:
+                    last = ident[start]
+                    if last < 0:
+                        at, who = start, piece
+                        break
+                    fit = remembered(last * base + piece)
+                    if fit if fit is not None else fits(last, piece):
+                        at, who = start, piece
+                        break
+                start -= 1
             begin.append(at)
             ident.append(who)
         ids, end = [], len(word)
@@ -85,7 +143,7 @@ def segment_sorted(words: list[str], vocab: Vocabulary) -> list[list[int]]:
             if ident[end] >= 0:
                 ids.append(ident[end])
             else:
-                ids.extend(vocab.byte[b] for b in reversed(word[end - 1].encode()))
+                ids.extend(reversed(vocab.bytes_of(word[end - 1])))
             end = begin[end]
         out.append(ids[::-1])
         before = word
@@ -93,60 +151,67 @@ def segment_sorted(words: list[str], vocab: Vocabulary) -> list[list[int]]:
 
 
 def marked_words(text: str) -> list[str]:
-    return WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
+    if not text:
+        return []
+    if MARK in text:
+        text = text.replace(MARK, OWN_MARK)
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return WORDS.findall(MARK + text.replace(" ", MARK))
+    return [MARK + w for w in text.split(" ")]
 
 
 class Encoder:
-    """Ids of many texts; segmented words are held up to a bound."""
+    """Ids of many texts, as bytes of 32-bit numbers; segmented words are held up to a bound."""
 
-    def __init__(self, path: str, held: int = HELD):
-        self.vocab = vocabulary(path)
-        self.held = held
-        self.done: dict[str, list[int]] = {}
+    def __init__(self, vocab: Vocabulary, held: int = HELD):
+        self.vocab, self.held = vocab, held
+        self.done: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str | None]) -> list[list[int] | None]:
-        out: list[list[int] | None] = []
+    def coded(self, texts: list[str | None]) -> list[bytes | None]:
+        out: list[bytes | None] = []
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end] or "") <= TOGETHER):
+            while end < len(texts) and end - at < TOGETHER and (end == at or size + len(texts[end] or "") <= CHARACTERS):
                 size += len(texts[end] or "")
                 end += 1
-            cut = [marked_words(t) if t is not None else None for t in texts[at:end]]
-            distinct = {w for words in cut if words for w in words}
-            fresh = sorted(distinct.difference(self.done))
-            if len(self.done) + len(fresh) > self.held:
-                self.done, fresh = {}, sorted(distinct)
-            self.done.update(zip(fresh, segment_sorted(fresh, self.vocab)))
+            cut = [None if t is None else marked_words(t) for t in texts[at:end]]
+            if len(self.done) > self.held:
+                self.done = {}
             done = self.done
-            for words in cut:
-                if words is None:
-                    out.append(None)
-                    continue
-                flat: list[int] = []
-                for w in words:
-                    flat += done[w]
-                out.append(flat)
+            fresh = sorted({w for words in cut if words for w in words}.difference(done))
+            found = {w: array("i", ids).tobytes() for w, ids in zip(fresh, segment_sorted(fresh, self.vocab))}
+            done.update(found)
+            out += [None if words is None else b"".join(map(done.__getitem__, words)) for words in cut]
+            for word in found:
+                if len(word) > LONG:
+                    del done[word]
             at = end
         return out
 
 
-def decode_ids(ids: np.ndarray | list[int] | None, vocab: Vocabulary) -> str | None:
+@cache
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that workers used again know the words of earlier tasks."""
+    return Encoder(vocabulary(path))
+
+
+def decode_ids(ids: list[int] | None, vocab: Vocabulary) -> str | None:
     if ids is None:
         return None
-    raw = vocab.raw
-    text = b"".join([raw[n] for n in ids]).decode("utf-8", "replace").replace(MARK, " ")
-    return text[1:] if len(ids) else text
+    return b"".join(map(vocab.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """Add ids, an array of piece ids, to ``docs``."""
 
     def start():
-        encoder = Encoder(model)
-        return lambda columns: {"ids": encoder.ids(columns["text"].to_pylist())}
+        code = encoder(model)
+        return lambda columns: {
+            "ids": [None if c is None else np.frombuffer(c, np.int32) for c in code.coded(columns["text"].to_pylist())]
+        }
 
-    return map_rows(docs, start, {"ids": "array<int>"})
+    return map_rows(docs.drop("ids"), start, {"ids": "array<int>"})
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
@@ -156,7 +221,7 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
         vocab = vocabulary(model)
         return lambda columns: {"decoded": [decode_ids(i, vocab) for i in columns["ids"].to_pylist()]}
 
-    return map_rows(coded, start, {"decoded": "string"})
+    return map_rows(coded.drop("decoded"), start, {"decoded": "string"})
 
 
 def coded_digests(docs: DataFrame, model: str) -> DataFrame:
@@ -164,20 +229,20 @@ def coded_digests(docs: DataFrame, model: str) -> DataFrame:
 
     Both directions run in one task, a few texts at a time, so ids never leave it.
     """
-    import zlib
 
     def start():
-        encoder = Encoder(model)
+        code = encoder(model)
 
         def make(columns):
             counts, digests, same = [], [], []
             texts = columns["text"].to_pylist()
-            for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
-                for text, ids in zip(part, encoder.ids(part)):
+            for at in range(0, len(texts), TOGETHER):
+                part = texts[at : at + TOGETHER]
+                for text, coded in zip(part, code.coded(part)):
+                    ids = None if coded is None else np.frombuffer(coded, np.int32)
                     counts.append(None if ids is None else len(ids))
-                    digests.append(None if ids is None else zlib.crc32(np.array(ids, "<u4").tobytes()))
-                    same.append(decode_ids(ids, encoder.vocab) == text)
+                    digests.append(None if ids is None else zlib.crc32(ids.astype("<u4").tobytes()))
+                    same.append(decode_ids(None if ids is None else ids.tolist(), code.vocab) == text)
             return {"n_ids": counts, "ids_crc32": digests, "same": same}
 
         return make

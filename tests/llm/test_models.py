@@ -2,11 +2,15 @@
 
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from stallrec.llm import decontaminate, language_id, registry, secret_scan, url_filter, viterbi
 from tests.llm.conftest import EDGE_TEXTS, SMALL
@@ -117,34 +121,64 @@ def test_url_ratio_on_unseen_urls(spark):
     assert len(free) > 300 and sum(free) > 0.9 * len(free)
 
 
-def plain_best(word, vocab):
-    """Greatest sum of scores by plain dynamic programming from the left."""
-    best = [0.0] + [None] * len(word)
-    for end in range(1, len(word) + 1):
-        best[end] = best[end - 1] + viterbi.BYTE_COST
-        for start in range(end):
-            hit = vocab.known.get(word[start:end])
-            if hit and best[start] + hit[1] > best[end]:
-                best[end] = best[start] + hit[1]
-    return best[-1]
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=registry.PIECE_BPE)
 
 
-def test_viterbi(spark):
+def test_words_get_the_ids_of_the_library():
+    """Every distinct word of the documents, in the sorted order in which prefixes are shared."""
     vocab = viterbi.vocabulary(registry.PIECE_BPE)
-    texts = [d["text"] for d in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()[:40]] + EDGE_TEXTS[:10] + ["  two  spaces ", "a\n b", "▁mark"]
+    texts = [d["text"] for d in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
     words = sorted({w for t in texts if t for w in viterbi.marked_words(t)})
     for word, ids in zip(words, viterbi.segment_sorted(words, vocab)):
-        known = [n for n in ids if vocab.piece[n] in vocab.known]
-        unknown = len(word) - sum(len(vocab.piece[n]) for n in known)
-        assert sum(vocab.known[vocab.piece[n]][1] for n in known) + unknown * viterbi.BYTE_COST == pytest.approx(plain_best(word, vocab))
-    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
-    back = viterbi.decode(viterbi.encode(frame, registry.PIECE_BPE), registry.PIECE_BPE).collect()
-    assert all(r["decoded"] == (r["text"].replace("▁", " ") if r["text"] else r["text"]) for r in back)
+        assert ids == LIBRARY.encode(word[1:].replace("▁", " ")), word
+    assert len(words) > 50000
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.text("ab c\n\té漢e the<|>_ing😀", max_size=80))
+def test_any_text_and_back(text):
+    ids = np.frombuffer(viterbi.encoder(registry.PIECE_BPE).coded([text])[0], np.int32).tolist()
+    assert viterbi.decode_ids(ids, viterbi.vocabulary(registry.PIECE_BPE)) == text
+    if "▁" not in text:
+        assert ids == LIBRARY.encode(text)
+
+
+def test_prefixes_are_searched_once(monkeypatch):
+    vocab = viterbi.vocabulary(registry.PIECE_BPE)
+    words = sorted({"▁" + w for w in ("sentence", "sentences", "sent", "sentencepiece", "other", "others")})
+    alone = [viterbi.segment_sorted([w], vocab)[0] for w in words]
+    assert viterbi.segment_sorted(words, vocab) == alone
+    met = []
+    monkeypatch.setattr(vocab, "endings", type("Seen", (set,), {"__contains__": lambda self, p: met.append(p) or set.__contains__(self, p)})(vocab.endings))
+    viterbi.segment_sorted(words, vocab)
+    shared = len(met)
+    for w in words:
+        viterbi.segment_sorted([w], vocab)
+    assert shared < 0.6 * (len(met) - shared)
+
+
+def test_viterbi(spark):
+    texts = [d["text"] for d in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()[:40]] + EDGE_TEXTS[:10] + ["  two  spaces ", "a\n b", "▁mark ▁▁ x▁y"]
+    frame = spark.createDataFrame([(n, t, "x") for n, t in enumerate(texts)], "doc_id long, text string, decoded string")
+    coded = viterbi.encode(frame, registry.PIECE_BPE)
+    rows = viterbi.decode(viterbi.encode(coded, registry.PIECE_BPE), registry.PIECE_BPE).collect()
+    assert sorted(rows[0].asDict()) == ["decoded", "doc_id", "ids", "text"] and all(r["decoded"] == r["text"] for r in rows)
+    assert all(r["ids"] == LIBRARY.encode(r["text"]) for r in rows if r["text"] is not None and "▁" not in r["text"])
+
+
+def test_forgetting_pieces_changes_nothing():
+    texts = [d["text"] for d in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()]
+    small = viterbi.Encoder(viterbi.vocabulary(registry.PIECE_BPE), held=10)
+    assert small.coded(texts) == viterbi.encoder(registry.PIECE_BPE).coded(texts)
 
 
 def test_pieces_query(spark):
+    docs = {d["doc_id"]: d["text"] for d in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()}
     got = registry.QUERIES["op9_sentencepiece"](spark, SMALL).collect()
     assert len(got) == 200 and all(r["same"] for r in got)
+    for r in got:
+        ids = LIBRARY.encode(docs[r["doc_id"]])
+        assert (r["n_ids"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
 def test_language_on_held_out(spark):
