@@ -116,7 +116,12 @@ def family_first(
     if family == "item":
         known = known.withColumn("family_id", F.col("_family"))
     relatives = Q.best_per_list(
-        known.withColumn("_m", F.col("n")), quality, items, (), "ladder", ("family_id", "family_id"), exclude="bike_id"
+        known.withColumn("_m", F.col("n")),
+        Q.listed_items(quality, items, ("family_id",), "quality_rank"),
+        (),
+        "ladder",
+        [("family_id", "family_id")],
+        exclude="bike_id",
     ).select("request_id", F.col("place").alias("position"), "item_id", F.col("_m").alias("n"), F.lit(0).alias("_from"))
     near = lookup(requests, neighbors, overfetch * F.col("n"), carry=CARRY)
     fill = M.flagged(near, items).filter("ok").select(*OUT, "n", F.lit(1).alias("_from"))

@@ -194,9 +194,9 @@ def best_for_users(
     """(request_id, item_id, score, place): the best ``limit`` active, permitted items.
 
     The mask is applied before the cut, so the result is exact for any mask. Requests
-    whose user has no factors are absent.
+    whose user has no factors are absent, and so are those that ask for less than one item.
     """
-    req = requests.join(users, requests.actor == users.user).select(
+    req = requests.filter(F.col(limit) >= 1).join(users, F.col("actor") == F.col("user")).select(
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("continent_id").cast("bigint").alias("continent_id"),
         "prefs",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from stallrec import config as C
 from stallrec.functions import columns as X
 from stallrec.operators import blocks as B
 from stallrec.operators import masks as M
+from stallrec.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -47,12 +49,6 @@ class Test:
         return (y >= x * C.PRICE_BAND[0]) & (y <= x * C.PRICE_BAND[1])
 
 
-LADDER = (
-    Test("price", "price", "near"),
-    Test("frame_size_code", "frame_size_code"),
-    Test("family_id", "family_id"),
-)
-
 BUYER_TESTS = (
     Test("category", "category"),
     Test("rider_height_max", "rider_height", "at_least"),
@@ -69,8 +65,9 @@ class _ListKernel:
     """Best items per request and list. Lists are nested conjunctions of the tests.
 
     ``mode='ladder'``: list 0 is the mask, list j adds the first j tests.
-    ``mode='sampled'``: list 0 is the mask; lists 1.. run the tests over the sampled
-    masked items; lists -1.. run them over all items.
+    ``mode='sampled'``: list 0 is the mask, list 1 the sampled masked items.
+    ``mode='deep'``: list 2 holds the sampled masked items and -2 all items, lists 3.. and
+    -3.. add the first tests.
     """
 
     tests: tuple[Test, ...]
@@ -86,19 +83,22 @@ class _ListKernel:
         mask = M.mask_matrix(req, item)
         if "exclude" in req:
             mask &= B.numbers(req["exclude"])[:, None] != B.numbers(item["item_id"])[None, :]
-        yield 0, mask
-        steps = [t.matrix(req, item) for t in self.tests]
+        if self.mode == "sampled":
+            yield 0, mask
+            yield 1, mask & B.numbers(item["sampled"])[None, :]
+            return
+        steps = (t.matrix(req, item) for t in self.tests)
         if self.mode == "ladder":
+            yield 0, mask
             held = mask
             for j, step in enumerate(steps, 1):
                 held = held & step
                 yield j, held
             return
-        half = mask & B.numbers(item["sampled"])[None, :]
-        whole = np.ones_like(mask)
-        yield 1, half
-        yield -1, whole
-        for j, step in enumerate(steps, 2):
+        half, whole = mask & B.numbers(item["sampled"])[None, :], np.ones_like(mask)
+        yield 2, half
+        yield -2, whole
+        for j, step in enumerate(steps, 3):
             half, whole = half & step, whole & step
             yield j, half
             yield -j, whole
@@ -120,74 +120,153 @@ class _ListKernel:
     def trim(out: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         # One number per (request, list); list numbers are small.
         _, request = np.unique(out["request_id"], return_inverse=True)
-        if len(request) and out["list"].min() < 0:
-            # With n = _m / 2 masked items found, the lists without the mask are not needed.
-            masked = np.bincount(request[out["list"] == 0], minlength=request.max() + 1)
-            needed = (out["list"] >= 0) | (2 * masked[request] < out["_m"])
-            out, request = {c: v[needed] for c, v in out.items()}, request[needed]
         group = request.astype(np.int64) * 1024 + out["list"] + 512
         at = B.best_rows(group, (out["order_key"], out["item_id"]), out["_m"])
         return {c: v[at] for c, v in out.items()}
 
 
+#: Columns a request may bring to a search; what it reads of them makes up its signature.
+BASE = ("continent_id", "prefs", "_m")
+#: Items that the first wave of a search reads, and how much the next ones grow.
+WAVE = 2048
+GROWTH = 8
+#: Width of a price step, as a factor.
+PRICE_STEP = 1.1
+
+
+def on_shelves(df: DataFrame, columns: Sequence[str]):
+    """Equality of several columns as one text, null where a column is."""
+    kinds = dict(df.dtypes)
+    numeric = ("int", "bigint", "smallint", "tinyint", "double", "float")
+
+    def text(c: str):
+        column = F.col(c)
+        return (column.cast("double") if kinds[c] in numeric or kinds[c].startswith("decimal") else column).cast("string")
+
+    parts = [text(c) for c in columns]
+    known = reduce(lambda x, y: x & y, [p.isNotNull() for p in parts])
+    return F.when(known, F.concat_ws("\u0001", *parts))
+
+
+def price_step(price):
+    return F.floor(F.log(F.greatest(price.cast("double"), F.lit(0.01))) / F.log(F.lit(PRICE_STEP)))
+
+
+def listed_items(quality: DataFrame, items: DataFrame, columns: Sequence[str], order_key: str, sampled=None) -> DataFrame:
+    """Items with their order, mask columns and what the tests read. The mask is drawn from the
+    catalog: a quality row without a catalog row fails it."""
+    listed = quality.select(
+        F.col("id").alias("item_id"),
+        F.col(order_key).cast("bigint").alias("order_key"),
+        (sampled if sampled is not None else F.lit(True)).alias("sampled"),
+        *[F.col(c).alias("i_" + c) for c in columns],
+    ).join(M.item_mask_columns(items), "item_id", "left")
+    return listed.fillna({"m_continent": -1, "m_motor": -1.0, "m_price": float("inf"), "m_size": -1.0, "m_category": -1})
+
+
 def best_per_list(
     requests: DataFrame,
-    quality: DataFrame,
-    items: DataFrame,
+    listed: DataFrame,
     tests: Sequence[Test],
     mode: str,
-    shelf: tuple[str, str] | None = None,
-    sampled=None,
-    order_key: str = "quality_rank",
+    shelf: Sequence[tuple[str, str]] = (),
+    price: bool = False,
     exclude: str | None = None,
 ) -> DataFrame:
     """(request_id, list, item_id, order_key, _m, place): the first ``_m`` of each list.
 
-    ``requests`` carry ``_m`` and the mask columns. ``shelf`` names an equality test,
-    (item column, request column), by which both sides are split beforehand.
+    ``requests`` carry ``_m`` and the mask columns, ``listed`` is ``listed_items``. ``shelf`` names
+    equality tests, (item column, request column), by which both sides are split beforehand.
+    With ``price`` they are split by steps of the price too: an item lies in one step, a
+    request asks the few steps its band touches.
     """
     tests = tuple(tests)
-    shelf_item, shelf_request = shelf or (None, None)
-    req_columns = sorted({t.request for t in tests})
-    item_columns = sorted({t.item for t in tests})
     req = requests.select(
-        *([F.col(shelf_request).alias("_on")] if shelf else []),
         F.col("request_id").cast("bigint").alias("request_id"),
         F.col("continent_id").cast("bigint").alias("continent_id"),
         "prefs",
         F.col("_m").cast("bigint").alias("_m"),
         *([F.col(exclude).cast("bigint").alias("exclude")] if exclude else []),
-        *[F.col(c).alias("r_" + c) for c in req_columns],
+        *[F.col(c).alias("r_" + c) for c in sorted({t.request for t in tests} | {r for _, r in shelf} | ({"price"} if price else set()))],
+    )
+    on = None
+    if shelf:
+        on = "_on"
+        listed = listed.withColumn("_on", on_shelves(listed, ["i_" + i for i, _ in shelf]))
+        req = req.withColumn("_on", on_shelves(req, ["r_" + r for _, r in shelf]))
+        if price:
+            low, high = (price_step(F.col("r_price") * f) for f in C.PRICE_BAND)
+            req = req.withColumn("_step", F.explode(F.sequence(low - 1, high + 1)))
+            listed = listed.withColumn("_step", price_step(F.col("i_price")))
+            req, listed = (df.withColumn("_on", F.concat("_on", F.lit("\u0001"), F.col("_step"))).drop("_step") for df in (req, listed))
+        # only shelves that somebody asks for are packed
+        listed = listed.join(req.select("_on").distinct(), "_on", "left_semi")
+    columns = [c for c in listed.columns if c != "_on" and (not c.startswith("i_") or c[2:] in {t.item for t in tests})]
+    packed_items = B.pack(listed, on, "item_id", B.ITEM_BLOCK, columns, "items")
+    packed = B.pack(req, on, "request_id", B.QUERY_BLOCK, [c for c in req.columns if c != "_on"], "requests").withColumn(
+        "_run", F.concat_ws("|", "_shelf", "_bucket")
     )
-    # The mask is drawn from the catalog: a quality row without a catalog row fails it.
-    masks = M.item_mask_columns(items)
-    listed = quality.select(
-        *([F.col(shelf_item).alias("_on")] if shelf else []),
-        F.col("id").alias("item_id"),
-        F.col(order_key).cast("bigint").alias("order_key"),
-        (sampled if sampled is not None else F.lit(True)).alias("sampled"),
-        *[F.col(c).alias("i_" + c) for c in item_columns],
-    ).join(masks, "item_id", "left")
-    listed = listed.fillna({"m_continent": -1, "m_motor": -1.0, "m_price": float("inf"), "m_size": -1.0, "m_category": -1})
-    on = "_on" if shelf else None
-    packed_items = B.pack(listed, on, "item_id", B.ITEM_BLOCK, [c for c in listed.columns if c != "_on"], "items")
-    packed = B.pack(
-        req, on, "request_id", B.QUERY_BLOCK, [c for c in req.columns if c != "_on"], "requests"
-    ).withColumn("_run", F.concat_ws("|", "_shelf", "_bucket"))
     kernel = _ListKernel(tests, mode)
     found = B.meet(packed, packed_items).mapInArrow(
         B.block_mapper("_run", kernel, kernel.trim, kernel.schema),
         "request_id bigint, list bigint, item_id bigint, order_key bigint, _m bigint",
     )
+    return first_places(found)
+
+
+def first_places(found: DataFrame) -> DataFrame:
+    """The first ``_m`` of each list. One shuffle by request serves this and what callers add."""
     best = W.partitionBy("request_id", "list").orderBy("order_key", "item_id")
-    # One shuffle by request serves this window and all that callers put on top.
     return (
-        found.repartition("request_id")
-        .withColumn("place", F.row_number().over(best))
-        .filter(F.col("place") <= F.col("_m"))
+        found.repartition("request_id").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= F.col("_m"))
     )
 
 
+def in_waves(requests: DataFrame, listed: DataFrame, search, lists: Sequence[int]) -> DataFrame:
+    """``search(requests, items)`` over items in order, the first few first.
+
+    A request stays until all its ``lists`` are full; each wave reads ``GROWTH`` times the
+    items of the one before, so there are few waves, and a request reads at most about
+    ``GROWTH`` times the items that its lists reach down to.
+    """
+    size = listed.agg(F.count("*").alias("n"), F.min("order_key").alias("lo"), F.max("order_key").alias("hi")).first()
+    if not size["n"]:
+        return search(requests, listed)
+    low, step = size["lo"] - 1, max((size["hi"] - size["lo"] + 1) * WAVE // size["n"], 1)
+    waves: list[DataFrame] = []
+    while True:
+        high = min(low + step, size["hi"])
+        here = listed.filter((F.col("order_key") > low) & (F.col("order_key") <= high))
+        waves.append(cut_lineage(search(requests, here).drop("place")))
+        if high >= size["hi"]:
+            break
+        sizes = reduce(DataFrame.unionByName, waves).filter(F.col("list").isin(*lists)).groupBy("request_id", "list").agg(
+            F.count("*").alias("n"), F.max("_m").alias("_m")
+        )
+        full = sizes.filter("n >= _m").groupBy("request_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(lists))
+        requests = cut_lineage(requests.join(full.select("request_id"), "request_id", "left_anti"))
+        if requests.isEmpty():
+            break
+        low, step = high, step * GROWTH
+    return first_places(reduce(DataFrame.unionByName, waves))
+
+
+def signatures(requests: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(one request per distinct signature, (request_id, _as): the request that stands for each).
+
+    Requests that agree in all ``columns`` get the same lists, which are made once.
+    """
+    ones = cut_lineage(requests.groupBy(*columns).agg(F.min("request_id").alias("request_id")))
+    keys = ones.select(*[F.col(c).alias(f"_{n}") for n, c in enumerate(columns)], F.col("request_id").alias("_as"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{n}")) for n, c in enumerate(columns)])
+    return ones, requests.join(keys, same).select("request_id", "_as")
+
+
+def spread(lists: DataFrame, stands_for: DataFrame) -> DataFrame:
+    """Lists of the signatures as lists of all requests."""
+    return lists.withColumnRenamed("request_id", "_as").join(stands_for, "_as").drop("_as")
+
+
 def _per_request():
     return W.partitionBy("request_id")
 
@@ -196,6 +275,16 @@ def _per_list():
     return W.partitionBy("request_id", "list")
 
 
+#: Rungs from the strictest: number, what items and requests share, what is tested besides,
+#: and whether the price narrows the shelf.
+RUNGS = (
+    (4, ("bike_type", "frame_size_code", "family_id"), True),
+    (3, ("bike_type", "frame_size_code"), True),
+    (2, ("bike_type",), True),
+    (1, ("bike_type",), False),
+)
+
+
 def relaxed_quality(
     requests: DataFrame, quality: DataFrame, items: DataFrame, strict_mask: bool = False
 ) -> DataFrame:
@@ -205,31 +294,40 @@ def relaxed_quality(
     price, and at last all items without the mask (all masked items with
     ``strict_mask``). A request with ``n`` below 1 gets nothing. Returns (request_id,
     position, item_id, rung), rung 4 the strictest.
+
+    The strictest rung is asked first, on the shelf of items that agree with the request;
+    only requests it leaves short go on to the next and wider one. Equal requests are
+    answered once.
     """
-    req = requests.filter(F.col("n") >= 1).withColumn("_m", F.col("n"))
-    lists = best_per_list(req, quality, items, LADDER, "ladder", ("bike_type", "bike_type")).select(
-        "request_id", (F.col("list") + 1).alias("list"), "item_id", "place", "_m"
-    )
+    req = requests.filter(F.col("n") >= 1).withColumn("_m", F.col("n").cast("bigint"))
+    tested = ("bike_type", "price", "frame_size_code", "family_id")
+    ones, stands_for = signatures(req, (*BASE, *tested))
+    listed = cut_lineage(listed_items(quality, items, tested, "quality_rank"))
+    left, done = ones, []
+    for rung, shelf, price in RUNGS:
+        tests = (Test("price", "price", "near"),) if price else ()
+
+        def search(some: DataFrame, here: DataFrame) -> DataFrame:
+            found = best_per_list(some, here, tests, "ladder", [(c, c) for c in shelf], price)
+            return found.filter(F.col("list") == len(tests))
+
+        found = search(left, listed) if price else in_waves(left, listed, search, (0,))
+        sized = cut_lineage(found.withColumn("_size", F.count("*").over(_per_request())).filter(F.col("_size") >= F.col("_m")))
+        done.append(sized.select("request_id", "place", "item_id", F.lit(rung).cast("bigint").alias("rung")))
+        left = cut_lineage(left.join(sized.select("request_id").distinct(), "request_id", "left_anti"))
     if strict_mask:
-        last = best_per_list(req, quality, items, (), "ladder").select(
-            "request_id", F.lit(0).cast("bigint").alias("list"), "item_id", "place", "_m"
-        )
+        last = in_waves(left, listed, lambda some, here: best_per_list(some, here, (), "ladder"), (0,))
+        last = last.select("request_id", "place", "item_id")
     else:
         # Places 1..n are quality ranks, so the last rung is an equality join.
         last = (
-            req.select("request_id", "_m", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("place"))
+            left.select("request_id", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))).alias("place"))
             .join(quality.select("id", "quality_rank"), F.col("place") == F.col("quality_rank"))
-            .select("request_id", F.lit(0).cast("bigint").alias("list"), F.col("id").alias("item_id"), "place", "_m")
+            .select("request_id", "place", F.col("id").alias("item_id"))
         )
-    enough = F.when(F.col("_size") >= F.col("_m"), F.col("list"))
-    return (
-        lists.unionByName(last)
-        .repartition("request_id")
-        .withColumn("_size", F.count("*").over(_per_list()))
-        .withColumn("rung", F.coalesce(F.max(enough).over(_per_request()), F.lit(0).cast("bigint")))
-        .filter(F.col("list") == F.col("rung"))
-        .select("request_id", F.col("place").alias("position"), "item_id", "rung")
-    )
+    done.append(last.withColumn("rung", F.lit(0).cast("bigint")))
+    lists = spread(reduce(DataFrame.unionByName, done), stands_for)
+    return lists.select("request_id", F.col("place").cast("int").alias("position"), "item_id", "rung")
 
 
 def progressive_quality(
@@ -248,31 +346,65 @@ def progressive_quality(
     without the mask (``strict_mask`` keeps the masked half). Tests are added while at
     least ``2n`` items remain; of the first ``2n`` of what is left, ``n`` are drawn in
     seeded order. A request left with fewer than ``n`` gets nothing, see
-    ``short_requests``. Returns (request_id, position, item_id, slug).
+    ``short_requests``; so does one with ``n`` below 1. Returns (request_id, position,
+    item_id, slug).
+
+    Without a test, items are read in order until the list is full. With the first test,
+    an equality, only items of the request's own shelf are read. Equal requests are
+    answered once up to the drawing.
     """
     if order == "random":
         digest = F.conv(F.substring(X.seeded_order(F.col("id"), seed=seed + 1), 1, 15), 16, 10)
         quality = quality.withColumn("_order", digest.cast("bigint"))
     else:
         quality = quality.withColumn("_order", F.col("quality_rank"))
-    req = requests.withColumn("_m", 2 * F.col("n"))
+    tests = tuple(tests)
+    req = requests.filter(F.col("n") >= 1).withColumn("_m", (2 * F.col("n")).cast("bigint"))
+    ones, stands_for = signatures(req, (*BASE, *sorted({t.request for t in tests})))
     sampled = X.in_fraction([F.col("id")], fraction, seed)
-    lists = best_per_list(req, quality, items, tests, "sampled", sampled=sampled, order_key="_order")
-    n, depth = F.col("_m") / 2, F.abs("list")
-    masked = F.sum((F.col("list") == 0).cast("int")).over(_per_request())
-    side = F.lit(1) if strict_mask else F.when(F.col("_masked") >= n, 1).otherwise(-1)
+    listed = cut_lineage(listed_items(quality, items, sorted({t.item for t in tests}), "_order", sampled))
+
+    shallow = in_waves(ones, listed, lambda some, here: best_per_list(some, here, (), "sampled"), (0, 1))
+    n = F.col("_m") / 2
+    masked = shallow.filter(F.col("list") == 0).groupBy("request_id").agg(F.count("*").alias("_masked"))
+    sided = ones.join(masked, "request_id", "left").withColumn(
+        "_side", F.lit(1) if strict_mask else F.when(F.coalesce("_masked", F.lit(0)) >= n, 1).otherwise(-1)
+    )
+    sided = cut_lineage(sided.drop("_masked"))
+    # the first items of all, for requests whose mask leaves too few
+    first = sided.filter("_side < 0").agg(F.max("_m")).first()[0] or 0
+    top = listed.orderBy("order_key", "item_id").limit(int(first))
+    top = top.withColumn("place", F.row_number().over(W.orderBy("order_key", "item_id"))).select("place", "item_id", "order_key")
+    whole = (
+        sided.filter("_side < 0")
+        .select("request_id", "_m", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))).alias("place"))
+        .join(top, "place")
+        .withColumn("list", F.lit(-1).cast("bigint"))
+    )
+    lists = shallow.filter(F.col("list") == 1).unionByName(whole)
+    if tests:
+        shelf = [(tests[0].item, tests[0].request)] if tests[0].kind == "same" else []
+        deep = best_per_list(ones, listed, tests[1:] if shelf else tests, "deep", shelf)
+        if not shelf:
+            # lists 2 and -2 are then the first ones once more
+            step = F.signum("list").cast("bigint")
+            deep = deep.withColumn("list", F.col("list") - step).filter(F.abs("list") > 1)
+        lists = lists.unionByName(deep)
+    depth = F.abs("list")
     # The first list of a side always holds; a deeper one needs 2n items.
-    valid = (F.signum("list") == F.col("_side")) & ((depth == 1) | (F.col("_size") >= F.col("_m")))
+    valid = (depth == 1) | (F.col("_size") >= F.col("_m"))
     chosen = (
-        lists.withColumn("_masked", masked)
-        .withColumn("_side", side)
+        lists.join(sided.select("request_id", "_side"), "request_id")
+        .filter(F.signum("list") == F.col("_side"))
         .withColumn("_size", F.count("*").over(_per_list()))
         .withColumn("_depth", F.max(F.when(valid, depth)).over(_per_request()))
-        .filter((F.col("list") == F.col("_side") * F.col("_depth")) & (F.col("_size") >= n))
+        .filter((depth == F.col("_depth")) & (F.col("_size") >= n))
+        .select("request_id", "item_id", "_m")
     )
     draw = _per_request().orderBy("_draw", "item_id")
     return (
-        chosen.withColumn("_draw", X.seeded_order(F.col("request_id"), F.col("item_id"), seed=seed))
+        spread(chosen, stands_for)
+        .withColumn("_draw", X.seeded_order(F.col("request_id"), F.col("item_id"), seed=seed))
         .withColumn("position", F.row_number().over(draw))
         .filter(F.col("position") <= n)
         .join(quality.select(F.col("id").alias("item_id"), "slug"), "item_id")

@@ -13,26 +13,37 @@ def is_local_path(path: str) -> bool:
     return urlparse(path).scheme in ("", "file")
 
 
+def _probe():
+    """A function that says whether a worker finds the package; built inside another one so that it
+    travels by value."""
+
+    def run(batches):
+        import importlib.util
+
+        import pyarrow
+
+        for _ in batches:
+            yield pyarrow.RecordBatch.from_arrays([pyarrow.array([importlib.util.find_spec("stallrec") is not None])], names=["found"])
+
+    return run
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Hand the package to the executors' Python, so that kernels import it without an installation."""
+    """Hand the package to the executors' Python unless it is installed there, so that kernels can
+    import it. Asks once per application."""
     import shutil
+    import tempfile
 
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or getattr(context, "_stallrec_shipped", False):
+    if getattr(context, "_stallrec_shipped", False):
         return
-    root = Path(__file__).resolve().parents[1]
-    archive = shutil.make_archive(str(Path(tempfile_folder()) / "stallrec"), "zip", root, "stallrec")
-    context.addPyFile(archive)
+    if not spark.range(1).mapInArrow(_probe(), "found boolean").first()["found"]:
+        # a scratch folder of the driver; Spark itself brings the file to the executors
+        folder = Path(tempfile.mkdtemp(prefix="stallrec-"))
+        context.addPyFile(shutil.make_archive(str(folder / "stallrec"), "zip", Path(__file__).resolve().parents[1], "stallrec"))
     context._stallrec_shipped = True
 
 
-def tempfile_folder() -> str:
-    """A scratch folder of the driver alone; what lies there reaches executors only by addPyFile."""
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="stallrec-")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints, else the warehouse folder.
 

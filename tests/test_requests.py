@@ -128,6 +128,59 @@ def test_progressive_matches_brute_force(spark, small_blocks, world, order):
         assert (r.request_id in errors) == (not want)
 
 
+def test_progressive_below_one_has_no_rows(spark, small_blocks, world):
+    rows, items, quality, known = world
+    req = make_requests(spark, items)
+    some = req.withColumn("n", F.when(F.col("request_id") % 3 == 0, F.col("n")).otherwise(F.lit(-1)).cast("bigint"))
+    got = listed(Q.progressive_quality(some, quality, items, Q.BUYER_TESTS))
+    full = listed(Q.progressive_quality(req, quality, items, Q.BUYER_TESTS))
+    assert got == {i: v for i, v in full.items() if i % 3 == 0}
+    assert Q.progressive_quality(req.withColumn("n", F.lit(0).cast("bigint")), quality, items, Q.BUYER_TESTS).count() == 0
+
+
+@pytest.fixture
+def pairs_tested(monkeypatch):
+    """(requests, items) of every search, counted as the pairs that meet on a shelf."""
+    met = []
+    plain = Q.B.meet
+
+    def counting(queries, items):
+        out = plain(queries, items)
+        met.append(out.select((F.size("requests") * F.size("items")).alias("n")).agg(F.sum("n")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(Q.B, "meet", counting)
+    return met
+
+
+def test_requests_read_few_items(spark, small_blocks, world, monkeypatch, pairs_tested):
+    """Copies of a request cost nothing, and lists that are full read no further."""
+    rows, items, quality, known = world
+    monkeypatch.setattr(Q, "WAVE", 25)
+    monkeypatch.setattr(Q, "GROWTH", 2)
+    req = make_requests(spark, items)
+    everything = 60 * len(rows)
+    Q.relaxed_quality(req, quality, items).count()
+    once = sum(pairs_tested)
+    assert once < 0.8 * everything
+    pairs_tested.clear()
+    copies = req.withColumn("request_id", F.explode(F.array(*[F.col("request_id") + 100 * k for k in range(20)])))
+    Q.relaxed_quality(copies, quality, items).count()
+    assert sum(pairs_tested) == once
+    pairs_tested.clear()
+    few = req.withColumn("n", F.lit(1).cast("bigint")).withColumn("prefs", F.lit(None).cast(M.PREFS_TYPE))
+    Q.progressive_quality(few, quality, items).count()
+    assert sum(pairs_tested) < 0.5 * everything
+
+
+def test_copies_of_a_request_draw_from_the_same_list(spark, small_blocks, world):
+    rows, items, quality, known = world
+    req = make_requests(spark, items)
+    copies = req.unionByName(req.withColumn("request_id", F.col("request_id") + 1000))
+    got, one = listed(Q.relaxed_quality(copies, quality, items)), listed(Q.relaxed_quality(req, quality, items))
+    assert got == {**one, **{i + 1000: v for i, v in one.items()}}
+
+
 def test_empty_user_mask_is_ignored(spark, world):
     _, items, _, _ = world
     req = {r.request_id: r.prefs for r in make_requests(spark, items).collect()}

@@ -1,5 +1,6 @@
 import gzip
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -7,9 +8,11 @@ from pyspark.sql import types as T
 import __spark_entry__ as entry
 from stallrec.operators import export as E
 from stallrec.operators import factors as CF
+from stallrec.registry.queries import ORACLES, QUERIES
 from stallrec.sources import tables as S
 from stallrec.streaming import refresh as R
 
+ROOT = Path(__file__).resolve().parents[1]
 PROPERTIES = T.StructType(
     [
         T.StructField("distinct_id", T.StringType()),
@@ -85,5 +88,25 @@ def test_cold_items_take_the_mean_of_their_features(spark):
 
 
 def test_registry():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"als_top_items", "collaborative_model_job"}
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == {"als_top_items", "collaborative_model_job"}
+
+
+def test_package_reaches_workers_from_any_folder(tmp_path):
+    """A session started elsewhere, with the package only on the driver's own path."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+    .config("spark.sql.warehouse.dir", {str(tmp_path / "warehouse")!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate())
+import __spark_entry__ as entry
+from stallrec.registry.queries import ORACLES, QUERIES
+print("rows", entry.queries()["vector_neighbors_euclidean"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
