@@ -12,6 +12,7 @@ from stallrec import config as C
 from stallrec.operators import lists as L
 from stallrec.operators import masks as M
 from stallrec.operators import quality as Q
+from stallrec.operators import skew
 from stallrec.operators.similarity import lookup, nearest_alike
 
 
@@ -84,11 +85,8 @@ def prefiltered_items(
         .filter((F.col("_all") > 1) & F.col("_near").isNotNull())
         .drop("_all")
     )
-    fetched = (
-        requests.select("request_id", "bike_id", n.alias("n"), *M.MASK_COLUMNS)
-        .join(matched, "bike_id")
-        .filter(F.col("_near") <= overfetch * F.col("n"))
-    )
+    asked = requests.select("request_id", "bike_id", n.alias("n"), *M.MASK_COLUMNS)
+    fetched = skew.join(asked, matched, "bike_id", "request_id").filter(F.col("_near") <= overfetch * F.col("n"))
     return (
         M.flagged(fetched, items)
         .filter("ok")
@@ -112,7 +110,7 @@ def family_first(
     request's item. Returns (request_id, position, item_id, source, family_count).
     """
     own = items.select(F.col("id").alias("bike_id"), F.col("family_id").alias("_family"))
-    known = requests.join(own, "bike_id")
+    known = skew.join(requests, own, "bike_id", "request_id")
     if family == "item":
         known = known.withColumn("family_id", F.col("_family"))
     relatives = Q.best_per_list(
@@ -146,15 +144,14 @@ def brand_first(recommended: DataFrame, requests: DataFrame, quality: DataFrame)
     brands = quality.select("id", F.col("brand").alias("_brand"))
     own = brands.select(F.col("id").alias("bike_id"), F.col("_brand").alias("_own"))
     given = F.when((F.col("brand") != "null") & (F.col("brand") != ""), F.col("brand"))
-    wanted = requests.join(own, "bike_id", "left").select(
+    wanted = skew.join(requests.select("request_id", "bike_id", "brand"), own, "bike_id", "request_id", "left").select(
         "request_id", F.coalesce(given, F.col("_own")).alias("_wanted")
     )
     other = ~F.coalesce(F.col("_brand") == F.col("_wanted"), F.lit(False))
     w = W.partitionBy("request_id").orderBy("_other", "position")
     names = recommended.columns
     return (
-        recommended.join(wanted, "request_id")
-        .join(brands, F.col("item_id") == F.col("id"), "left")
+        skew.join(recommended.join(wanted, "request_id"), brands.withColumnRenamed("id", "item_id"), "item_id", "request_id", "left")
         .withColumn("_other", F.when(F.col("_wanted").isNotNull(), other).otherwise(F.lit(False)))
         .withColumn("position", F.row_number().over(w))
         .select(*names)

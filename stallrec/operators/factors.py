@@ -274,6 +274,9 @@ def collaborative_or_quality(served: DataFrame, quality_picks: DataFrame) -> Dat
 
 # ------------------------------------------------------------------ metrics
 
+#: Wanted items of one user that travel together, and how many are ranked at once.
+LOT = 256
+POSITIVES = 256
 
 @dataclass(frozen=True)
 class _RankKernel:
@@ -293,21 +296,16 @@ class _RankKernel:
         owner = np.repeat(np.arange(len(lengths)), lengths)
         w = dict(zip([f.name for f in wanted.type.value_type], wanted.flatten().flatten()))
         ids, score = B.numbers(w["item_id"]), B.numbers(w["score"])
-        rows = np.sort(s, axis=1)
-        left = np.array([np.searchsorted(rows[o], v, "left") for o, v in zip(owner, score)], dtype=np.int64)
-        right = np.array([np.searchsorted(rows[o], v, "right") for o, v in zip(owner, score)], dtype=np.int64)
-        tied = np.array(
-            [int(((s[o] == v) & (other < i)).sum()) if hi > lo else 0 for o, v, i, lo, hi in zip(owner, score, ids, left, right)],
-            dtype=np.int64,
-        )
+        above, equal, tied = (np.empty(len(ids), np.int64) for _ in range(3))
+        for start in range(0, len(ids), POSITIVES):
+            part = slice(start, start + POSITIVES)
+            row, value = s[owner[part]], score[part, None]
+            same = row == value
+            above[part] = (row > value).sum(axis=1)
+            equal[part] = same.sum(axis=1)
+            tied[part] = (same & (other[None, :] < ids[part, None])).sum(axis=1)
         names = np.array(users["user"].to_pylist(), dtype=object)
-        return {
-            "user": names[owner],
-            "item_id": ids,
-            "above": s.shape[1] - right,
-            "equal": right - left,
-            "equal_before": tied,
-        }
+        return {"user": names[owner], "item_id": ids, "above": above, "equal": equal, "equal_before": tied}
 
     @staticmethod
     def trim(out: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -327,8 +325,9 @@ def positive_ranks(positives: DataFrame, users: DataFrame, factors: DataFrame) -
         .join(factors, "item_id")
         .select("user", "_user", "item_id", F.round(dot(F.col("_user"), F.col("vector")), DIGITS).alias("score"))
     )
-    # A user's wanted items travel in bounded lots, so no list grows with the user.
-    lots = wanted.withColumn("_lot", F.pmod(F.xxhash64("item_id"), F.lit(64)))
+    # A user's wanted items travel in lots of bounded size, for most users a single one.
+    lots_of = positives.groupBy("user").agg(F.ceil(F.count("*") / LOT).alias("_lots"))
+    lots = wanted.join(lots_of, "user").withColumn("_lot", F.pmod(F.xxhash64("item_id"), F.col("_lots")))
     rows = lots.groupBy("user", "_lot").agg(
         F.any_value("_user").alias("vector"), F.collect_list(F.struct("item_id", "score")).alias("wanted")
     )
@@ -348,6 +347,8 @@ def precision_at_k(test: DataFrame, train: DataFrame, users: DataFrame, factors:
     """Per user: the share of the first ``k`` items, training items left out, that are in
     the test set. Frames of (user, item_id). Averaged by ``mean_metric``."""
     both = test.withColumn("_test", F.lit(1)).unionByName(train.withColumn("_test", F.lit(0)))
+    # users without a test item have no share
+    both = both.join(test.select("user").distinct(), "user", "left_semi")
     seen = both.groupBy("user", "item_id").agg(F.max("_test").alias("is_test"), F.min("_test").alias("_train"))
     ranks = positive_ranks(seen.select("user", "item_id"), users, factors).join(seen, ["user", "item_id"])
     place = F.col("above") + F.col("equal_before")

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from stallrec import config as C
 from stallrec.functions import columns as X
 from stallrec.operators import blocks as B
+from stallrec.operators import skew
 
 SIZE_SLACK = 3
 ANY_SIZE = 1.0
+#: Items whose preferences are tested together.
+TILE = 1024
 MASK_COLUMNS = ("continent_id", "prefs")
 ITEM_MASK_COLUMNS = ("m_continent", "m_motor", "m_price", "m_size", "m_category")
 PREFS_TYPE = "array<struct<max_price:double,category_id:bigint,size:double>>"
@@ -151,7 +154,7 @@ def flagged(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """Add ``ok`` to candidates that carry ``continent_id`` and ``prefs``: mask passed."""
     names = candidates.columns
     ok = F.coalesce(allowed(F.col("continent_id"), F.col("prefs")), F.lit(False))
-    return candidates.join(item_mask_columns(items), "item_id", "left").select(*names, ok.alias("ok"))
+    return skew.join(candidates, item_mask_columns(items), "item_id", "request_id", "left").select(*names, ok.alias("ok"))
 
 
 def permitted(candidates: DataFrame, requests: DataFrame, items: DataFrame) -> DataFrame:
@@ -161,6 +164,16 @@ def permitted(candidates: DataFrame, requests: DataFrame, items: DataFrame) -> D
     return flagged(carried, items).filter("ok").select(*names)
 
 
+def entries_met(entries: np.ndarray, price: np.ndarray, category: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which items meet which preference entries (max_price, category or 0, size or ``ANY_SIZE``)."""
+    top, wanted, about = entries[:, 0, None], entries[:, 1, None], entries[:, 2, None]
+    return (
+        (price <= top)
+        & ((wanted == 0) | (category == wanted))
+        & ((about == ANY_SIZE) | ((size >= about - SIZE_SLACK) & (size <= about + SIZE_SLACK)))
+    )
+
+
 def mask_matrix(req: dict[str, pa.Array], item: dict[str, pa.Array]) -> np.ndarray:
     """The mask of a block of requests over a block of items."""
     cont, motor = B.numbers(item["m_continent"]), B.numbers(item["m_motor"])
@@ -172,18 +185,16 @@ def mask_matrix(req: dict[str, pa.Array], item: dict[str, pa.Array]) -> np.ndarr
     prefs = req["prefs"]
     lengths = np.array([0 if n is None else n for n in prefs.value_lengths().to_pylist()], dtype=np.int64)
     masked = ~B.numbers(prefs.is_null())
-    if masked.any():
+    if lengths.any():
         p = dict(zip([f.name for f in prefs.type.value_type], prefs.flatten().flatten()))
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        user_ok = np.zeros_like(ok)
-        for r, top, c, s in zip(
-            owner, B.numbers(p["max_price"]), B.numbers(p["category_id"]), B.numbers(p["size"])
-        ):
-            hit = price <= top
-            if c != 0:
-                hit &= cat == c
-            if s != ANY_SIZE:
-                hit &= (size >= s - SIZE_SLACK) & (size <= s + SIZE_SLACK)
-            user_ok[r] |= hit
-        ok &= user_ok | ~masked[:, None]
+        stated = np.stack([B.numbers(p[c]).astype(np.float64) for c in ("max_price", "category_id", "size")], axis=1)
+        entries, which = np.unique(stated, axis=0, return_inverse=True)
+        which, users = which.reshape(-1), np.flatnonzero(lengths)
+        first = (np.cumsum(lengths) - lengths)[users]
+        for start in range(0, ok.shape[1], TILE):
+            # every distinct entry is tested once, a user has what any of theirs has
+            tile = slice(start, start + TILE)
+            met = entries_met(entries, price[tile], cat[tile], size[tile])
+            ok[users, tile] &= np.logical_or.reduceat(met[which], first, axis=0)
+    ok[masked & (lengths == 0)] = False
     return ok

@@ -130,8 +130,8 @@ BASE = ("continent_id", "prefs", "_m")
 #: Items that the first wave of a search reads, and how much the next ones grow.
 WAVE = 2048
 GROWTH = 8
-#: Width of a price step, as a factor.
-PRICE_STEP = 1.1
+#: Width of a price step, as a factor: that of the band, so a band touches two or three.
+PRICE_STEP = C.PRICE_BAND[1] / C.PRICE_BAND[0]
 
 
 def on_shelves(df: DataFrame, columns: Sequence[str]):
@@ -148,8 +148,9 @@ def on_shelves(df: DataFrame, columns: Sequence[str]):
     return F.when(known, F.concat_ws("\u0001", *parts))
 
 
-def price_step(price):
-    return F.floor(F.log(F.greatest(price.cast("double"), F.lit(0.01))) / F.log(F.lit(PRICE_STEP)))
+def price_step(price, margin: float = 0.0):
+    """The step of a price; ``margin`` is more than what rounding of the logarithm can amount to."""
+    return F.floor(F.log(F.greatest(price.cast("double"), F.lit(0.01))) / F.log(F.lit(PRICE_STEP)) + margin)
 
 
 def listed_items(quality: DataFrame, items: DataFrame, columns: Sequence[str], order_key: str, sampled=None) -> DataFrame:
@@ -195,8 +196,8 @@ def best_per_list(
         listed = listed.withColumn("_on", on_shelves(listed, ["i_" + i for i, _ in shelf]))
         req = req.withColumn("_on", on_shelves(req, ["r_" + r for _, r in shelf]))
         if price:
-            low, high = (price_step(F.col("r_price") * f) for f in C.PRICE_BAND)
-            req = req.withColumn("_step", F.explode(F.sequence(low - 1, high + 1)))
+            low, high = (price_step(F.col("r_price") * f, m) for f, m in zip(C.PRICE_BAND, (-1e-9, 1e-9)))
+            req = req.withColumn("_step", F.explode(F.sequence(low, F.greatest(low, high))))
             listed = listed.withColumn("_step", price_step(F.col("i_price")))
             req, listed = (df.withColumn("_on", F.concat("_on", F.lit("\u0001"), F.col("_step"))).drop("_step") for df in (req, listed))
         # only shelves that somebody asks for are packed
@@ -275,13 +276,10 @@ def _per_list():
     return W.partitionBy("request_id", "list")
 
 
-#: Rungs from the strictest: number, what items and requests share, what is tested besides,
-#: and whether the price narrows the shelf.
-RUNGS = (
-    (4, ("bike_type", "frame_size_code", "family_id"), True),
-    (3, ("bike_type", "frame_size_code"), True),
-    (2, ("bike_type",), True),
-    (1, ("bike_type",), False),
+LADDER = (
+    Test("price", "price", "near"),
+    Test("frame_size_code", "frame_size_code"),
+    Test("family_id", "family_id"),
 )
 
 
@@ -295,26 +293,29 @@ def relaxed_quality(
     ``strict_mask``). A request with ``n`` below 1 gets nothing. Returns (request_id,
     position, item_id, rung), rung 4 the strictest.
 
-    The strictest rung is asked first, on the shelf of items that agree with the request;
-    only requests it leaves short go on to the next and wider one. Equal requests are
-    answered once.
+    The rungs with a price band read the items of the request's type in the price steps of
+    its band. Only requests they leave short go on to the items of their type in order of
+    quality, until their list is full. Equal requests are answered once.
     """
     req = requests.filter(F.col("n") >= 1).withColumn("_m", F.col("n").cast("bigint"))
     tested = ("bike_type", "price", "frame_size_code", "family_id")
     ones, stands_for = signatures(req, (*BASE, *tested))
     listed = cut_lineage(listed_items(quality, items, tested, "quality_rank"))
-    left, done = ones, []
-    for rung, shelf, price in RUNGS:
-        tests = (Test("price", "price", "near"),) if price else ()
-
-        def search(some: DataFrame, here: DataFrame) -> DataFrame:
-            found = best_per_list(some, here, tests, "ladder", [(c, c) for c in shelf], price)
-            return found.filter(F.col("list") == len(tests))
-
-        found = search(left, listed) if price else in_waves(left, listed, search, (0,))
-        sized = cut_lineage(found.withColumn("_size", F.count("*").over(_per_request())).filter(F.col("_size") >= F.col("_m")))
-        done.append(sized.select("request_id", "place", "item_id", F.lit(rung).cast("bigint").alias("rung")))
-        left = cut_lineage(left.join(sized.select("request_id").distinct(), "request_id", "left_anti"))
+    kind = [("bike_type", "bike_type")]
+    enough = F.when(F.col("_size") >= F.col("_m"), F.col("list"))
+    banded = best_per_list(ones, listed, LADDER, "ladder", kind, price=True)
+    banded = cut_lineage(
+        banded.filter("list >= 1")
+        .withColumn("_size", F.count("*").over(_per_list()))
+        .withColumn("_deepest", F.max(enough).over(_per_request()))
+        .filter(F.col("list") == F.col("_deepest"))
+        .select("request_id", "place", "item_id", (F.col("list") + 1).alias("rung"))
+    )
+    left = cut_lineage(ones.join(banded.select("request_id").distinct(), "request_id", "left_anti"))
+    typed = in_waves(left, listed, lambda some, here: best_per_list(some, here, (), "ladder", kind), (0,))
+    typed = cut_lineage(typed.withColumn("_size", F.count("*").over(_per_request())).filter(F.col("_size") >= F.col("_m")))
+    left = left.join(typed.select("request_id").distinct(), "request_id", "left_anti")
+    done = [banded, typed.select("request_id", "place", "item_id", F.lit(1).cast("bigint").alias("rung"))]
     if strict_mask:
         last = in_waves(left, listed, lambda some, here: best_per_list(some, here, (), "ladder"), (0,))
         last = last.select("request_id", "place", "item_id")
@@ -370,7 +371,7 @@ def progressive_quality(
     sided = ones.join(masked, "request_id", "left").withColumn(
         "_side", F.lit(1) if strict_mask else F.when(F.coalesce("_masked", F.lit(0)) >= n, 1).otherwise(-1)
     )
-    sided = cut_lineage(sided.drop("_masked"))
+    sided = sided.drop("_masked")
     # the first items of all, for requests whose mask leaves too few
     first = sided.filter("_side < 0").agg(F.max("_m")).first()[0] or 0
     top = listed.orderBy("order_key", "item_id").limit(int(first))

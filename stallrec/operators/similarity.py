@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stallrec import config as C
 from stallrec.operators import blocks as B
 from stallrec.operators import nearest as N
+from stallrec.operators import skew as K
 
 METRICS = ("euclidean", "sqeuclidean", "cityblock", "cosine")
 
@@ -318,7 +319,8 @@ def lookup(
     A distance of zero, an exact twin, reads as infinitely far (unless ``zero_is_far`` is
     off); the stored ``position`` already counts that way. ``limit`` cuts by position
     inside the join, so an item asked for by many requests brings only the rows each of
-    them can use. ``carry`` names request columns to keep.
+    them can use, and requests for a hot item are dealt out. ``carry`` names request
+    columns to keep.
     """
     d = F.col("distance")
     near = neighbors.filter(F.col("position").isNotNull()).select(
@@ -330,7 +332,7 @@ def lookup(
     if not zero_is_far:
         order = W.partitionBy("bike_id").orderBy("distance", "item_id")
         near = near.withColumn("position", F.row_number().over(order))
-    found = requests.select("request_id", "bike_id", *carry).join(near, "bike_id")
+    found = K.join(requests.select("request_id", "bike_id", *carry), near, "bike_id", "request_id")
     if limit is not None:
         found = found.filter(F.col("position") <= limit)
     return found.select("request_id", "bike_id", "item_id", "distance", "position", *carry)

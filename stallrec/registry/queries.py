@@ -460,10 +460,17 @@ def _(spark, d):
 
 @register(
     "live_user_masks",
-    sql.query("SELECT request_id, true AS masked FROM (SELECT DISTINCT request_id FROM user_mask)", "user_mask"),
+    sql.query(
+        """SELECT DISTINCT r.request_id, CAST(p.max_price AS DOUBLE) AS max_price,
+                  CASE WHEN r.strategy = 'product_page' THEN 0 ELSE p.category_id END AS category_id, CAST(p.size AS DOUBLE) AS size
+           FROM good r JOIN wishes p ON p.user_id = r.user_id AND r.user_id <> 0
+           WHERE r.request_id IN (SELECT request_id FROM user_mask)""",
+        "good", "wishes", "user_mask",
+    ),
 )
 def _(spark, d):
-    return parts(spark, d).requests.filter(F.col("prefs").isNotNull()).select("request_id", F.lit(True).alias("masked"))
+    stated = parts(spark, d).requests.select("request_id", F.explode("prefs").alias("p"))
+    return stated.select("request_id", "p.max_price", "p.category_id", "p.size").distinct()
 
 
 @register(
