@@ -41,13 +41,13 @@ MARK = "▁"
 OWN_MARK = "\ud800"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words whose ids a worker keeps, and the longest that it keeps.
-HELD = 600_000
+HELD = 150_000
 LONG = 64
 #: Texts, and characters, that are searched together.
 TOGETHER = 256
 CHARACTERS = 1 << 22
 #: Pairs of pieces a worker remembers.
-PAIRS = 3_000_000
+PAIRS = 400_000
 
 
 class Vocabulary:
