@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stallrec import config as C
 from stallrec.functions import columns as X
+from stallrec.session import cut_lineage
 
 
 def eligible(status: Column, updated_at: Column, template: Column, score: Column, as_of: dt.datetime) -> Column:
@@ -135,34 +136,29 @@ def active_listings_by_quality(t: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-ID_RANGES = 256
+#: Rows that one task puts in order.
+RANKED = 1_000_000
 
 
 def with_rank(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
-    """Dense position by ``score`` descending, ``key`` ascending, without a global sort.
+    """Dense position by ``score`` descending, ``key`` ascending, without one task that sees all.
 
-    Rows are counted per (score, key range); a running sum over those counts gives each
-    group its offset, and only the rows of one group are numbered together. Scores are a
-    bounded integer scale, so the counted table stays small, and a score shared by a
-    third of all rows is still split over the key ranges.
+    Rows are dealt into ranges of (score, key) by sampled quantiles, as many as the count asks
+    for, so neither a far-off key nor a score that many rows share makes a large range. A
+    row's place in its range is fixed by writing it; the ranges' sizes give the offsets.
     """
-    edges = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    lo = edges.select("lo").scalar()
-    width = edges.select(F.floor((F.col("hi") - F.col("lo")) / ID_RANGES) + 1).scalar()
-    grouped = df.withColumn("_range", F.floor((F.col(key) - lo) / width))
-    counts = grouped.groupBy(score, "_range").agg(F.count("*").alias("_n"))
-    running = W.orderBy(F.col(score).desc(), "_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(score).alias("_score"),
-        F.col("_range").alias("_r"),
-        F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"),
-    )
-    within = F.row_number().over(W.partitionBy(score, "_range").orderBy(key))
-    return (
-        grouped.join(offsets, (F.col(score) == F.col("_score")) & (F.col("_range") == F.col("_r")))
-        .withColumn(name, (F.col("_offset") + within).cast("bigint"))
-        .drop("_range", "_score", "_r", "_offset")
-    )
+    rows = cut_lineage(df)
+    parts = max(1, -(-rows.count() // RANKED))
+    order = [F.col(score).desc(), F.col(key)]
+    ranged = rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)
+    placed = cut_lineage(ranged.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    # a row per range
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_offset"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(sizes, "_part").withColumn(name, (F.col("_offset") + place).cast("bigint")).drop("_at", "_part", "_offset")
 
 
 def quality_table(t: Mapping[str, DataFrame], letters_by_type: Mapping | None = None) -> DataFrame:

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from stallrec.functions import columns as X
 from stallrec.operators import blocks as B
 from stallrec.operators import lists as L
 from stallrec.operators import masks as M
+from stallrec.operators import skew
+from stallrec.operators.catalog import with_rank
 
 DIGITS = 6
 
@@ -112,25 +116,25 @@ def item_factors(model: ALSModel, items: DataFrame, item: str = "bike_id") -> Da
 
 def cold_factors(known: DataFrame, features: DataFrame) -> DataFrame:
     """Factors for items without interactions: the mean factor of each of their feature
-    values' known items, averaged over the values. Both steps combine before the shuffle.
+    values' known items, averaged over the values. Whole vectors are summed, and both steps
+    combine before the shuffle; a value that many cold items share is dealt out.
 
     ``known``: (item_id, vector). ``features``: (item_id, features) of all items.
     """
     long = features.select("item_id", F.explode("features").alias("feature"))
+    mean = Summarizer.mean(F.col("_v"))
     per_feature = (
         long.join(known, "item_id")
-        .select("feature", F.posexplode("vector").alias("dim", "x"))
-        .groupBy("feature", "dim")
-        .agg(F.avg("x").alias("x"))
+        .select("feature", array_to_vector("vector").alias("_v"))
+        .groupBy("feature")
+        .agg(mean.alias("_v"))
     )
+    cold = long.join(known, "item_id", "left_anti")
     return (
-        long.join(known, "item_id", "left_anti")
-        .join(per_feature, "feature")
-        .groupBy("item_id", "dim")
-        .agg(F.avg("x").alias("x"))
+        skew.join(cold, per_feature, "feature", "item_id")
         .groupBy("item_id")
-        .agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("v"))
-        .select("item_id", F.col("v.x").alias("vector"))
+        .agg(mean.alias("_v"))
+        .select("item_id", vector_to_array("_v").alias("vector"))
     )
 
 
@@ -343,21 +347,19 @@ def positive_ranks(positives: DataFrame, users: DataFrame, factors: DataFrame) -
     return found.groupBy("user", "item_id").agg(*[F.sum(c).alias(c) for c in ("above", "equal", "equal_before")])
 
 
-def precision_at_k(test: DataFrame, train: DataFrame, users: DataFrame, factors: DataFrame, k: int) -> DataFrame:
-    """Per user: the share of the first ``k`` items, training items left out, that are in
-    the test set. Frames of (user, item_id). Averaged by ``mean_metric``."""
+def _listed(test: DataFrame, train: DataFrame) -> DataFrame:
+    """(user, item_id, is_test, _train) of users with a test item; the others have no share."""
     both = test.withColumn("_test", F.lit(1)).unionByName(train.withColumn("_test", F.lit(0)))
-    # users without a test item have no share
     both = both.join(test.select("user").distinct(), "user", "left_semi")
-    seen = both.groupBy("user", "item_id").agg(F.max("_test").alias("is_test"), F.min("_test").alias("_train"))
-    ranks = positive_ranks(seen.select("user", "item_id"), users, factors).join(seen, ["user", "item_id"])
-    place = F.col("above") + F.col("equal_before")
+    return both.groupBy("user", "item_id").agg(F.max("_test").alias("is_test"), (1 - F.min("_test")).alias("_train"))
+
+
+def _share_of_k(placed: DataFrame, k: int) -> DataFrame:
+    """(user, value) from the places, from 0, of each user's items among all items."""
     # Training items ranked ahead of a test item do not take up one of the k places.
     order = W.partitionBy("user").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
-    numbered = ranks.withColumn("_place", place).withColumn(
-        "_skip", F.coalesce(F.sum(1 - F.col("_train")).over(order), F.lit(0))
-    )
-    hit = (F.col("is_test") == 1) & (F.col("_place") - F.col("_skip") < k) & (F.col("_train") == 1)
+    numbered = placed.withColumn("_skip", F.coalesce(F.sum("_train").over(order), F.lit(0)))
+    hit = (F.col("is_test") == 1) & (F.col("_place") - F.col("_skip") < k) & (F.col("_train") == 0)
     return (
         numbered.groupBy("user")
         .agg(F.sum(hit.cast("int")).alias("hits"), F.max("is_test").alias("_any"))
@@ -366,6 +368,21 @@ def precision_at_k(test: DataFrame, train: DataFrame, users: DataFrame, factors:
     )
 
 
+def precision_at_k(test: DataFrame, train: DataFrame, users: DataFrame, factors: DataFrame, k: int) -> DataFrame:
+    """Per user: the share of the first ``k`` items, training items left out, that are in
+    the test set. Frames of (user, item_id). Averaged by ``mean_metric``."""
+    seen = _listed(test, train)
+    ranks = positive_ranks(seen.select("user", "item_id"), users, factors).join(seen, ["user", "item_id"])
+    return _share_of_k(ranks.withColumn("_place", F.col("above") + F.col("equal_before")), k)
+
+
+def popular_precision_at_k(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """The same for the plain baseline: the items with the most training rows for everyone."""
+    counts = train.groupBy("item_id").agg(F.count("*").alias("_n"))
+    order = with_rank(counts, "_n", "item_id", "_rank").select("item_id", (F.col("_rank") - 1).alias("_place"))
+    return _share_of_k(skew.join(_listed(test, train), order, "item_id", "user"), k)
+
+
 def auc(test: DataFrame, users: DataFrame, factors: DataFrame) -> DataFrame:
     """Per user: the chance that a test item outscores another item, ties counting half."""
     ranks = positive_ranks(test.select("user", "item_id").distinct(), users, factors)

@@ -833,10 +833,45 @@ def _(spark, d):
     return items_out(CF.collaborative(asks, factors, CF.item_factors(model, items), p.items, p.active))
 
 
-@register("collaborative_model_job")
+@register(
+    "als_item_counts",
+    sql.query(
+        """SELECT r.request_id, count(*) AS items, true AS permitted FROM (
+             SELECT r.request_id, r.n, row_number() OVER (PARTITION BY r.request_id ORDER BY i.id) AS nth FROM good r
+             JOIN (SELECT DISTINCT user_id FROM od_split WHERE NOT held) u ON u.user_id = 'c' || r.request_id
+             JOIN allowed a USING (request_id) JOIN active i ON i.id = a.item_id
+             WHERE i.id IN (SELECT bike_id FROM od_split WHERE NOT held)) r WHERE nth <= n GROUP BY 1""",
+        "good", "allowed", "active", "od_split",
+    ),
+)
+def _(spark, d):
+    """What must hold for a fitted list whatever the factors: as many distinct, permitted items as there can be."""
+    p = parts(spark, d)
+    got = QUERIES["als_top_items"](spark, d).select("request_id", "item_id").distinct()
+    fit = M.permitted(got, p.requests, p.items).withColumn("_ok", F.lit(True))
+    both = got.join(fit, ["request_id", "item_id"], "left")
+    return both.groupBy("request_id").agg(F.count("*").alias("items"), F.min(F.coalesce("_ok", F.lit(False))).alias("permitted"))
+
+
+@register(
+    "collaborative_model_job",
+    sql.query(
+        """
+SELECT (SELECT count(DISTINCT user_id) FROM od_split WHERE held AND bike_id IN (SELECT bike_id FROM od_split WHERE NOT held)
+          AND user_id IN (SELECT user_id FROM od_split WHERE NOT held)) AS users,
+  true AS precision_in_range,
+  (SELECT round(avg(hits / 100), 6) FROM popular) AS baseline_at_k, (SELECT count(*) FROM popular) AS baseline_users,
+  (SELECT count(*) FROM listings WHERE id NOT IN (SELECT bike_id FROM od_split WHERE NOT held)
+     AND (family_id IN (SELECT l.family_id FROM listings l JOIN od_split s ON s.bike_id = l.id AND NOT s.held)
+       OR bike_category_id IN (SELECT l.bike_category_id FROM listings l JOIN od_split s ON s.bike_id = l.id AND NOT s.held))) AS cold_items""",
+        "od_split", "popular", "listings",
+    ),
+)
 def _(spark, d):
-    """Fit and precision: rows only."""
-    return J.collaborative_job(D.order_events(spark, d), D.catalog_tables(spark, d), D.ORDERS_AS_OF)
+    """The whole job. The fitted precision has no closed form: what is compared is whose it is and that it is a share."""
+    made = J.collaborative_job(D.order_events(spark, d), D.catalog_tables(spark, d), D.ORDERS_AS_OF)
+    fits = F.col("precision_at_k").between(0, 1).alias("precision_in_range")
+    return made.select("users", fits, "baseline_at_k", "baseline_users", "cold_items")
 
 
 # ------------------------------------------------------------------ requests

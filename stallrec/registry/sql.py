@@ -647,3 +647,21 @@ cte(
 SELECT p.u, i.vec_id AS item_id, round(list_dot_product(v.vector, i.vector), 6) AS score
 FROM (SELECT DISTINCT u FROM pairs) p JOIN vectors v ON p.u = CAST(v.vec_id AS VARCHAR) CROSS JOIN vectors i""",
 )
+cte(
+    "od_split",
+    "od_interactions",
+    sql=f"""SELECT CAST(user_id AS VARCHAR) AS user_id, bike_id, {in_fraction('user_id', 'bike_id', fraction=0.05, seed=3)} AS held
+FROM od_interactions WHERE COLUMNS(*) IS NOT NULL""",
+)
+cte(
+    "popular",
+    "od_split",
+    sql="""
+WITH pop AS (SELECT bike_id, row_number() OVER (ORDER BY count(*) DESC, bike_id) - 1 AS place FROM od_split WHERE NOT held GROUP BY bike_id),
+s AS (SELECT user_id, held, place FROM od_split JOIN pop USING (bike_id)
+      WHERE user_id IN (SELECT user_id FROM od_split WHERE held)),
+p AS (SELECT *, coalesce(sum(CASE WHEN held THEN 0 ELSE 1 END) OVER
+        (PARTITION BY user_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skipped FROM s)
+SELECT user_id, sum(CASE WHEN held AND place - skipped < 100 THEN 1 ELSE 0 END)::DOUBLE AS hits
+FROM p GROUP BY user_id HAVING bool_or(held)""",
+)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from stallrec.operators import factors as CF
 from stallrec.plans import jobs as J
 from stallrec.sources import standins as D
 from stallrec.sources import tables as S
@@ -26,6 +27,16 @@ def test_collaborative_job_returns_precision(spark, tmp_path):
     out = J.collaborative_job(
         D.order_events(spark, SMALL), D.catalog_tables(spark, SMALL), D.ORDERS_AS_OF, str(tmp_path), k=20, rank=4, iterations=2, test=0.2
     ).first()
-    assert out.users > 0 and 0 <= out.precision_at_k <= 1
+    assert out.users > 0 and 0 <= out.precision_at_k <= 1 and 0 <= out.baseline_at_k <= 1
+    cold = spark.read.parquet(f"{tmp_path}/cold_factors")
+    assert cold.count() == out.cold_items > 0 and {len(r.vector) for r in cold.collect()} == {4}
     model, users, items = S.read_model(spark, str(tmp_path))
     assert model.rank == 4 and users.count() > 0 and items.filter(F.col("idx") < 0).count() == 0
+
+
+def test_popular_items_for_everyone(spark):
+    train = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("a", 2), ("b", 2), ("c", 3)], "user string, item_id bigint")
+    test = spark.createDataFrame([("a", 3), ("c", 2), ("b", 9), ("d", 1)], "user string, item_id bigint")
+    got = {r.user: r.value for r in CF.popular_precision_at_k(test, train, 1).collect()}
+    # order 1, 2, 3; what a user trained on does not count; item 9 is nobody's
+    assert got == {"a": 1.0, "c": 1.0, "d": 1.0}

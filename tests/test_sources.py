@@ -1,5 +1,6 @@
 import gzip
 import json
+from decimal import Decimal
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -52,6 +53,42 @@ def test_refresh_merges_new_files(spark, tmp_path):
     assert got == [("u", 20.0), ("v", 10.0)]
 
 
+def test_refresh_touches_only_its_buckets(spark, tmp_path):
+    from pathlib import Path
+
+    def rows(pairs):
+        return spark.createDataFrame([(u, i, Decimal(f), "x") for u, i, f in pairs], "distinct_id string, bike_id bigint, feedback decimal(20,2), bike_kind string")
+
+    def merge(pairs, number):
+        R.merge_batch(rows(pairs), number, str(tmp_path), "distinct_id", "bike_id", ["bike_kind"])
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in Path(tmp_path, "data").rglob("*.parquet")}
+
+    def table():
+        return {(r.distinct_id, r.bike_id): float(r.feedback) for r in R.stored(spark, str(tmp_path)).collect()}
+
+    first = [(f"u{n}", n, 1) for n in range(40)]
+    merge(first, 0)
+    before = files()
+    merge([("u3", 3, 5), ("new", 99, 2)], 1)
+    after = files()
+    want = {(u, i): float(f) for u, i, f in first} | {("u3", 3): 6.0, ("new", 99): 2.0}
+    assert table() == want
+    # the other buckets keep their files, and the first commit can still be read
+    assert set(before) <= set(after) and all(after[p] == t for p, t in before.items())
+    assert R.stored(spark, str(tmp_path), 0).count() == 40
+    merge([("u3", 3, 5), ("new", 99, 2)], 1)
+    assert files() == after and table() == want
+    # a batch that failed before its commit is not read; the next commit drops what none reads
+    (tmp_path / "data" / "2" / "_bucket=0").mkdir(parents=True)
+    assert table() == want
+    merge([("u3", 3, 1)], 2)
+    assert table()["u3", 3] == 7.0 and R.stored(spark, str(tmp_path), 1).count() == 41
+    old = [p for p in before if p not in files()]
+    assert len(old) == 1 or len({p.parent for p in old}) == 1
+
+
 def test_declared_types_and_limit(spark):
     df = spark.createDataFrame([("1", "x")], "id string, price string")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("price", T.DoubleType())])
@@ -89,7 +126,7 @@ def test_cold_items_take_the_mean_of_their_features(spark):
 
 def test_registry():
     assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"als_top_items", "collaborative_model_job"}
+    assert set(QUERIES) - set(ORACLES) == {"als_top_items"}
 
 
 def test_package_reaches_workers_from_any_folder(tmp_path):
