@@ -73,6 +73,18 @@ def integer_or(x: Column, default: int) -> Column:
     return F.coalesce(x.try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
+def whole_number(x: Column, kind: str = "string") -> Column:
+    """A whole number from a number or from text with an optional sign, blanks around it or a
+    fraction of zeros; null where it is none."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return x.cast("bigint")
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        return F.when(x == F.floor(x), F.floor(x)).try_cast("bigint")
+    text = F.trim(x.cast("string"))
+    digits = F.regexp_extract(text, r"^([+-]?[0-9]+)([.]0*)?$", 1)
+    return F.when(digits != "", digits).try_cast("bigint")
+
+
 def size_number(
     size: Column,
     item_type: Column | None = None,

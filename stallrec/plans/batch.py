@@ -23,41 +23,50 @@ LABELS = {name: label for name, (_, label) in C.STRATEGIES.items()}
 COLUMNS = ("request_id", "position", "item_id", "slug", "strategy_used")
 
 
+#: Whole-number fields. In the first three anything else reads as not given; in the others it
+#: is refused.
+LENIENT = ("user_id", "family_id", "bike_type")
+STRICT = ("continent_id", "bike_id", "n", "price", "rider_height_min", "rider_height_max", "rider_height", "is_ebike", "is_frameset")
+
+
 def checked(requests: DataFrame) -> DataFrame:
-    """Add ``error``: what the request lacks for its strategy, null if nothing.
+    """Add ``error``: why a request is refused, null if it is not.
 
-    Reads the raw input: an omitted strategy is not checked, though it defaults later.
+    First what the request lacks for its strategy, then the first field that should be a
+    whole number and is not. Reads the raw input: an omitted strategy is not checked, though
+    it defaults later, and an omitted field is none that is wrong.
     """
     s = F.col("strategy")
-    no_item = F.col("bike_id").isNull() | (F.col("bike_id").cast("string").isin("0", "NA"))
+    kinds = dict(requests.dtypes)
+    no_item = F.col("bike_id").isNull() | F.trim(F.col("bike_id").cast("string")).isin("0", "NA")
     no_user = F.col("user_id").isNull() | (F.col("user_id").cast("string") == "0")
     no_device = F.col("distinct_id").isNull() | (F.col("distinct_id") == "NA")
-    return requests.withColumn(
-        "error",
-        F.when(
-            (s == "rerank") & F.col("bike_rerank_id").isNull(), "bike_rerank_id is required for rerank strategy"
-        )
-        .when((s == "product_page") & no_item, "bike_id is required for product_page strategy")
-        .when(
-            s.isin("homepage", "braze", "rerank") & no_user & no_device,
-            "user_id or distinct_id required for homepage, rerank and braze strategy",
-        ),
+    error = (
+        F.when((s == "rerank") & F.col("bike_rerank_id").isNull(), "a rerank request needs bike_rerank_id")
+        .when((s == "product_page") & no_item, "a product page request needs bike_id")
+        .when(s.isin("homepage", "braze", "rerank") & no_user & no_device, "this strategy needs user_id or distinct_id")
     )
+    for c in STRICT:
+        if c in kinds:
+            wrong = F.col(c).isNotNull() & X.whole_number(F.col(c), kinds[c]).isNull()
+            error = F.coalesce(error, F.when(wrong, f"{c} is no whole number"))
+    return requests.withColumn("error", error)
 
 
 def with_defaults(requests: DataFrame, letters_by_type: Mapping | None = None) -> DataFrame:
-    """Typed requests: integer fields parsed, gaps filled, the size as a number, the key
+    """Typed requests, of those that ``checked`` lets pass: integer fields parsed, gaps filled, the size as a number, the key
     collaborative filtering knows the sender by."""
     d = C.REQUEST_DEFAULTS
-    whole = ("user_id", "family_id", "bike_type", "continent_id", "bike_id", "n", "price", "rider_height_min",
-             "rider_height_max", "rider_height", "is_ebike", "is_frameset")
+    whole = (*LENIENT, *STRICT)
     text = ("distinct_id", "strategy", "frame_size_code", "category", "brand")
     out = requests
     for c in (*whole, *text):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("string"))
+    kinds = dict(out.dtypes)
     for c in whole:
-        out = out.withColumn(c, X.integer_or(F.col(c), d[c]))
+        read = X.integer_or(F.col(c), d[c]) if c in LENIENT else F.coalesce(X.whole_number(F.col(c), kinds[c]), F.lit(d[c]).cast("bigint"))
+        out = out.withColumn(c, read)
     for c in text:
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(d[c])))
     size = X.size_number(

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from stallrec import config as C
 from stallrec.functions import columns as X
@@ -25,8 +27,9 @@ from stallrec.operators import similarity as S
 from stallrec.plans import batch as BT
 from stallrec.plans import jobs as J
 from stallrec.registry import sql
-from stallrec.session import cut_lineage
+from stallrec.session import cut_lineage, shared_folder
 from stallrec.sources import standins as D
+from stallrec.sources import tables as T
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -503,6 +506,143 @@ def _(spark, d):
     )
 
 
+# ------------------------------------------------------------------ sources
+
+
+def _place(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/stallrec/{name}-{uuid.uuid4().hex}"
+
+
+@register(
+    "event_export_lines",
+    sql.query(
+        """SELECT CASE WHEN event_id % 50 <> 0 THEN event_type END AS event, count(*) AS n,
+             count(CASE WHEN event_id % 50 <> 0 AND event_id % 7 <> 0 THEN user_id END) AS with_user,
+             sum(CASE WHEN event_id % 50 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END)::BIGINT AS k
+           FROM events GROUP BY 1"""
+    ),
+)
+def _(spark, d):
+    """Events as gzip JSON lines and back: every 50th line is broken, every 7th lacks a field."""
+    events = D.table(spark, d, "events")
+    inner = F.struct(F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("user_id"), F.from_json("props", "k bigint").alias("item"), F.lit(1).alias("noise"))
+    line = F.to_json(F.struct(F.col("event_type").alias("event"), inner.alias("properties")))
+    path = _place(spark, "export")
+    events.select(F.when(F.col("event_id") % 50 != 0, line).otherwise(F.concat(F.lit("{broken "), line)).alias("value")).write.option(
+        "compression", "gzip"
+    ).text(path)
+    known = TY.StructType([TY.StructField("user_id", TY.LongType()), TY.StructField("item", TY.StructType([TY.StructField("k", TY.LongType())]))])
+    rows = T.read_event_export(spark, path, known)
+    return rows.groupBy("event").agg(
+        F.count("*").alias("n"), F.count("properties.user_id").alias("with_user"), F.sum("properties.item.k").alias("k")
+    )
+
+
+@register(
+    "content_round_trip",
+    sql.query(
+        """SELECT 'items' AS artifact, count(*) AS n, sum(id)::BIGINT AS ids FROM items UNION ALL
+           SELECT 'items_preference', count(*), sum(id)::BIGINT FROM items UNION ALL
+           SELECT 'user_preferences', count(*), sum(user_id)::BIGINT FROM stated UNION ALL
+           SELECT 'items_active', count(*), sum(id)::BIGINT FROM active UNION ALL
+           SELECT 'items_quality', count(*), sum(id * quality_rank)::BIGINT FROM quality UNION ALL
+           SELECT 'neighbors', count(*), sum(neighbor_id)::BIGINT FROM neighbors""",
+        "items", "stated", "active", "quality", "neighbors",
+    ),
+)
+def _(spark, d):
+    """The six artifacts of the content job written, read back and added up."""
+    p = parts(spark, d)
+    path = _place(spark, "content")
+    made = {
+        "items": p.items.select("id", *C.PREFILTER_FEATURES),
+        "items_preference": p.items.select("id", *C.PREFERENCE_FEATURES),
+        "user_preferences": p.preferences,
+        "items_active": p.active.select("id", *C.PREFILTER_FEATURES),
+        "items_quality": p.quality,
+        "neighbors": p.neighbors,
+    }
+    T.write_content(made, path)
+    sums = {"user_preferences": F.col("user_id"), "items_quality": F.col("id") * F.col("quality_rank"), "neighbors": F.col("neighbor_id")}
+    back = T.read_content(spark, path)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            df.agg(F.count("*").alias("n"), F.sum(sums.get(name, F.col("id"))).cast("bigint").alias("ids")).select(F.lit(name).alias("artifact"), "n", "ids")
+            for name, df in back.items()
+        ],
+    )
+
+
+@register(
+    "interactions_round_trip",
+    sql.query(
+        """SELECT user_id, bike_id, round(CAST(feedback AS DOUBLE), 6) AS feedback, 'orders until ' || DATE '1998-08-02' AS metadata
+           FROM od_interactions""".replace("DATE '1998-08-02'", "'" + str(D.ORDERS_AS_OF) + "'"),
+        "od_interactions",
+    ),
+)
+def _(spark, d):
+    """Interactions and their metadata written and read back."""
+    path = _place(spark, "interactions")
+    T.write_interactions(FB.interactions(D.order_events(spark, d), parts(spark, d).tables, D.ORDERS_AS_OF), f"orders until {D.ORDERS_AS_OF}", path)
+    rows, metadata = T.read_interactions(spark, path)
+    feedback = F.round(F.col("feedback").cast("double"), 6).alias("feedback")
+    return rows.select("user_id", "bike_id", feedback).join(metadata)
+
+
+@register(
+    "model_round_trip",
+    sql.query(
+        """SELECT 'user' AS side, count(DISTINCT user_id) AS known, (SELECT count(DISTINCT user_id) FROM od_split WHERE NOT held) AS fitted, true AS same FROM od_split
+           UNION ALL SELECT 'item', count(DISTINCT bike_id), (SELECT count(DISTINCT bike_id) FROM od_split WHERE NOT held), true FROM od_split""",
+        "od_split",
+    ),
+)
+def _(spark, d):
+    """A fitted model and its id maps written and read back: the factors are the same."""
+    rows = cut_lineage(FB.interactions(D.order_events(spark, d), parts(spark, d).tables, D.ORDERS_AS_OF).na.drop("any"))
+    users, items = CF.dense_ids(rows, "user_id"), CF.dense_ids(rows, "bike_id")
+    model = CF.fit(CF.split(rows, "user_id", "bike_id")[0], users, items, rank=4, iterations=2)
+    path = _place(spark, "model")
+    T.write_model(model, users, items, path)
+    again, users_back, items_back = T.read_model(spark, path)
+    sides = []
+    for side, index, first, second in (
+        ("user", users_back, CF.user_factors(model, users), CF.user_factors(again, users_back)),
+        ("item", items_back, CF.item_factors(model, items), CF.item_factors(again, items_back)),
+    ):
+        other = first.exceptAll(second).agg((F.count("*") == 0).alias("same"))
+        counts = index.agg(F.count("*").alias("known")).join(second.agg(F.count("*").alias("fitted"))).join(other)
+        sides.append(counts.select(F.lit(side).alias("side"), "known", "fitted", "same"))
+    return sides[0].unionByName(sides[1])
+
+
+@register(
+    "declared_types",
+    sql.query(
+        """SELECT TRY_CAST(p_partkey AS BIGINT) AS id, p_retailprice::DOUBLE AS price, CAST(p_size AS VARCHAR) AS frame_size_code,
+             TRY_CAST(p_type AS BIGINT) AS family_id, TRY_CAST(CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE CAST(p_size AS VARCHAR) END AS BIGINT) AS quality_score
+           FROM part"""
+    ),
+)
+def _(spark, d):
+    """A relational scan read by declared names and types; what does not fit is null."""
+    source = D.table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.col("p_retailprice").cast("string").alias("price"),
+        F.col("p_size").alias("frame_size_code"),
+        F.col("p_type").alias("family_id"),
+        F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(F.col("p_size").cast("string")).alias("quality_score"),
+        F.lit(1).alias("not_declared"),
+    )
+    path = _place(spark, "part")
+    source.write.parquet(path)
+    wanted = ("id", "price", "frame_size_code", "family_id", "quality_score")
+    schema = TY.StructType([f for f in T.QUALITY_SCHEMA.fields if f.name in wanted])
+    return T.read_relational(spark, path, schema=schema)
+
+
 # ------------------------------------------------------------------ content strategies
 
 
@@ -882,6 +1022,45 @@ def _(spark, d):
     return BT.checked(D.requests(spark, d)).filter(F.col("error").isNotNull()).select("request_id", "error")
 
 
+_BADLY_TYPED = """
+SELECT request_id, strategy, bike_id, bike_rerank_id, user_id, distinct_id,
+  CASE request_id % 8 WHEN 0 THEN 'twelve' WHEN 1 THEN '12.0' WHEN 2 THEN ' 7 ' WHEN 3 THEN '12.5' WHEN 4 THEN NULL
+    ELSE CAST(request_id % 30 AS VARCHAR(20)) END AS n,
+  CASE request_id % 6 WHEN 0 THEN price + 0.5 ELSE price + 0.0 END AS price,
+  CASE request_id % 5 WHEN 0 THEN '' ELSE '+1' END AS continent_id, family_id, 'n/a' AS bike_type
+FROM {}"""
+
+
+@register(
+    "request_refusals",
+    sql.query(
+        f"""
+SELECT request_id, CASE
+  WHEN strategy = 'rerank' AND bike_rerank_id IS NULL THEN 'a rerank request needs bike_rerank_id'
+  WHEN strategy = 'product_page' AND (bike_id IS NULL OR bike_id = 0) THEN 'a product page request needs bike_id'
+  WHEN strategy IN ('homepage', 'braze', 'rerank') AND (user_id IS NULL OR user_id = '0') AND (distinct_id IS NULL OR distinct_id = 'NA')
+    THEN 'this strategy needs user_id or distinct_id'
+  WHEN NOT continent_fits THEN 'continent_id is no whole number'
+  WHEN n IS NOT NULL AND NOT n_fits THEN 'n is no whole number'
+  WHEN NOT price_fits THEN 'price is no whole number' END AS error,
+  CASE WHEN n IS NULL THEN 12 WHEN n_fits THEN CAST(CAST(trim(n) AS DOUBLE) AS BIGINT) END AS n
+FROM (SELECT *, regexp_matches(trim(n), '^[+-]?[0-9]+([.]0*)?$') AS n_fits, price = floor(price) AS price_fits,
+        regexp_matches(trim(continent_id), '^[+-]?[0-9]+([.]0*)?$') AS continent_fits
+      FROM ({_BADLY_TYPED.format("raw_requests")}))""",
+        "raw_requests",
+    ),
+)
+def _(spark, d):
+    """Requests with badly typed fields: refused with the reason, or read with n as a number."""
+    D.requests(spark, d).createOrReplaceTempView("stallrec_raw_requests")
+    rows = BT.checked(spark.sql(_BADLY_TYPED.format("stallrec_raw_requests")))
+    good = BT.with_defaults(rows.filter(F.col("error").isNull())).select("request_id", F.col("n").alias("_n"))
+    met = rows.select("request_id", "error", "n").join(good, "request_id", "left")
+    # of a refused request n is shown as far as it can be read
+    shown = F.coalesce("_n", F.when(F.col("n").isNull(), 12).otherwise(X.whole_number(F.col("n"))))
+    return met.select("request_id", "error", shown.cast("bigint").alias("n"))
+
+
 @register(
     "request_defaults",
     sql.query(

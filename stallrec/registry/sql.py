@@ -330,11 +330,11 @@ cte(
     "raw_requests",
     sql="""
 SELECT *, CASE
-  WHEN strategy = 'rerank' AND bike_rerank_id IS NULL THEN 'bike_rerank_id is required for rerank strategy'
-  WHEN strategy = 'product_page' AND (bike_id IS NULL OR bike_id = 0) THEN 'bike_id is required for product_page strategy'
+  WHEN strategy = 'rerank' AND bike_rerank_id IS NULL THEN 'a rerank request needs bike_rerank_id'
+  WHEN strategy = 'product_page' AND (bike_id IS NULL OR bike_id = 0) THEN 'a product page request needs bike_id'
   WHEN strategy IN ('homepage', 'braze', 'rerank') AND (user_id IS NULL OR user_id = '0')
        AND (distinct_id IS NULL OR distinct_id = 'NA')
-       THEN 'user_id or distinct_id required for homepage, rerank and braze strategy' END AS error
+       THEN 'this strategy needs user_id or distinct_id' END AS error
 FROM raw_requests""",
 )
 cte(

@@ -79,3 +79,13 @@ def test_fraction_ignores_layout(spark):
     sets = [{r[0] for r in ids.repartition(n).filter(pick).collect()} for n in (1, 2, 8)]
     assert sets[0] == sets[1] == sets[2]
     assert 900 < len(sets[0]) < 1100
+
+
+def test_whole_numbers(spark):
+    from stallrec.functions import columns as X
+
+    given = {"12": 12, " 7 ": 7, "+3": 3, "-4": -4, "12.0": 12, "5.": 5, "12.5": None, "twelve": None, "": None, "1e3": None, "9" * 30: None, None: None}
+    rows = spark.createDataFrame([(t,) for t in given], "t string")
+    assert {r.t: r.n for r in rows.withColumn("n", X.whole_number(rows.t)).collect()} == given
+    rows = spark.createDataFrame([(1.0,), (1.5,), (None,), (float("nan"),)], "t double")
+    assert [r.n for r in rows.withColumn("n", X.whole_number(rows.t, "double")).collect()][:3] == [1, None, None]
