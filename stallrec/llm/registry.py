@@ -82,7 +82,7 @@ def op6_url_filter(spark, d):
 @query
 def op7_secret_scan(spark, d):
     found = secret_scan.secret_findings(common.documents(spark, d))
-    return found.select("doc_id", "position", F.sha2("value", 256).alias("value_sha256"), "score")
+    return found.select("doc_id", "position", "nth", F.sha2("value", 256).alias("value_sha256"), "score")
 
 
 @query

@@ -1,7 +1,7 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-A candidate is the first run of ``[A-Za-z0-9+/_=-]`` of at least ``MIN_LENGTH`` characters
-in a word. Its features are its length, shares of character kinds, transitions between kinds
+A candidate is a run of ``[A-Za-z0-9+/_=-]`` of at least ``MIN_LENGTH`` characters in a word; a
+word can hold several, as the parts of a dotted token are. Its features are its length, shares of character kinds, transitions between kinds
 (runs of digits, lower, upper; vowel to consonant), the share of its letters that dictionary
 words cover, how it looks like a path, and its neighbors: an assignment sign or a word for
 secrets before it, quotes around it.
@@ -17,7 +17,9 @@ candidates become rows.
 
 Defined cases: null and empty texts have no candidates; without labelled findings of both
 kinds nothing can be learnt and the rule that makes positive labels decides alone; repeated
-documents have equal findings; a word gives one candidate; other columns are not read.
+documents have equal findings; whole texts are read however long; a null doc_id is kept with its
+findings; an empty table has none; other columns are not read, and none can clash with those
+of the findings.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallrec.llm.common import SPACES, let
+from stallrec.operators import skew
 from stallrec.session import cut_lineage
 
 MIN_LENGTH = 16
@@ -60,18 +63,20 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, position (of the word), word, value, before1, before2, after1."""
+    """doc_id, position (of the word), nth (in the word), word, value, before1, before2, after1."""
     def found(w: Column) -> Column:
         places = F.filter(
             F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= MIN_LENGTH) & F.get(w, i).rlike(RUN)
         )
         near = {"word": 0, "before1": -1, "before2": -2, "after1": 1}
         return F.transform(
-            places, lambda i: F.struct(i.alias("position"), *[F.coalesce(F.get(w, i + n), F.lit("")).alias(c) for c, n in near.items()])
+            places,
+            # text that begins with a blank has an empty first piece, which is no word
+            lambda i: F.struct((i - (F.get(w, F.lit(0)) == "").cast("int")).alias("position"), *[F.coalesce(F.get(w, i + n), F.lit("")).alias(c) for c, n in near.items()]),
         )
 
     rows = docs.select("doc_id", F.explode(let(F.split(F.coalesce("text", F.lit("")), SPACES), found)).alias("f"))
-    return rows.select("doc_id", "f.*").withColumn("value", F.regexp_extract("word", RUN, 0))
+    return rows.select("doc_id", "f.*", F.posexplode(F.regexp_extract_all("f.word", F.lit(RUN), 0)).alias("nth", "value"))
 
 
 def dictionary(docs: DataFrame, seen: int = MIN_SEEN) -> DataFrame:
@@ -113,12 +118,13 @@ def with_shape(found: DataFrame) -> DataFrame:
 def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     """Add covered: the share of the value that letter runs of the dictionary cover.
 
-    Distinct values are looked up, so a value copied into a third of all documents is one row.
+    Distinct values are looked up, so a value copied into a third of all documents is one row,
+    and its findings are dealt out when they get it back.
     """
     values = found.select("value").distinct()
     runs = values.select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("([a-z]{4,})"), 1)).alias("run"))
     hit = runs.join(words, "run").groupBy("value").agg(F.sum(F.length("run")).alias("_hit"))
-    return found.join(hit, "value", "left").withColumn("covered", F.coalesce(F.col("_hit") / F.length("value"), F.lit(0.0))).drop("_hit")
+    return skew.join(found, hit, "value", "doc_id", "left").withColumn("covered", F.coalesce(F.col("_hit") / F.length("value"), F.lit(0.0))).drop("_hit")
 
 
 def rule_label() -> Column:
@@ -131,7 +137,7 @@ def labelled_findings(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The features and label of a bounded sample of findings that the rule can label."""
     known = found.withColumn("label", rule_label()).filter("label IS NOT NULL")
     sizes = known.groupBy("label").agg(F.count("*").alias("_n"))
-    kept = F.pmod(F.xxhash64("doc_id", "position", "value"), F.lit(1 << 30)).cast("double") * F.col("_n") < float(sample << 30)
+    kept = F.pmod(F.xxhash64("doc_id", "position", "nth", "value"), F.lit(1 << 30)).cast("double") * F.col("_n") < float(sample << 30)
     # at most two rows
     return known.join(F.broadcast(sizes), "label").filter(kept).select(*FEATURES, "label")
 
@@ -139,22 +145,23 @@ def labelled_findings(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def secret_findings(
     docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD, seen: int = MIN_SEEN
 ) -> DataFrame:
-    """doc_id, position, value, score of the findings that the forest leaves.
+    """doc_id, position, nth, value, score of the findings that the forest leaves.
 
     ``labelled`` has FEATURES and label (1.0 is a secret).
     """
-    found = with_shape(candidates(docs.select("doc_id", "text")))
+    found = cut_lineage(with_shape(candidates(docs.select("doc_id", "text"))))
     found = cut_lineage(with_coverage(found, dictionary(docs.select("text"), seen)))
     train = cut_lineage(labelled if labelled is not None else labelled_findings(found))
     if train.agg(F.count_distinct("label")).first()[0] < 2:
         scored = found.withColumn("score", F.coalesce(rule_label(), F.lit(0.0)))
     else:
+        # the forest draws its samples by partition: the bounded training rows are put in one order
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="_features")
         forest = RandomForestClassifier(
             featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7, featureSubsetStrategy="sqrt"
-        ).fit(assemble.transform(train))
+        ).fit(assemble.transform(train.orderBy(*FEATURES, "label").coalesce(1)))
         scored = forest.transform(assemble.transform(found)).withColumn("score", vector_to_array("probability")[1])
-    return scored.filter(F.col("score") >= threshold).select("doc_id", "position", "value", "score")
+    return scored.filter(F.col("score") >= threshold).select("doc_id", "position", "nth", "value", "score")
 
 
 def mask_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:

@@ -199,6 +199,30 @@ def test_secrets(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_every_run_of_a_word_is_a_candidate(spark):
+    parts = ["eyJhbGciOiJIUzI1NiJ9abc", "eyJzdWIiOiIxMjM0NTY3ODkwIn0", "dozjgNryP4J3jVmNHl0w5N_XgL0"]
+    texts = ['x a="AAAAAAAAAAAAAAAAAAA1";b="BBBBBBBBBBBBBBBBBBB2" y', " leading " + ".".join(parts), "short a.b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.position, r.nth, r.value) for r in secret_scan.candidates(docs).collect())
+    assert got == [(0, 1, 0, "AAAAAAAAAAAAAAAAAAA1"), (0, 1, 1, "BBBBBBBBBBBBBBBBBBB2")] + [(1, 1, n, p) for n, p in enumerate(parts)]
+
+
+def test_all_parts_of_a_secret_are_masked(spark):
+    rng = random.Random(7)
+    made = lambda k: "".join(rng.choices("abcdef0123456789", k=k)) + "7"
+    texts = [f'text before token = "{made(39)}" and {" ".join(rng.choices(["some", "plain", "words", "internationalization/of/paths"], k=8))}' for _ in range(300)]
+    dotted = [".".join(made(39) for _ in range(3)) for _ in range(20)]
+    pairs = [(made(39), made(39)) for _ in range(20)]
+    texts += [f'the token = "{t}" end' for t in dotted] + [f'a secret_a="{a}";secret_b="{b}" end' for a, b in pairs]
+    docs = spark.createDataFrame([(n, t, len(t)) for n, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(docs).collect()}
+    for n, parts in enumerate([d.split(".") for d in dotted] + pairs, 300):
+        assert not any(p in masked[n] for p in parts), masked[n]
+    # the same rows in another layout give the same scores
+    one, other = (sorted(map(tuple, secret_scan.secret_findings(d).collect())) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == other
+
+
 def test_edge_cases(spark, edge, empty):
     n = edge.count()
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (3, "one"), (4, EDGE_TEXTS[6])], "item_id long, text string")
