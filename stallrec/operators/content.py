@@ -151,7 +151,8 @@ def brand_first(recommended: DataFrame, requests: DataFrame, quality: DataFrame)
     w = W.partitionBy("request_id").orderBy("_other", "position")
     names = recommended.columns
     return (
-        skew.join(recommended.join(wanted, "request_id"), brands.withColumnRenamed("id", "item_id"), "item_id", "request_id", "left")
+        recommended.join(wanted, "request_id")
+        .join(brands.withColumnRenamed("id", "item_id"), "item_id", "left")
         .withColumn("_other", F.when(F.col("_wanted").isNotNull(), other).otherwise(F.lit(False)))
         .withColumn("position", F.row_number().over(w))
         .select(*names)

@@ -20,6 +20,7 @@ from stallrec.operators import lists as L
 from stallrec.operators import masks as M
 from stallrec.operators import skew
 from stallrec.operators.catalog import with_rank
+from stallrec.session import cut_lineage
 
 DIGITS = 6
 
@@ -380,7 +381,7 @@ def popular_precision_at_k(test: DataFrame, train: DataFrame, k: int) -> DataFra
     """The same for the plain baseline: the items with the most training rows for everyone."""
     counts = train.groupBy("item_id").agg(F.count("*").alias("_n"))
     order = with_rank(counts, "_n", "item_id", "_rank").select("item_id", (F.col("_rank") - 1).alias("_place"))
-    return _share_of_k(skew.join(_listed(test, train), order, "item_id", "user"), k)
+    return _share_of_k(skew.join(cut_lineage(_listed(test, train)), order, "item_id", "user"), k)
 
 
 def auc(test: DataFrame, users: DataFrame, factors: DataFrame) -> DataFrame:
