@@ -41,7 +41,7 @@ MARK = "▁"
 OWN_MARK = "\ud800"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words whose ids a worker keeps, and the longest that it keeps.
-HELD = 150_000
+HELD = 300_000
 LONG = 64
 #: Texts, and characters, that are searched together.
 TOGETHER = 256
@@ -64,8 +64,8 @@ class Vocabulary:
         ids = {p: n for n, p in enumerate(self.piece) if n not in special and p}
         # a piece that its own characters do not merge into is never a result
         self.known = {p: n for p, n in ids.items() if self.merged(p) == [p]}
-        # what ends some piece, so that a search backwards stops where no piece goes on
-        self.endings = {p[n:] for p in self.known for n in range(len(p))}
+        # what ends some piece, with its id or -1, so that a search backwards stops where no piece goes on
+        self.endings = {p[n:]: -1 for p in self.known for n in range(len(p))} | self.known
         self.raw = [self.piece[n].replace(MARK, " ").encode() for n in range(len(self.piece))]
         for value, n in self.byte.items():
             self.raw[n] = bytes([value])
@@ -109,7 +109,7 @@ def vocabulary(path: str) -> Vocabulary:
 def segment_sorted(words: list[str], vocab: Vocabulary) -> list[list[int]]:
     """Ids of words in sorted order. The stack holds, per character of the current path, where
     the piece that ends there begins and its id, -1 for a character in no piece."""
-    known, endings, fits, remembered, base = vocab.known, vocab.endings, vocab.side_by_side, vocab.pairs.get, len(vocab.piece)
+    ending, fits, remembered, base = vocab.endings.get, vocab.side_by_side, vocab.pairs.get, len(vocab.piece)
     begin, ident = [0], [-1]
     before, out = "", []
     for word in words:
@@ -122,16 +122,12 @@ def segment_sorted(words: list[str], vocab: Vocabulary) -> list[list[int]]:
         for end in range(same + 1, len(word) + 1):
             start, at, who = end - 1, end - 1, -1
             while start >= 0:
-                part = word[start:end]
-                if part not in endings:
+                piece = ending(word[start:end])
+                if piece is None:
                     break
-                piece = known.get(part)
-                if piece is not None:
+                if piece >= 0:
                     last = ident[start]
-                    if last < 0:
-                        at, who = start, piece
-                        break
-                    fit = remembered(last * base + piece)
+                    fit = True if last < 0 else remembered(last * base + piece)
                     if fit if fit is not None else fits(last, piece):
                         at, who = start, piece
                         break
