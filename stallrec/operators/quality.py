@@ -128,7 +128,7 @@ class _ListKernel:
 #: Columns a request may bring to a search; what it reads of them makes up its signature.
 BASE = ("continent_id", "prefs", "_m")
 #: Items that the first wave of a search reads, and how much the next ones grow.
-WAVE = 2048
+WAVE = 2 * B.ITEM_BLOCK
 GROWTH = 8
 #: Width of a price step, as a factor: that of the band, so a band touches two or three.
 PRICE_STEP = C.PRICE_BAND[1] / C.PRICE_BAND[0]
