@@ -41,7 +41,7 @@ MARK = "▁"
 OWN_MARK = "\ud800"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words whose ids a worker keeps, and the longest that it keeps.
-HELD = 300_000
+HELD = 200_000
 LONG = 64
 #: Texts, and characters, that are searched together.
 TOGETHER = 256
