@@ -82,3 +82,33 @@ def test_rank_blocks_leave_a_task_as_one_row_per_wanted_item():
     run = B.carried_mapper("_run", CF._RankKernel(), CF._RankKernel().schema)
     out = [r for b in run(iter([batch(range(4)), batch(range(4, 8))])) for r in b.to_pylist()]
     assert [(r["item_id"], r["above"], r["equal"]) for r in out] == [(1, 5, 1), (9, 2, 1)]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_vectors_meet_in_a_bounded_grid(spark, small_blocks, monkeypatch, metric):
+    """With repeated ids, twins and a zero vector the grid gives what the plain search gives."""
+    from stallrec.operators import nearest as N
+    from stallrec.operators import similarity as S
+
+    monkeypatch.setattr(N, "GRID", 3)
+    monkeypatch.setattr(N, "LEAST", 1)
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(260, 4)), 1)
+    v[5], v[100:112] = 0, v[99]
+    rows = spark.createDataFrame([(n if n != 50 else 49, x.tolist()) for n, x in enumerate(v)], "id bigint, vector array<double>")
+    rows, items = rows.cache(), rows.filter("id % 2 = 0 or id = 49").cache()
+    wide, plain = [], N.B.dealt
+
+    def counted(df, *keys):
+        wide.append(df.count())
+        return plain(df, *keys)
+
+    monkeypatch.setattr(N.B, "dealt", counted)
+    got = S.nearest_vectors(rows, items, metric, k=7)
+    order = ["item_id", "distance", "neighbor_id", "rank", "position"]
+    got = sorted(map(tuple, got.select(order).fillna(-1).collect()))
+    # 33 blocks and more a side, each copied at most three times
+    assert wide and max(wide) < 3 * 60
+    monkeypatch.setattr(N, "FEW", 0)
+    want = S.nearest_vectors(rows, items, metric, k=7).select(order).fillna(-1).collect()
+    assert got == sorted(map(tuple, want))
