@@ -2,12 +2,15 @@
 
 The library cuts a text into words before it merges, special tokens first and then by a
 pattern. A text is cut in the same way here; a word not met before is given to the library,
-and all others are looked up. A worker process keeps what it has met.
+and all others are looked up. A worker process keeps what it has met. Where nothing but this
+cutting stands before the library's merges, words go straight to its model.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from collections.abc import Callable, Iterable
 from functools import cache
@@ -18,6 +21,8 @@ import regex
 
 #: Fixed value: how byte-level tokenizers of this kind cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII characters alone.
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Words held by a worker; when over, it starts anew.
 HELD = 1_200_000
 BATCH = 4096
@@ -69,7 +74,8 @@ class Words:
 
     def __init__(self, code: Code, special: Iterable[str], held: int = HELD):
         self.code, self.held = code, held
-        self.words = regex.compile(WORDS).findall
+        self.any_words = regex.compile(WORDS).findall
+        self.ascii_words = re.compile(ASCII_WORDS, re.ASCII).findall
         names = sorted(special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.clear()
@@ -78,6 +84,9 @@ class Words:
         self.seen = Seen()
         self.flat, self.sizes, self.starts = Grown(np.int32), Grown(np.int64), Grown(np.int64)
 
+    def words(self, text: str) -> list[str]:
+        return self.ascii_words(text) if text.isascii() else self.any_words(text)
+
     def split(self, text: str) -> list[str]:
         """Words and special tokens of a text."""
         if self.special is None or not self.special.search(text):
@@ -119,20 +128,58 @@ class Words:
         return np.diff(ends).tolist()
 
 
+def byte_signs() -> dict[str, int]:
+    """The printable sign that stands for each byte in a vocabulary file: visible Latin-1 signs
+    stand for themselves, the other bytes, in order, for the signs from U+0100 on."""
+    visible = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(hidden)}
+
+
+#: Signs of all bytes but 255, which UTF-8 never uses and which parts words here.
+SIGNS = {b: sign for sign, b in byte_signs().items()} | {255: "\n"}
+
+
+def in_signs(words: list[str]) -> list[str]:
+    """Words as a byte-level vocabulary writes them."""
+    return b"\xff".join(map(str.encode, words)).decode("latin-1").translate(SIGNS).split("\n") if words else []
+
+
+def cuts_only(tokenizer) -> bool:
+    """Whether words go to the model as their bytes, with no step before it but the cutting."""
+    steps = json.loads(tokenizer.to_str())
+    before = steps["pre_tokenizer"] or {}
+    kind = (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True))
+    others = (steps["normalizer"], steps["truncation"], steps["padding"])
+    return others == (None, None, None) and kind == ("ByteLevel", False, True)
+
+
 class Encoder(Words):
     """Ids as the library gives them."""
 
     def __init__(self, path: str, held: int = HELD):
         tokenizer = load(path)
+        special = {t.content: n for n, t in tokenizer.get_added_tokens_decoder().items()}
+        tokenize = tokenizer.model.tokenize
 
-        def code(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            coded: list[list[int]] = []
+        def whole(words: list[str]) -> Iterable[list[int]]:
+            for at in range(0, len(words), BATCH):
+                yield from (c.ids for c in tokenizer.encode_batch_fast(words[at : at + BATCH], add_special_tokens=False))
+
+        def straight(words: list[str]) -> Iterable[list[int]]:
             for at in range(0, len(words), BATCH):
-                coded += [c.ids for c in tokenizer.encode_batch_fast(words[at : at + BATCH], add_special_tokens=False)]
+                part = words[at : at + BATCH]
+                for word, signs in zip(part, in_signs(part)):
+                    yield [special[word]] if word in special else [t.id for t in tokenize(signs)]
+
+        ids_of = straight if cuts_only(tokenizer) else whole
+
+        def code(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            coded = list(ids_of(words))
             sizes = np.fromiter(map(len, coded), np.int64, len(coded))
             return np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum())), sizes
 
-        super().__init__(code, (t.content for t in tokenizer.get_added_tokens_decoder().values()), held)
+        super().__init__(code, special, held)
 
 
 @cache

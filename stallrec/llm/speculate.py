@@ -33,7 +33,7 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from stallrec.llm.bpe import Words
+from stallrec.llm.bpe import Words, byte_signs
 from stallrec.llm.common import int_lists, map_rows
 
 #: Texts coded together, and the characters after which a group of texts ends.
@@ -42,14 +42,6 @@ CHARACTERS = 1 << 22
 NEVER = np.iinfo(np.int64).max
 
 
-def byte_signs() -> dict[str, int]:
-    """The printable sign that stands for each byte in a vocabulary file: visible Latin-1 signs
-    stand for themselves, the other bytes, in order, for the signs from U+0100 on."""
-    visible = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
-    hidden = [b for b in range(256) if b not in set(visible)]
-    return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(hidden)}
-
-
 class Merges:
     """Tokens, merges by rank and the pair test of one vocabulary file."""
 

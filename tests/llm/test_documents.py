@@ -164,6 +164,26 @@ def test_pieces_encode_as_whole_texts():
         assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_go_straight_to_the_model(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    from stallrec.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["One, two  é漢 <|endoftext|>it's\x1c 12\n", "", None, "One \u0085x\u00a0"]
+    plain = Tokenizer.from_file(path)
+    lower = Tokenizer.from_file(path)
+    lower.normalizer = normalizers.Lowercase()
+    lower.save(str(tmp_path / "lower.json"))
+    assert bpe.cuts_only(plain) and not bpe.cuts_only(lower)
+    cut = plain.pre_tokenizer.pre_tokenize_str("One é漢\n")
+    assert bpe.in_signs(["One", " é漢", "\n"]) == [signs for signs, _ in cut]
+    for tok, file in ((plain, path), (lower, str(tmp_path / "lower.json"))):
+        flat, sizes = bpe.Encoder(file).ids(texts)
+        for text, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1])):
+            assert ids.tolist() == tok.encode(text or "", add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
