@@ -108,19 +108,26 @@ def passages(touched: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = []
+                found: tuple[list, ...] = ([], [], [], [], [])
                 for doc_id, text, kept in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     words = split_words(text)
                     hashes, first, last = anchors(words)
-                    for n in np.flatnonzero(np.isin(hashes, kept.values.to_numpy())).tolist():
-                        a = int(first[n])
-                        passage = b" ".join(words[a : int(last[n]) + WINDOW])
-                        rows.append((doc_id, a, int(hashes[n]), xxhash.xxh64_intdigest(passage) - (1 << 63), passage.decode()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()))],
-                        names=list(PASSAGE),
-                    )
+                    places = np.flatnonzero(np.isin(hashes, kept.values.to_numpy()))
+                    if not len(places):
+                        continue
+                    joined = b" ".join(words)
+                    begins = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                    begins = np.r_[0, begins]
+                    ends = begins[last[places] + WINDOW] - 1
+                    mine = [joined[a:b] for a, b in zip(begins[first[places]].tolist(), ends.tolist())]
+                    found[0].extend([doc_id] * len(places))
+                    found[1].extend(first[places].tolist())
+                    found[2].extend(hashes[places].tolist())
+                    found[3].extend([xxhash.xxh64_intdigest(m) - (1 << 63) for m in mine])
+                    found[4].extend(mine)
+                if found[0]:
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, kinds)], names=list(PASSAGE))
 
     return touched.select("doc_id", "text", "kept").mapInArrow(run, ddl(PASSAGE))
 
@@ -289,13 +296,13 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = pairs.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("kept"))
     kept = cut_lineage(kept)
     release(docs)
-    touched = cut_lineage(docs.select("doc_id", "text").join(kept, "doc_id"))
+    # in the order of the documents, where neighboring passages overlap and are packed well
+    found = cut_lineage(passages(docs.select("doc_id", "text").join(kept, "doc_id")), "zstd")
     release(docs)
-    # passages are made twice from the written texts: their own text is four times the documents'
-    distinct = passages(touched).groupBy("anchor", "passage_id").agg(
-        F.first("passage").alias("passage"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")
+    distinct = found.groupBy("anchor", "passage_id", "passage").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")
     )
-    distinct = cut_lineage(distinct)
+    distinct = cut_lineage(distinct, "zstd")
     release(docs)
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor")
     hot = cut_lineage(hot)
@@ -304,7 +311,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     release(docs)
     starts = (
-        passages(touched).select("doc_id", "start", "anchor", "passage_id")
+        found.select("doc_id", "start", "anchor", "passage_id")
         .join(hits, ["anchor", "passage_id"])
         .select("doc_id", "start", F.explode(F.arrays_zip("offsets", "owners")).alias("h"))
         .filter("h.owners < doc_id")
@@ -313,7 +320,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     starts = cut_lineage(starts)
     release(docs)
-    return marked, touched.select("doc_id", "text").join(starts, "doc_id")
+    return marked, docs.select("doc_id", "text").join(starts, "doc_id")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

@@ -251,6 +251,16 @@ def test_repeats_with_hot_anchors(spark, monkeypatch):
     assert digests(repeats.repeat_digests(frame)) == plain_repeats(docs)
 
 
+def test_repeats_make_passages_once(spark, monkeypatch):
+    made, plain = [], repeats.passages
+    monkeypatch.setattr(repeats, "passages", lambda rows: made.append(rows.columns) or plain(rows))
+    words = " ".join(f"é{n}" for n in range(40))
+    docs = [{"doc_id": n, "text": f"a{n}  b\n{words if n % 2 else words[3 * n :]}\tz{n}"} for n in range(12)]
+    frame = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string")
+    assert digests(repeats.repeat_digests(frame)) == plain_repeats(docs)
+    assert len(made) == 1
+
+
 def test_edge_cases(spark, edge, empty):
     n = edge.count()
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None)], "doc_id long, quality int")
