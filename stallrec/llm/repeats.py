@@ -9,7 +9,8 @@
 3. Phrases. A window found in passages of two documents is a confirmed phrase, owned by the
    least doc_id. Shards of phrases, grouped by anchor and of bounded size, are compiled into
    Aho-Corasick automata over word numbers, and all passages of the shard's anchors are
-   streamed through to locate every phrase in them.
+   streamed through to locate every phrase in them. Neighboring windows with one owner are
+   one phrase; words are characters there.
 4. Passages hand their hits back to the documents they stand in, which drop the covered words.
 
 An anchor in more than ``HOT`` different passages (a line common to many documents) is too
@@ -27,15 +28,17 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallrec.llm.common import ddl, map_rows, split_words
+from stallrec.llm.common import ddl, int_lists, map_rows, split_words
 from stallrec.session import cut_lineage
 
 WINDOW = 13
@@ -43,6 +46,8 @@ GRAM = 5
 HOT = 2000
 SHARD = 4000
 BUNDLE = 4000
+#: Documents whose words are hashed together.
+TOGETHER = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,13 +57,18 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, last window) of every run of windows with one anchor."""
+def anchors(
+    docs: list[list[bytes]], window: int = WINDOW, gram: int = GRAM
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, anchor hash, first window, last window) of every run of windows with one anchor, over
+    the words of several documents at once."""
+    words = list(chain.from_iterable(docs))
+    none = np.zeros(0, np.int64)
     if len(words) < window:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w) for w in words], np.uint64)
+        return none, none, none, none
+    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+    begins = np.cumsum(lengths) - lengths
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     runs = len(h) - gram + 1
     g = np.zeros(runs, np.uint64)
     for n in range(gram):
@@ -66,13 +76,27 @@ def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
     g ^= g >> np.uint64(29)
     g *= MIX
     g ^= g >> np.uint64(32)
-    width = window - gram + 1
-    # sliding minimum by doubling; the leftmost place of the least hash follows by comparing
-    views = np.lib.stride_tricks.sliding_window_view(g, width)
-    place = np.arange(len(views)) + views.argmin(axis=1)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    last = np.r_[first[1:], len(place)] - 1
-    return g[place[first]].view(np.int64), first, last
+    place = least_places(g, window - gram + 1)
+    # windows that lie in one document; those of two documents have different places
+    whole = np.flatnonzero(np.arange(len(place)) + window <= np.repeat(begins + lengths, lengths)[: len(place)])
+    if not len(whole):
+        return none, none, none, none
+    place = place[whole]
+    change = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    first, last = whole[change], whole[np.r_[change[1:], len(place)] - 1]
+    doc = np.searchsorted(begins, first, "right") - 1
+    return doc, g[place[change]].view(np.int64), first - begins[doc], last - begins[doc]
+
+
+def least_places(g: np.ndarray, width: int) -> np.ndarray:
+    """The leftmost place of the least value in every run of ``width`` values, by doubling."""
+    place, covers = np.arange(len(g)), 1
+    while covers < width:
+        step = min(covers, width - covers)
+        a, b = place[:-step], place[step:]
+        place = np.where(g[b] < g[a], b, a)
+        covers += step
+    return place
 
 
 def digest_words(words: list[bytes]) -> str:
@@ -82,15 +106,27 @@ def digest_words(words: list[bytes]) -> str:
 def marks(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, whole_sha256, anchors (distinct) of every row."""
 
-    def one(text, doc_id):
-        words = split_words(text)
-        found = np.unique(anchors(words)[0]) if doc_id is not None else np.zeros(0, np.int64)
-        return len(words), digest_words(words), found
+    def distinct(docs):
+        doc, hashes, _, _ = anchors(docs)
+        order = np.lexsort((hashes, doc))
+        doc, hashes = doc[order], hashes[order]
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])][: len(doc)])
+        return hashes[new], np.bincount(doc[new], minlength=len(docs))
 
     def start():
         def make(columns):
-            rows = [one(t, i) for t, i in zip(columns["text"].to_pylist(), columns["doc_id"].to_pylist())]
-            return {n: [r[k] for r in rows] for k, n in enumerate(("n_words", "whole_sha256", "anchors"))}
+            ids, texts = columns["doc_id"].to_pylist(), columns["text"].to_pylist()
+            counts, shas, found, sizes = [], [], [], []
+            for at in range(0, len(ids), TOGETHER):
+                docs = [split_words(t) for t in texts[at : at + TOGETHER]]
+                counts += map(len, docs)
+                shas += map(digest_words, docs)
+                hashes, each = distinct([d if i is not None else [] for d, i in zip(docs, ids[at : at + TOGETHER])])
+                found.append(hashes)
+                sizes.append(each)
+            none = [np.zeros(0, np.int64)]
+            lists = int_lists(np.concatenate(found or none), np.concatenate(sizes or none))
+            return {"n_words": counts, "whole_sha256": shas, "anchors": lists}
 
         return make
 
@@ -98,7 +134,12 @@ def marks(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), start, added).drop("text")
 
 
-PASSAGE = {"doc_id": "long", "start": "int", "anchor": "long", "passage_id": "long", "passage": "string"}
+PASSAGE = {"doc_id": "long", "start": "int", "anchor": "long", "passage": "string"}
+
+
+def passage_id():
+    """Stands for the text of a passage; made where it is read, since it does not pack."""
+    return F.xxhash64("passage").alias("passage_id")
 
 
 def passages(touched: DataFrame) -> DataFrame:
@@ -106,83 +147,111 @@ def passages(touched: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, text, kept in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                    words = split_words(text)
-                    hashes, first, last = anchors(words)
-                    places = np.flatnonzero(np.isin(hashes, kept.values.to_numpy()))
-                    if not len(places):
-                        continue
-                    joined = b" ".join(words)
-                    begins = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                    begins = np.r_[0, begins]
-                    ends = begins[last[places] + WINDOW] - 1
-                    mine = [joined[a:b] for a, b in zip(begins[first[places]].tolist(), ends.tolist())]
-                    found[0].extend([doc_id] * len(places))
-                    found[1].extend(first[places].tolist())
-                    found[2].extend(hashes[places].tolist())
-                    found[3].extend([xxhash.xxh64_intdigest(m) - (1 << 63) for m in mine])
-                    found[4].extend(mine)
-                if found[0]:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, kinds)], names=list(PASSAGE))
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                docs = [split_words(text) for text in part.column(1).to_pylist()]
+                doc, hashes, first, last = anchors(docs)
+                # an anchor that one document keeps is kept by all that have it
+                met = np.flatnonzero(np.isin(hashes, part.column(2).flatten().to_numpy()))
+                if not len(met):
+                    continue
+                doc, hashes, first, last = doc[met], hashes[met], first[met], last[met]
+                words = list(chain.from_iterable(docs))
+                joined = b" ".join(words)
+                begins = np.cumsum(np.r_[0, np.fromiter(map(len, words), np.int64, len(words)) + 1])
+                lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+                before = (np.cumsum(lengths) - lengths)[doc]
+                mine = [joined[a:b] for a, b in zip(begins[before + first].tolist(), (begins[before + last + WINDOW] - 1).tolist())]
+                columns = [
+                    part.column(0).take(pa.array(doc)),
+                    pa.array(first.astype(np.int32)),
+                    pa.array(hashes),
+                    pa.array(mine, pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=list(PASSAGE))
 
     return touched.select("doc_id", "text", "kept").mapInArrow(run, ddl(PASSAGE))
 
 
-class Numbers(dict):
-    """A number for every word met."""
+#: Stands between passages, in no phrase.
+GAP = "\0"
 
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        return number
 
+def lettered(texts: list[str]) -> list[str]:
+    """Words joined by spaces as one character each, the same for equal words. The gap and surrogates are left out."""
+    words = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    code = words.flatten().dictionary_encode().indices.to_numpy().astype("<u4") + 1
+    code[code >= 0xD800] += 0x800
+    letters, ends = code.tobytes().decode("utf-32-le"), words.offsets.to_pylist()
+    return [letters[a:b] for a, b in zip(ends, ends[1:])]
 
-def word_windows(words: list) -> Iterator[tuple]:
-    return zip(*[words[n:] for n in range(WINDOW)])
 
-
-def automaton(phrases: dict[tuple, int]) -> ahocorasick.Automaton:
-    """Finds phrases (tuples of word numbers) and says their owners."""
-    built = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for phrase, owner in phrases.items():
-        built.add_word(phrase, owner)
+def automaton(phrases: list[str]) -> ahocorasick.Automaton:
+    """Finds phrases (texts of a character per word) and says which it is."""
+    built = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for number, phrase in enumerate(phrases):
+        built.add_word(phrase, number)
     built.make_automaton()
     return built
 
 
-def locate(phrases: dict[tuple, int], streams: list[tuple]) -> list[list[tuple[int, int]]]:
-    """(window start, owner) of every phrase in each stream of word numbers."""
-    if not phrases:
-        return [[] for _ in streams]
-    built = automaton(phrases)
-    return [[(end - WINDOW + 1, owner) for end, owner in built.iter(s)] for s in streams]
-
-
-HITS = "anchor long, passage_id long, offsets array<int>, owners array<long>"
-
-
-def _hits_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["anchor", "passage_id", "offsets", "owners"]
-    )
+def locate(phrases: dict[str, int], streams: list[str]) -> tuple[np.ndarray, ...]:
+    """(stream, first window, windows, owner) of every phrase in the streams, in their order."""
+    met = automaton(list(phrases)).iter(GAP.join(streams)) if phrases else ()
+    ends, which = np.fromiter(chain.from_iterable(met), np.int64).reshape(-1, 2).T
+    lengths = np.fromiter(map(len, phrases), np.int64, len(phrases))[which]
+    owners = np.fromiter(phrases.values(), np.int64, len(phrases))[which]
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams)) + 1
+    begins = np.cumsum(sizes) - sizes
+    stream = np.searchsorted(begins, ends, "right") - 1
+    return stream, ends - lengths + 1 - begins[stream], lengths - (WINDOW - 1), owners
+
+
+HITS = "anchor long, passage_id long, offsets array<int>, counts array<int>, owners array<long>"
+
+
+def _hits_batch(rows: list[tuple], hits: tuple[np.ndarray, ...]) -> pa.RecordBatch | None:
+    """The hits of rows (anchor, passage_id, ...), one row per passage that has any."""
+    stream, offsets, counts, owners = hits
+    each = np.bincount(stream, minlength=len(rows))
+    met = np.flatnonzero(each)
+    if not len(met):
+        return None
+    keys = [pa.array([rows[n][c] for n in met.tolist()], pa.int64()) for c in (0, 1)]
+    lists = [int_lists(v, each[met]) for v in (offsets.astype(np.int32), counts.astype(np.int32), owners)]
+    return pa.RecordBatch.from_arrays([*keys, *lists], names=["anchor", "passage_id", "offsets", "counts", "owners"])
+
+
+def confirmed_runs(streams: list[str], seen: dict[str, tuple[int, int]]) -> dict[str, int]:
+    """Owners of the confirmed phrases. Neighboring windows of a stream that have one owner are one
+    phrase; ``seen`` knows the least and greatest doc_id of every window."""
+    phrases: dict[str, int] = {}
+    for stream in streams:
+        begin, owner = 0, None
+        for at in range(len(stream) - WINDOW + 1):
+            low, high = seen[stream[at : at + WINDOW]]
+            now = low if low < high else None
+            if now != owner:
+                if owner is not None:
+                    phrases[stream[begin : at + WINDOW - 1]] = owner
+                begin, owner = at, now
+        if owner is not None:
+            phrases[stream[begin:]] = owner
+    return phrases
 
 
 def _shard_hits(shard: list[tuple]) -> pa.RecordBatch | None:
     """Confirm phrases among whole anchors' passages (anchor, passage_id, passage, least, greatest) and locate them."""
-    numbers = Numbers()
-    streams = [tuple([numbers[w] for w in row[2].split(" ")]) for row in shard]
-    seen: dict[tuple, tuple[int, int]] = {}
+    streams = lettered([row[2] for row in shard])
+    seen: dict[str, tuple[int, int]] = {}
     for row, stream in zip(shard, streams):
-        for phrase in word_windows(stream):
-            low, high = seen.get(phrase, (row[3], row[4]))
-            seen[phrase] = (min(low, row[3]), max(high, row[4]))
-    hits = locate({p: low for p, (low, high) in seen.items() if low < high}, streams)
-    rows = [(r[0], r[1], [o for o, _ in h], [w for _, w in h]) for r, h in zip(shard, hits) if h]
-    return _hits_batch(rows) if rows else None
+        own = low, high = row[3], row[4]
+        for at in range(len(stream) - WINDOW + 1):
+            phrase = stream[at : at + WINDOW]
+            known = seen.setdefault(phrase, own)
+            if known is not own and (low < known[0] or high > known[1]):
+                seen[phrase] = (min(known[0], low), max(known[1], high))
+    return _hits_batch(shard, locate(confirmed_runs(streams, seen), streams))
 
 
 def _columns(batch: pa.RecordBatch) -> list[tuple]:
@@ -206,12 +275,13 @@ def cold_hits(distinct: DataFrame) -> DataFrame:
         if out is not None:
             yield out
 
-    ordered = distinct.select("anchor", "passage_id", "passage", "least", "greatest")
-    return ordered.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, HITS)
+    ordered = distinct.select("anchor", "passage", "least", "greatest").repartition("anchor").sortWithinPartitions("anchor")
+    return ordered.select("anchor", passage_id(), "passage", "least", "greatest").mapInArrow(run, HITS)
 
 
 def hot_hits(distinct: DataFrame) -> DataFrame:
     """Hits of anchors with too many passages for a shard."""
+    distinct = distinct.withColumn("passage_id", passage_id())
     words = F.split("passage", " ")
     starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
     phrases = distinct.select(
@@ -240,15 +310,12 @@ def hot_hits(distinct: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 anchor = batch.column(0)[row].as_py()
-                numbers = Numbers()
-                known = {
-                    tuple([numbers[w] for w in p["phrase"].split(" ")]): p["owner"] for p in batch.column(1)[row].as_py()
-                }
-                met = batch.column(2)[row].as_py()
-                hits = locate(known, [tuple([numbers[w] for w in s["passage"].split(" ")]) for s in met])
-                rows = [(anchor, s["passage_id"], [o for o, _ in h], [w for _, w in h]) for s, h in zip(met, hits) if h]
-                if rows:
-                    yield _hits_batch(rows)
+                owned, met = (batch.column(n)[row].as_py() for n in (1, 2))
+                texts = lettered([p["phrase"] for p in owned] + [s["passage"] for s in met])
+                known = dict(zip(texts, (p["owner"] for p in owned)))
+                out = _hits_batch([(anchor, s["passage_id"]) for s in met], locate(known, texts[len(owned) :]))
+                if out is not None:
+                    yield out
 
     pairs = shards.join(streams, "anchor").select("anchor", "ps", "ss", "_shard", "_stream")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -258,27 +325,28 @@ def hot_hits(distinct: DataFrame) -> DataFrame:
 REMOVED = {"n_removed": "long", "kept_sha256": "string", "kept_text": "string"}
 
 
-def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
-    """Whether each word lies in a window that starts at one of ``starts``."""
+def covered(n_words: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether each word lies in a window of the runs of ``counts`` windows that start at ``starts``."""
     change = np.zeros(n_words + 1, np.int64)
-    starts = starts[starts + WINDOW <= n_words]
+    counts = np.minimum(counts, n_words - (WINDOW - 1) - starts)
+    starts, counts = starts[counts > 0], counts[counts > 0]
     np.add.at(change, starts, 1)
-    np.add.at(change, starts + WINDOW, -1)
+    np.add.at(change, starts + counts + (WINDOW - 1), -1)
     return np.cumsum(change)[:-1] > 0
 
 
 def with_removed(touched: DataFrame) -> DataFrame:
-    """Add n_removed, kept_sha256 and kept_text (kept words joined by one space) to rows with text and starts."""
+    """Add n_removed, kept_sha256 and kept_text (kept words joined by one space) to rows with text and runs of windows."""
 
-    def one(text, starts):
+    def one(text, runs):
         words = split_words(text)
-        gone = covered(len(words), starts.values.to_numpy() if starts.is_valid else np.zeros(0, np.int64))
+        gone = covered(len(words), *divmod(runs.values.to_numpy(), WINDOW))
         left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
         return int(gone.sum()), hashlib.sha256(left).hexdigest(), left.decode()
 
     def start():
         def make(columns):
-            rows = [one(t, s) for t, s in zip(columns["text"].to_pylist(), columns["starts"])]
+            rows = [one(t, s) for t, s in zip(columns["text"].to_pylist(), columns["runs"])]
             return {n: [r[k] for r in rows] for k, n in enumerate(REMOVED)}
 
         return make
@@ -287,7 +355,7 @@ def with_removed(touched: DataFrame) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all rows: doc_id, n_words, whole_sha256; changed documents: doc_id, text, starts of removed windows)."""
+    """(all rows: doc_id, n_words, whole_sha256; changed documents: doc_id, text, runs of removed windows)."""
     marked = cut_lineage(marks(docs))
     pairs = marked.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = pairs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
@@ -299,7 +367,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # in the order of the documents, where neighboring passages overlap and are packed well
     found = cut_lineage(passages(docs.select("doc_id", "text").join(kept, "doc_id")), "zstd")
     release(docs)
-    distinct = found.groupBy("anchor", "passage_id", "passage").agg(
+    distinct = found.groupBy("anchor", "passage").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")
     )
     distinct = cut_lineage(distinct, "zstd")
@@ -307,20 +375,23 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor")
     hot = cut_lineage(hot)
     hits = cut_lineage(
-        cold_hits(distinct.join(hot, "anchor", "left_anti")).unionByName(hot_hits(distinct.join(hot, "anchor", "left_semi")))
+        cold_hits(distinct.join(hot, "anchor", "left_anti")).unionByName(hot_hits(distinct.join(hot, "anchor", "left_semi"))),
+        "zstd",
     )
     release(docs)
-    starts = (
-        found.select("doc_id", "start", "anchor", "passage_id")
+    # the first window and how many follow, under WINDOW, as one number
+    run = (F.col("start") + F.col("h.offsets")).cast("long") * WINDOW + F.col("h.counts")
+    runs = (
+        found.select("doc_id", "start", "anchor", passage_id())
         .join(hits, ["anchor", "passage_id"])
-        .select("doc_id", "start", F.explode(F.arrays_zip("offsets", "owners")).alias("h"))
+        .select("doc_id", "start", F.explode(F.arrays_zip("offsets", "counts", "owners")).alias("h"))
         .filter("h.owners < doc_id")
         .groupBy("doc_id")
-        .agg(F.collect_set((F.col("start") + F.col("h.offsets")).cast("long")).alias("starts"))
+        .agg(F.collect_set(run).alias("runs"))
     )
-    starts = cut_lineage(starts)
+    runs = cut_lineage(runs)
     release(docs)
-    return marked, docs.select("doc_id", "text").join(starts, "doc_id")
+    return marked, docs.select("doc_id", "text").join(runs, "doc_id")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

@@ -251,6 +251,29 @@ def test_repeats_with_hot_anchors(spark, monkeypatch):
     assert digests(repeats.repeat_digests(frame)) == plain_repeats(docs)
 
 
+def test_repeats_locate_runs_of_windows(monkeypatch):
+    built, plain = [], repeats.automaton
+    monkeypatch.setattr(repeats, "automaton", lambda phrases: built.extend(phrases) or plain(phrases))
+    shared = [f"w{n}" for n in range(21)]
+    shard = [(7, 1, " ".join(shared), 1, 9), (7, 2, " ".join([*shared[:15], "x", "y"]), 4, 4), (7, 3, " ".join(["z", *shared[2:16]]), 0, 0)]
+    hits = {r["passage_id"]: r for r in repeats._shard_hits(shard).to_pylist()}
+    windows = {
+        i: {(at, owner) for first, n, owner in zip(r["offsets"], r["counts"], r["owners"]) for at in range(first, first + n)}
+        for i, r in hits.items()
+    }
+    # the third passage stands in document 0 and owns the two windows it shares
+    owners = [1, 1, 0, 0, 1, 1, 1, 1, 1]
+    assert windows == {1: set(enumerate(owners)), 2: set(enumerate(owners[:3])), 3: {(1, 0), (2, 0)}}
+    assert len(built) < len(owners)
+
+
+def test_anchors_of_documents_together():
+    docs = [[], [b"a", b"b"] * 9, [b"c"] * 12, [str(n % 17).encode() for n in range(60)], [b"d"] * 13]
+    doc, hashes, first, last = (v.tolist() for v in repeats.anchors(docs))
+    alone = [(n, *row) for n, words in enumerate(docs) for row in zip(*[v.tolist() for v in repeats.anchors([words])[1:]])]
+    assert list(zip(doc, hashes, first, last)) == alone and {1, 3, 4} == set(doc)
+
+
 def test_repeats_make_passages_once(spark, monkeypatch):
     made, plain = [], repeats.passages
     monkeypatch.setattr(repeats, "passages", lambda rows: made.append(rows.columns) or plain(rows))
