@@ -112,3 +112,58 @@ def test_vectors_meet_in_a_bounded_grid(spark, small_blocks, monkeypatch, metric
     monkeypatch.setattr(N, "FEW", 0)
     want = S.nearest_vectors(rows, items, metric, k=7).select(order).fillna(-1).collect()
     assert got == sorted(map(tuple, want))
+
+
+def test_requests_meet_only_items_their_continent_may_show(spark):
+    items = spark.createDataFrame(
+        [(n, [1, 2, 7][n % 3], float(n % 2), 10.0, 50.0, 1) for n in range(60)],
+        "id bigint, continent_id bigint, motor double, price double, frame_size_code double, bike_category_id bigint",
+    )
+    factors = items.select(F.col("id").alias("item_id"), F.array(F.lit(1.0)).alias("vector"))
+    packed = CF._packed_factors(factors, items, items).select("_shelf", F.explode("items.item_id").alias("id")).collect()
+    got = {}
+    for r in packed:
+        got.setdefault(r["_shelf"], []).append(r["id"])
+    home = [n for n in range(0, 60, 3) if n % 2 == 0]
+    assert {c: sorted(x) for c, x in got.items()} == {
+        "1": list(range(0, 60, 3)), "2": list(range(1, 60, 3)), "4": home, "7": sorted([*home, *range(2, 60, 3)])
+    }
+
+
+def _top_batch(u, v, first, m=3):
+    import pyarrow as pa
+
+    prefs = pa.array([[None] * len(u)], pa.list_(pa.list_(pa.struct([("max_price", pa.float64()), ("category_id", pa.int64()), ("size", pa.float64())]))))
+    n = len(u)
+    users = pa.StructArray.from_arrays(
+        [pa.array(range(n), pa.int64()), pa.array([1] * n, pa.int64()), prefs[0].values, pa.array([m] * n, pa.int64()), pa.array(u.tolist())],
+        ["request_id", "continent_id", "prefs", "_m", "vector"],
+    )
+    items = [
+        {"item_id": first + k, "vector": x.tolist(), "m_continent": 1, "m_motor": 0.0, "m_price": 1.0, "m_size": 50.0, "m_category": 1}
+        for k, x in enumerate(v)
+    ]
+    listed = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), users)
+    return pa.RecordBatch.from_arrays([listed, pa.array([items])], names=["users", "items"])
+
+
+def test_full_lists_leave_short_and_tied_items_alone(monkeypatch):
+    """Items too short to reach a list, and those that tie with its last one under a greater id, are not looked at."""
+    from stallrec.operators import masks as M
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(2000, 5)) * np.where(np.arange(2000) < 100, 1, 1e-3)[:, None]
+    u = rng.normal(size=(50, 5))
+    u[:10] = rng.normal(size=(10, 5)) * 1e-9  # all scores round to zero: the least ids win
+    seen, plain = [], M.Masks.matrix
+    monkeypatch.setattr(M.Masks, "matrix", lambda self, *a: (seen.append(x := plain(self, *a)), x)[1])
+    kernel, held, half = CF._TopKernel(), None, [np.arange(0, 2000, 2), np.arange(1, 2000, 2)]
+    v = np.concatenate([v[at] for at in half])
+    for n in range(2):
+        held = kernel(_top_batch(u, v[1000 * n : 1000 * n + 1000], 1000 * n), 0, held)
+    s = np.round(u @ v.T, 6) + 0.0
+    got = {}
+    for r, i, x in zip(held["request_id"], held["item_id"], held["score"]):
+        got.setdefault(int(r), []).append((-float(x), int(i)))
+    assert all(sorted(got[n]) == sorted((-s[n, i], i) for i in range(2000))[:3] for n in range(50))
+    assert sum(x.size for x in seen) < 0.75 * s.size
