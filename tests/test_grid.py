@@ -167,3 +167,22 @@ def test_full_lists_leave_short_and_tied_items_alone(monkeypatch):
         got.setdefault(int(r), []).append((-float(x), int(i)))
     assert all(sorted(got[n]) == sorted((-s[n, i], i) for i in range(2000))[:3] for n in range(50))
     assert sum(x.size for x in seen) < 0.75 * s.size
+
+
+def test_only_scores_around_a_wanted_one_are_rounded(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    u, v = rng.normal(size=(12, 8)), rng.normal(size=(3000, 8))
+    v[1000:1010] = v[0]
+    v[2000:2010] = v[1] + 2e-7
+    s = np.round(u @ v.T, 6) + 0.0
+    wanted = [[0, 1, 1003, *range(5, 5 + 40 * (n % 2), 2)] for n in range(12)]
+    users = [{"user": str(n), "vector": u[n].tolist(), "wanted": [{"item_id": i, "score": float(s[n, i])} for i in w]} for n, w in enumerate(wanted)]
+    items = [{"item_id": n, "vector": x.tolist()} for n, x in enumerate(v)]
+    done, plain = [], CF._rounded
+    monkeypatch.setattr(CF, "_rounded", lambda x: (done.append(x.size), plain(x))[1])
+    out = CF._RankKernel()(pa.RecordBatch.from_pydict({"users": [users], "items": [items]}), 0, None)
+    want = [((s[n] > s[n, i]).sum(), (s[n] == s[n, i]).sum(), (s[n, :i] == s[n, i]).sum()) for n, w in enumerate(wanted) for i in w]
+    assert list(zip(out["above"], out["equal"], out["equal_before"])) == want
+    assert sum(done) < s.size / 20
