@@ -162,3 +162,24 @@ def test_empty_sides(spark, small_blocks):
     assert S.nearest_alike(asked, df, df, ("fam",), False, S.Features(*SPEC)).count() == 0
     v = vector_frame(spark, clustered(10))
     assert S.nearest_vectors(v, v.filter(F.lit(False)), k=2).count() == 0
+
+
+def test_city_block_distances_are_counted_in_steps_within_their_error():
+    rng = np.random.default_rng(8)
+    for x, y in (
+        (rng.normal(size=(300, 64)), rng.normal(size=(90, 64)) * 3 + 1),
+        (np.zeros((5, 3)), np.zeros((4, 3))),
+        (rng.normal(size=(7, 5000)), rng.normal(size=(6, 5000))),
+        (np.round(rng.normal(size=(20, 2)) * 1e6), np.round(rng.normal(size=(20, 2)) * 1e6)),
+    ):
+        want = np.abs(x[:, None, :] - y[None, :, :]).sum(axis=2)
+        got, error = N.stepped(x, y)
+        assert np.abs(got - want).max() <= error <= 0.05 * max(want.max(), 1e-9)
+    x, y = rng.normal(size=(50, 16)), rng.normal(size=(4000, 16))
+    vectors = N.Vectors("cityblock")
+    best = N.Running(np.full(50, 9), False)
+    for at in range(0, 4000, 1000):
+        best.add(x, y[at : at + 1000], np.arange(at, at + 1000), N.Kernel(vectors.prepare, vectors.distance, vectors.exact))
+    best.trim()
+    d = np.round(np.abs(x[:, None, :] - y[None, :, :]).sum(axis=2), 6)
+    assert best.held[0][2].reshape(50, 9).tolist() == [np.lexsort((np.arange(4000), line))[:9].tolist() for line in d]
