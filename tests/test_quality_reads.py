@@ -64,3 +64,35 @@ def test_relaxed_goes_down_the_rungs(shop, pairs_tested):
         ask = asks.limit(1).withColumn("family_id", F.lit(family)).withColumn("frame_size_code", F.lit(size)).withColumn("price", F.lit(price)).withColumn("n", F.lit(n).cast("bigint"))
         got = Q.relaxed_quality(ask, rows, items).collect()
         assert {r.rung for r in got} == ({rung} if rung else {0}) and len(got) == min(n, 400)
+
+
+def test_lists_with_a_rare_brand_read_only_its_shelf(shop, pairs_tested):
+    rows, items, asks = shop
+    rows = rows.withColumn("brand", F.concat(F.lit("b"), F.col("id") % 40)).withColumn("category", F.when(F.col("id") % 2 == 0, "road").otherwise("gravel"))
+    asks = asks.withColumn("brand", F.when(F.col("request_id") < 10, F.concat(F.lit("b"), 2 * F.col("request_id"))).otherwise("null"))
+    got = Q.progressive_quality(asks, rows, items, Q.BUYER_TESTS, fraction=1.0).collect()
+    chosen = {}
+    for r in got:
+        chosen.setdefault(r.request_id, set()).add(r.item_id)
+    # of the first four of the brand, or of the category where none is named
+    for n in range(20):
+        first = [i for i in range(1, 401) if i % 2 == 0 and (n >= 10 or i % 40 == 2 * n)][:4]
+        assert len(chosen[n]) == 2 and chosen[n] <= set(first)
+    assert sum(pairs_tested) < 0.25 * 20 * 400
+
+
+@pytest.mark.parametrize("tests", [Q.BUYER_TESTS[1:4], (Q.BUYER_TESTS[6], Q.BUYER_TESTS[1]), Q.BUYER_TESTS[:1], (Q.BUYER_TESTS[6],)])
+def test_lists_under_other_tests_stop_where_fewer_than_twice_n_are_left(shop, tests):
+    rows, items, asks = shop
+    rows = rows.withColumn("brand", F.concat(F.lit("b"), F.col("id") % 4)).withColumn("rider_height_max", F.when(F.col("id") > 390, 200).otherwise(170))
+    asks = asks.withColumn("brand", F.when(F.col("request_id") < 10, "b1").otherwise("null"))
+    got = Q.progressive_quality(asks, rows, items, tests, fraction=1.0).collect()
+    for n in range(20):
+        held = list(range(1, 401))
+        for t in tests:
+            hit = {"brand": lambda i: n >= 10 or i % 4 == 1, "rider_height_max": lambda i: i > 390}.get(t.item, lambda i: True)
+            if sum(map(hit, held)) < 4:
+                break
+            held = [i for i in held if hit(i)]
+        mine = {r.item_id for r in got if r.request_id == n}
+        assert len(mine) == 2 and mine <= set(held[:4])
