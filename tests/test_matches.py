@@ -96,3 +96,26 @@ def test_shares_count_each_item_once():
 def test_no_joins_where_light_categories_can_outweigh():
     assert X.choices(S.Features({"a": 2.0, "b": 1.9}, {"x": 1.0})) is None
     assert X.choices(S.Features({"a": 20.0, "b": 1.0}, {"x": 30.0})) is None
+
+
+def test_nothing_that_grows_is_broadcast(spark, tmp_path):
+    """Values that repeat make small files of many rows; their joins must not go through the driver."""
+    from stallrec.operators import content as K
+    from stallrec.operators import masks as M
+
+    items = spark.range(300).select(
+        "id", F.lit(1).cast("bigint").alias("continent_id"), F.lit(0.0).alias("motor"), F.lit(9.0).alias("price"),
+        F.lit(50.0).alias("frame_size_code"), F.lit(2).cast("bigint").alias("bike_category_id"),
+    )
+    items.write.parquet(f"{tmp_path}/items")
+    items = spark.read.parquet(f"{tmp_path}/items")
+    asks = items.select(F.col("id").alias("request_id"), F.col("id").alias("bike_id"), F.lit(3).alias("n"), "continent_id", F.lit(None).cast(M.PREFS_TYPE).alias("prefs"))
+    asks.write.parquet(f"{tmp_path}/asks")
+    asks = spark.read.parquet(f"{tmp_path}/asks")
+    alike = items.select(F.col("id").alias("item_id"), (F.col("id") + 1).alias("neighbor_id"), F.lit(1).alias("position"), F.lit(1.0).alias("distance"))
+    alike = alike.unionByName(alike.withColumn("position", F.lit(None).cast("int")))
+    got = K.prefiltered_items(asks, alike, items)
+    assert got.count() == 299
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    # the hot keys alone, which are few by definition
+    assert plan.count("BroadcastHashJoin") <= 2 and plan.count("SortMergeJoin") >= 2
